@@ -6,6 +6,13 @@ import importlib
 
 #: query -> the module that has it
 _MODULES = {
+    "op1_url_filter": "url_filter",
+    "op2_packing": "packing",
+    "op4_bpe_segment_tree": "bpe",
+    "op5_toxicity": "toxicity",
+    "op6_quality": "quality",
+    "op7_simhash": "simhash",
+    "op8_warc": "warc",
     "op10_exact_dedup": "exact_dedup",
 }
 

@@ -35,12 +35,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Caps the bytes of an Arrow batch; a session that has set a smaller cap keeps it."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key)
-    size = int(now[:-1]) if now.endswith("B") else int(now)
-    if size <= 0 or size > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    """Caps the bytes of an Arrow batch at BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
