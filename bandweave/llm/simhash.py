@@ -214,7 +214,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    return marked.join(materialize(named), "fp").select(id_col, "fp", "component_id")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

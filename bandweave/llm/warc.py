@@ -119,7 +119,8 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.withColumn("_key", F.when(F.length(payload) >= at_least, F.sha2(payload, 256)))
     first = rows.where("_key IS NOT NULL").groupBy("_key").agg(F.min(id_col).alias("_first"), F.count("*").alias("_n")).where("_n > 1 AND _first IS NOT NULL").drop("_n")
-    joined = rows.join(first, "_key", "left")
+    # read from a table, so that the join's sides are plain exchanges and a very common payload's rows can be split
+    joined = rows.join(materialize(first), "_key", "left")
     other = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col(id_col))
     return joined.withColumn("refers_to", F.when(other, F.col("_first"))).drop("_key", "_first")
 
