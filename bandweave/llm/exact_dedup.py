@@ -83,7 +83,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     order = F.struct((-F.col(length)).alias("a"), F.col(id_col).isNull().alias("b"), F.col(id_col).alias("c"), F.col(tag).alias("d"))
     groups = again.groupBy("text_sha256").agg(F.min(order).alias(best), F.count("*").alias("group_size"))
-    joined = again.join(groups, "text_sha256").select(
+    # read from a table, so that the join's sides are plain exchanges and a large group's rows can be split
+    joined = again.join(materialize(groups), "text_sha256").select(
         id_col, *carry, F.col(f"{best}.c").alias("keep_id"), "group_size", (F.col(tag) == F.col(f"{best}.d")).alias("kept"), "text_sha256"
     )
     return single.unionByName(joined)
