@@ -13,6 +13,7 @@ _MODULES = {
     "op6_quality": "quality",
     "op7_simhash": "simhash",
     "op8_warc": "warc",
+    "op9_cap_filters": "cap_filters",
     "op10_exact_dedup": "exact_dedup",
 }
 
