@@ -8,6 +8,7 @@ import importlib
 _MODULES = {
     "op1_url_filter": "url_filter",
     "op2_packing": "packing",
+    "op3_tool_calls": "tool_calls",
     "op4_bpe_segment_tree": "bpe",
     "op5_toxicity": "toxicity",
     "op6_quality": "quality",
