@@ -147,31 +147,35 @@ def _signed(mask: int) -> int:
 
 
 def _dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
-    """fp once for each mask, with the bits under it."""
-    return rows.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    """fp (and weight) once for each mask, with the bits under it."""
+    return rows.select("fp", "weight", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> DataFrame:
+def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET, always: int = 0) -> DataFrame:
     """(u, v) edges between distinct fingerprints (column fp) that connect what lies within budget bits.
 
-    Not all pairs: in each task a fingerprint is tied to the first one that it reaches there, so that there are at most
-    budget + 1 edges for each fingerprint at each round of dealing.
+    Not all pairs: in each task a fingerprint u is tied to one v of those that it reaches there, the heaviest if there is
+    a column weight, else the lowest in the trie's order, so that there are at most budget + 1 edges for each fingerprint
+    at each round of dealing. always: a mask of bits that have to agree.
     """
     bounded_batches(distinct.sparkSession)
+    if "weight" not in distinct.columns:
+        distinct = distinct.select("fp", F.lit(1).cast("long").alias("weight"))
     parts, done = [], []
-    waiting = _dealt(distinct, _blocks(list(range(63, -1, -1)), budget + 1))
+    free = lambda mask: [b for b in range(63, -1, -1) if not mask >> b & 1]
+    waiting = _dealt(distinct, [always | m for m in _blocks(free(always), budget + 1)])
     while True:
         waiting = materialize(waiting)
         crowded = materialize(waiting.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket))
-        masks = [r[0] & (2**64 - 1) for r in crowded.select("mask").distinct().collect()]  # at most 3 ** rounds masks
-        masks = [m for m in masks if 64 - m.bit_count() > 12]  # else there are 4096 values at most
+        masks = [r[0] & (2**64 - 1) for r in crowded.select("mask").distinct().collect()]  # at most (budget + 1) ** rounds
+        masks = [m for m in masks if len(free(m)) > 12]  # else there are 4096 values at most
         if not masks:
             done.append(waiting)
             break
         crowded = crowded.where(F.col("mask").isin([_signed(m) for m in masks])).drop("n")
         done.append(waiting.join(crowded, ["mask", "value"], "left_anti"))
         again = waiting.join(crowded, ["mask", "value"], "left_semi")
-        nexts = [_dealt(again.where(F.col("mask") == _signed(m)).select("fp"), [m | x for x in _blocks([b for b in range(63, -1, -1) if not m >> b & 1], budget + 1)]) for m in masks]
+        nexts = [_dealt(again.where(F.col("mask") == _signed(m)), [m | x for x in _blocks(free(m), budget + 1)]) for m in masks]
         waiting = nexts[0]
         for x in nexts[1:]:
             waiting = waiting.unionByName(x)
@@ -179,26 +183,33 @@ def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET)
     def join(batches):
         import pyarrow as pa
 
-        held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        held = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches if b.num_rows]
         if not held:
             return
-        fps, masks = (np.concatenate([h[x] for h in held]).view(np.uint64) for x in range(2))
+        fps, masks, weights = (np.concatenate([h[x] for h in held]) for x in range(3))
+        fps, masks = fps.view(np.uint64), masks.view(np.uint64)
         for mask in np.unique(masks):
-            own = np.unique(fps[masks == mask])
+            here = masks == mask
+            own, first = np.unique(fps[here], return_index=True)
             turned = _rotated(own, np.array([mask]))
             order = np.argsort(turned)
+            weight = weights[here][first][order]
             root = local_roots(len(own), trie_pairs(turned[order], int(mask).bit_count(), budget))
-            tied = np.flatnonzero(root != np.arange(len(own)))
+            by = np.lexsort((np.arange(len(root)), -weight, root))  # the heaviest of each component first
+            start = np.r_[True, root[by][1:] != root[by][:-1]]
+            chief = np.empty(len(root), np.int64)
+            chief[by] = by[np.maximum.accumulate(np.where(start, np.arange(len(by)), 0))]
+            tied = np.flatnonzero(chief != np.arange(len(own)))
             if len(tied):
                 back = own[order].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(back[tied]), pa.array(back[root[tied]])], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(back[tied]), pa.array(back[chief[tied]])], names=["u", "v"])
 
     for rows in done:
-        parts.append(rows.repartition("mask", "value").select("fp", "mask").mapInArrow(join, "u long, v long"))
+        parts.append(rows.repartition("mask", "value").select("fp", "mask", "weight").mapInArrow(join, "u long, v long"))
     edges = parts[0]
     for x in parts[1:]:
         edges = edges.unionByName(x)
-    return edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return edges.distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
@@ -217,6 +228,89 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(materialize(named), "fp").select(id_col, "fp", "component_id")
 
 
+#: Wide fingerprints: WORDS of 64 bits each, of which every half is looked up by itself within BUDGET bits.
+WORDS = 10
+
+
+def wide_fingerprint(text: str | None, shingle: int, words: int = WORDS, seed: int = SEED) -> bytes:
+    """SimHash of words * 64 bits (little-endian): each shingle's hash is drawn out to as many bits."""
+    from xxhash import xxh64_intdigest
+
+    tokens = (text or "").encode().translate(_LOWER).split()
+    if not tokens:
+        return bytes(8 * words)
+    joined = b" ".join(tokens)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(sizes + 1)
+    width = min(shingle, len(tokens))
+    starts, stops = (ends - sizes - 1).tolist(), (ends[width - 1 :] - 1).tolist()
+    counts, n = np.zeros(64 * words, np.int64), len(stops)
+    steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for low in range(0, n, 4080):
+        h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[low : low + 4080], stops[low : low + 4080])], np.uint64)
+        x = h[:, None] + steps
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+        for k in range(0, len(h), 255):  # in bytes, which add up fastest
+            counts += bits[k : k + 255].sum(0, dtype=np.uint8)
+    return np.packbits(2 * counts > n, bitorder="little").tobytes()
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two SimHashes whose shingle sets (of one size) have this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = WORDS, broadcast_limit: int = 64 << 20) -> DataFrame:
+    """docs with one row of each group of near copies, that of the smallest id; its columns stay as they are.
+
+    Two texts are near copies if the share of differing bits of their wide SimHashes over shingles of five words is no
+    higher than a Jaccard similarity of 0.8 gives; groups are closed under links. Candidates are found by
+    the trie join of every 32-bit part within two bits: two texts at the similarity limit meet in at least one of
+    20 parts with probability 0.92 and, at a similarity of 0.9, 0.9999. In each part the candidates are tied to the first
+    document of the most common value nearby, which a large group's copies share with their source, so that there are no
+    pairs within a group. Texts without words are copies of one another. Rows that share the id that stays all
+    stay, and rows without an id are dropped only for a row with one. An empty table gives an empty result.
+    """
+    bounded_batches(docs.sparkSession)
+    key, wide = unused(docs, "_key", "_wide")
+
+    @F.pandas_udf(T.BinaryType())
+    def run(texts):
+        import pandas as pd
+
+        return pd.Series([wide_fingerprint(t, shingle, words) for t in texts])
+
+    marked = materialize(docs.withColumn(wide, run(F.col(text_col).cast("string"))))
+    prints = materialize(
+        marked.groupBy(F.col(wide).alias("wide")).agg(F.min(id_col).alias("low")).withColumn("n", F.monotonically_increasing_id())
+    )
+    parts = prints.select("n", F.posexplode(F.array(*[F.conv(F.hex(F.substring("wide", 4 * i + 1, 4)), 16, 10).cast("long") for i in range(2 * words)])).alias("part", "bits"))
+    parts = parts.select("n", F.shiftleft(F.col("part").cast("long"), 32).bitwiseOR(F.col("bits")).alias("fp"))
+    values = materialize(parts.groupBy("fp").agg(F.min("n").alias("chief"), F.count("*").alias("weight")))
+    near = near_edges(values.select("fp", "weight"), BUDGET, always=(2**32 - 1) << 32)
+    chiefs = values.select(F.col("fp").alias("v"), "chief")
+    ties = near.join(chiefs, "v").select(F.col("u").alias("fp"), "chief").unionByName(values.where("weight > 1").select("fp", "chief"))
+    ties = materialize(ties.distinct())
+    pairs = parts.join(ties, "fp").where("n <> chief").select(F.col("n").alias("u"), F.col("chief").alias("v")).distinct()
+    differ = F.lit(0)
+    for i in range(words):
+        cut = lambda name, i=i: F.conv(F.hex(F.substring(name, 8 * i + 1, 8)), 16, -10).cast("long")
+        differ = differ + F.bit_count(cut("a").bitwiseXOR(cut("b")))
+    pairs = pairs.join(prints.select(F.col("n").alias("u"), F.col("wide").alias("a")), "u").join(prints.select(F.col("n").alias("v"), F.col("wide").alias("b")), "v")
+    links = pairs.where(differ <= int(64 * words * differing_share(similarity))).select("u", "v")
+    roots = connected_components(links)
+    named = prints.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+    least = materialize(named.groupBy("root").agg(F.min("low").alias("stays"), F.count("*").alias("size")))
+    named = materialize(named.join(least, "root").select("wide", "stays"))
+    drop = marked.select(F.col(id_col).alias(key), F.col(wide)).join(named.withColumnRenamed("wide", wide), wide)
+    drop = materialize(drop.where(~F.col(key).eqNullSafe(F.col("stays"))).select(key, wide).distinct())
+    small = drop.count() * (8 * words + 64) <= broadcast_limit
+    gone = (F.broadcast(drop) if small else drop).withColumnRenamed(wide, f"{wide}2")
+    return marked.join(gone, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(wide) == F.col(f"{wide}2")), "left_anti").select(*docs.columns)
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
