@@ -186,14 +186,14 @@ def power_set(spark: SparkSession, names: list[str]) -> DataFrame:
         raise ValueError("over a million subsets")
     array = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
     subset = F.filter(array, lambda x, i: (F.floor(F.col("id") / F.pow(F.lit(2.0), i)) % 2) == 1)
-    return spark.range(2 ** len(names)).select(F.when(F.col("id") > 0, subset).alias("covariates"))
+    return spark.range(0, 2 ** len(names), 1, 1).select(F.when(F.col("id") > 0, subset).alias("covariates"))
 
 
 def crossing(spark: SparkSession, **factors: list) -> DataFrame:
     """Sorted product of the distinct values of each factor."""
     out = None
     for name, values in factors.items():
-        one = spark.createDataFrame([(v,) for v in sorted(set(values))], f"{name} string")
+        one = spark.createDataFrame([(v,) for v in sorted(set(values))], f"{name} string").coalesce(1)
         out = one if out is None else out.crossJoin(one)
     return out.orderBy(*factors)
 
@@ -205,7 +205,7 @@ def create_configs(spark: SparkSession, models=("random_forest",), transformatio
     if spatial_covariates:
         raise ValueError("spatial covariates are not supported")
     grid = crossing(spark, model=list(models), transformation=list(transformations), preprocessing=list(preprocessing), feature_selection=list(feature_selection))
-    flags = spark.createDataFrame([(bool(i),) for i in sorted(set(interactions))], "covariate_interactions boolean")
+    flags = spark.createDataFrame([(bool(i),) for i in sorted(set(interactions))], "covariate_interactions boolean").coalesce(1)
     grid = grid.crossJoin(power_set(spark, [*soil_covariates, *climate_covariates])).crossJoin(flags)
     names = F.coalesce(F.array_join("covariates", "_"), F.lit(""))
     order = ["model", "transformation", "preprocessing", "feature_selection", F.coalesce(F.size("covariates"), F.lit(0)), names, "covariate_interactions"]

@@ -1,16 +1,19 @@
-"""The registered queries over the reference tables and their SQL oracles."""
+"""The registered queries over the test tables and their SQL oracles.
+
+A row of embeddings is a spectrum: sample_id is vec_id, and band i has the wavenumber 600 + 2 i.
+"""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandweave.functions import spectral
-
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
+_PARTS = ("relational_queries", "spectral_queries", "model_queries")
 
 
 def register(name: str, oracle: str | None = None):
@@ -29,16 +32,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(F.col("vec_id").alias("sample_id"), "label", F.col("embedding").cast("array<double>").alias("x"))
+
+
+def r6(column: Column | str) -> Column:
+    return F.round(column, 6)
+
+
+def _load() -> None:
+    for part in _PARTS:
+        importlib.import_module(f"bandweave.plans.{part}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
-
-
-@register("spectra_class_profile")
-def spectra_class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("x"))
-    rows = rows.select("label", F.posexplode(spectral.process("x", "snv_deriv1", 9)).alias("band", "value"))
-    return rows.groupBy("label", F.col("band").cast("long").alias("band")).agg(F.round(F.avg("value"), 6).alias("mean_value"))
