@@ -39,7 +39,11 @@ def correlation_bands(rows: DataFrame, vector: str, outcome: str) -> DataFrame:
 def interactions(vector: str | Column, covariates: list[str]) -> Column:
     """The products of every covariate with every element, covariate by covariate."""
     x = F.col(vector) if isinstance(vector, str) else vector
-    return F.flatten(F.array(*[F.transform(x, lambda v, c=c: v * F.col(c)) for c in covariates]))
+
+    def times(name: str) -> Column:
+        return F.transform(x, lambda v: v * F.col(name))
+
+    return F.flatten(F.array(*[times(c) for c in covariates]))
 
 
 @dataclass

@@ -225,10 +225,10 @@ def climate_join_back(spark, sf_dir):
     return keyed.join(cells, ["cell_x", "cell_y"], "left").select("s_suppkey", "latitude", "n")
 
 
-@register("day_of_year_date", "SELECT o_orderkey, (make_date(year(o_orderdate), 1, 1) + (dayofyear(o_orderdate) - 1)::INT)::DATE AS day, month(o_orderdate)::INT AS month FROM orders")
+@register("day_of_year_date", "SELECT o_orderkey, (make_date(year(o_orderdate), 1, 1) + (dayofyear(o_orderdate) - 1)::INT)::DATE::VARCHAR AS day, month(o_orderdate)::INT AS month FROM orders")
 def day_of_year_date(spark, sf_dir):
     day = climate.day_of(F.year("o_orderdate"), F.dayofyear("o_orderdate"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"), F.month(day).alias("month"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", day.cast("string").alias("day"), F.month(day).alias("month"))
 
 
 @register("power_set", "SELECT i AS id, CASE WHEN i = 0 THEN '' ELSE array_to_string(list_filter(['clay', 'sand', 'MAT'], lambda x, k: (i >> (k - 1)::BIGINT) & 1 = 1), '+') END AS covariates FROM range(8) t(i)")
@@ -310,7 +310,7 @@ def cv_folds(spark, sf_dir):
     return rel.folds(rows, "c_acctbal", "c_custkey", 10, order=F.struct(F.expr(_ORDER), "c_custkey")).drop("c_acctbal")
 
 
-@register("property_map", "SELECT 16::BIGINT AS properties, 7::BIGINT AS in_g_per_kg")
+@register("property_map", "SELECT 16::BIGINT AS properties, 6::BIGINT AS in_g_per_kg")
 def property_map(spark, sf_dir):
     return rel.property_map(spark).agg(F.count("*").alias("properties"), F.count_if(F.col("target_unit") == "g/kg").alias("in_g_per_kg"))
 
