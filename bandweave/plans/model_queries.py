@@ -1 +1,170 @@
-"""Fits: components, outliers, clusters, selection, model search."""
+"""Fits: components, outliers, clusters, selection, model search. What they return has stable keys; figures come from fits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from bandweave.functions import metrics
+from bandweave.operators import covariates, features, prepare, tuning
+from bandweave.operators import relational as rel
+from bandweave.plans.catalog import r6, register, spectra, table
+
+AXIS = [600.0 + 2 * i for i in range(64)]
+_TREES = 20
+
+
+def _dataset(spark, sf_dir) -> DataFrame:
+    """Spectra with a response that depends on them and a covariate."""
+    rows = spectra(spark, sf_dir).withColumnRenamed("x", "spectrum").withColumnRenamed("sample_id", "Sample_ID")
+    signal = 10 + 3 * F.get("spectrum", F.lit(10)) + 2 * F.get("spectrum", F.lit(30)) - F.get("spectrum", F.lit(50))
+    return rows.withColumn("Response", signal).withColumn("depth", (F.col("Sample_ID") % 7).cast("double"))
+
+
+@register("pca_scores")
+def pca_scores(spark, sf_dir):
+    rows = spectra(spark, sf_dir)
+    return features.project(rows, "x", features.fit_projection(rows, "x", 0.95), "scores", AXIS).select("sample_id", F.transform("scores", lambda v: F.round(v, 4)).alias("scores"))
+
+
+@register("mahalanobis_outliers", "SELECT vec_id AS sample_id FROM embeddings")
+def mahalanobis_outliers(spark, sf_dir):
+    return features.spectral_outliers(spectra(spark, sf_dir), "x", 0.975, 0.99).where("mahalanobis >= 0").select("sample_id")
+
+
+@register("spectral_outliers")
+def spectral_outliers(spark, sf_dir):
+    return features.spectral_outliers(spectra(spark, sf_dir), "x", 0.975, 0.99).select("sample_id", F.round("mahalanobis", 4).alias("mahalanobis"), "spectral_outlier")
+
+
+@register("finalized_dataset")
+def finalized_dataset(spark, sf_dir):
+    return prepare.finalize_dataset(_dataset(spark, sf_dir), "Response").select("Sample_ID", r6("Response").alias("Response"), "outlier_flag")
+
+
+@register("created_dataset", "SELECT label, round(avg(c_acctbal), 6) AS c_acctbal, count(*)::BIGINT AS n FROM embeddings JOIN customer ON vec_id = c_custkey GROUP BY 1")
+def created_dataset(spark, sf_dir):
+    scans = spectra(spark, sf_dir).select(F.concat(F.lit("proj_"), F.col("sample_id").cast("string"), F.lit("_S1.0")).alias("Sample_ID"), "label", F.col("x").alias("spectrum"))
+    response = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("Sample_ID"), "c_acctbal")
+    made = prepare.create_dataset(scans, response, ["c_acctbal"], parse_ids=True, id_format="project_sampleid_scanid")
+    return made.groupBy("label").agg(r6(F.avg("c_acctbal")).alias("c_acctbal"), F.count("*").alias("n"))
+
+
+@register("preprocessed_spectra")
+def preprocessed_spectra(spark, sf_dir):
+    from bandweave.operators.kernels import preprocess_spectra
+    from bandweave.sources.readers import with_metadata
+
+    rows = with_metadata(spectra(spark, sf_dir).withColumnRenamed("x", "spectrum"), wavenumbers=AXIS, spectra_type="NIR")
+    return preprocess_spectra(rows, 4.0, "rubberband").select("sample_id", F.transform("spectrum", lambda v: F.round(v, 4)).alias("spectrum"))
+
+
+@register("kmeans_clusters")
+def kmeans_clusters(spark, sf_dir):
+    rows = spectra(spark, sf_dir)
+    scored = features.project(rows, "x", features.fit_projection(rows, "x", 0.5), "scores")
+    clustered, _ = covariates.cluster_library(scored, "scores", 4)
+    return clustered.groupBy(F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("n"))
+
+
+def _selected(spark, sf_dir, kind: str, **settings) -> DataFrame:
+    problem = tuning.collect_problem(_dataset(spark, sf_dir), "Response", preprocessing=("raw",))
+    x, y = problem.spectra["raw"][problem.train], problem.y[problem.train]
+    recipe = features.Recipe(kind, **settings).fit(x, y)
+    import numpy as np
+
+    kept = recipe.apply(np.arange(x.shape[1], dtype=float)[None])[0]
+    return spark.createDataFrame([(int(b),) for b in kept], "band long")
+
+
+@register("boruta_bands")
+def boruta_bands(spark, sf_dir):
+    return _selected(spark, sf_dir, "boruta", runs=8, trees=20, clusters=30)
+
+
+@register("cars_bands")
+def cars_bands(spark, sf_dir):
+    return _selected(spark, sf_dir, "cars", iterations=20, clusters=60)
+
+
+@register("clustered_bands")
+def clustered_bands(spark, sf_dir):
+    import numpy as np
+
+    problem = tuning.collect_problem(_dataset(spark, sf_dir), "Response", preprocessing=("raw",))
+    chosen, members = features.cluster_predictors(problem.spectra["raw"], 10, axis=np.array(AXIS[4:-4]))
+    return spark.createDataFrame([(int(c), len(m)) for c, m in zip(chosen, members, strict=True)], "band long, members long")
+
+
+def _configs(spark, models) -> DataFrame:
+    return rel.create_configs(spark, models, ("none",), ("snv_deriv1",), ("none",))
+
+
+@register("model_search")
+def model_search(spark, sf_dir):
+    """Every model over one preprocessing: grid, pruning, search, test metrics."""
+    from bandweave.schema import MODELS
+
+    problem = tuning.collect_problem(_dataset(spark, sf_dir), "Response", preprocessing=("snv_deriv1",), v=3)
+    found = tuning.evaluate_configurations(spark, _configs(spark, MODELS), problem, 2, 0, True, 0.9, _TREES)
+    return found.select("config_id", "workflow_id", "model", "status", "error_stage", F.round("rrmse", 4).alias("rrmse"), F.round("ccc", 4).alias("ccc"))
+
+
+@register("bayes_search")
+def bayes_search(spark, sf_dir):
+    problem = tuning.collect_problem(_dataset(spark, sf_dir), "Response", preprocessing=("raw",), v=3)
+    grid = rel.create_configs(spark, ("elastic_net", "plsr"), ("none", "log"), ("raw",), ("none", "pca"))
+    found = tuning.evaluate_configurations(spark, grid, problem, 3, 4, False, trees=_TREES)
+    return found.select("config_id", "workflow_id", "status", F.round("rrmse", 4).alias("rrmse"), F.size("best_params").cast("long").alias("n_params"))
+
+
+@register("final_ensemble")
+def final_ensemble(spark, sf_dir):
+    """Search, the best two refitted, a stacked blend of their cross-validated predictions, and its test metrics."""
+    from bandweave.operators.ensemble import build_ensemble
+    from bandweave.operators.runner import finalize_top
+
+    problem = tuning.collect_problem(_dataset(spark, sf_dir), "Response", preprocessing=("raw",), v=3)
+    found = tuning.evaluate_configurations(spark, rel.create_configs(spark, ("elastic_net", "plsr"), preprocessing=("raw",)), problem, 2, 0, False)
+    results = spark.createDataFrame(found.collect(), found.schema)
+    _, long = finalize_top(spark, results, problem, 2, bayes_iter=1)
+    long = spark.createDataFrame(long.collect(), long.schema)
+    parts = [long.where(F.col("kind") == k).select("row_id", "truth", "model", "pred") for k in ("cv", "test")]
+    rows = [build_ensemble(*parts, method=m)["metrics"].select(F.lit(m).alias("method"), *[F.round(x, 4).alias(x) for x in metrics.METRICS]) for m in ("stacks", "weighted_average")]
+    return rows[0].unionByName(rows[1])
+
+
+@register("soil_covariates")
+def soil_covariates(spark, sf_dir):
+    """Local models of two properties for samples, from a library made of the same vectors."""
+    library = _library(spark, sf_dir)
+    rows = spectra(spark, sf_dir).where("sample_id % 10 = 0").select(F.col("sample_id").cast("string").alias("Sample_ID"), F.col("x").alias("spectrum", metadata={"wavenumbers": AXIS}))
+    out = covariates.predict_soil_covariates(spark, rows, library, ["clay", "ph"], variance=0.5, max_clusters=2, grid=1, bayes_iter=0, folds=2)
+    return out["predictions"].select("Sample_ID", F.round("clay", 3).alias("clay"), F.round("ph", 3).alias("ph"))
+
+
+def _library(spark, sf_dir) -> dict:
+    rows = spectra(spark, sf_dir)
+    ident = F.col("sample_id").cast("string").alias("id.layer_uuid_txt")
+    value = lambda i: 5 + 2 * F.get("x", F.lit(i))
+    return {
+        "location": rows.select(ident, F.lit(0.0).alias("layer.upper.depth_usda_cm")),
+        "lab": rows.select(ident, value(10).alias("clay.tot_usda.a334_w.pct"), value(30).alias("ph.h2o_usda.a268_index")),
+        "spectra": rows.select(ident, *[F.get("x", F.lit(i)).alias(f"scan_mir.{int(w)}_abs") for i, w in enumerate(AXIS)]),
+    }
+
+
+@register("library_properties", "SELECT vec_id::VARCHAR AS id, round(10 * (5 + 2 * embedding[11]::DOUBLE), 4) AS clay, round(5 + 2 * embedding[31]::DOUBLE, 4) AS ph FROM embeddings")
+def library_properties(spark, sf_dir):
+    rows = covariates.training_data(_library(spark, sf_dir), ["clay", "ph"])
+    return rows.select("id", F.round("clay", 4).alias("clay"), F.round("ph", 4).alias("ph"))
+
+
+@register("climate_covariates")
+def climate_covariates(spark, sf_dir):
+    k = F.col("s_suppkey")
+    points = table(spark, sf_dir, "supplier").select(k.alias("Sample_ID"), ((k % 5) / 24.0).alias("Longitude"), (40 + (k % 3) / 24.0).alias("Latitude"))
+    day = F.col("id") % 365 + 1
+    daily = spark.range(0, 15 * 730).select((F.floor(F.col("id") / 730) % 5).alias("cell_x"), (960 + F.floor(F.col("id") / 3650)).alias("cell_y"), (2003 + F.floor((F.col("id") % 730) / 365)).cast("int").alias("year"), day.cast("int").alias("yday"), (F.lit(5.0) + day % 10).alias("tmin"), (F.lit(15.0) + day % 10).alias("tmax"), (day % 4).cast("double").alias("prcp"))
+    out = covariates.climate_covariates(points, daily)
+    return out.select("Sample_ID", *[F.round(c, 4).alias(c) for c in covariates.CLIMATE])
