@@ -12,6 +12,12 @@ def _as_column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column | str, body) -> Column:
+    """body(x) with x evaluated once, however often the body uses it; NULL for a NULL x."""
+    x = _as_column(x)
+    return F.get(F.transform(F.when(x.isNotNull(), F.array(x)), lambda value: body(value)), F.lit(0))
+
+
 def savgol_kernel(window: int, poly: int, order: int) -> list[float]:
     """Least-squares weights of the centred window's derivative coefficient (plain coefficient, not times order!)."""
     import numpy as np
@@ -26,53 +32,54 @@ def savgol_kernel(window: int, poly: int, order: int) -> list[float]:
 
 def trim(x: Column | str, window: int = 9) -> Column:
     """Drops (window - 1) / 2 bands at either end; too short a spectrum gives an empty array."""
-    x, half = _as_column(x), (window - 1) // 2
-    return F.slice(x, half + 1, F.greatest(F.size(x) - 2 * half, F.lit(0)))
+    half = (window - 1) // 2
+    return let(x, lambda v: F.slice(v, half + 1, F.greatest(F.size(v) - 2 * half, F.lit(0))))
 
 
 def sliding_dot(x: Column | str, kernel: list[float]) -> Column:
     """Valid-mode dot product of each window with the kernel; the kernel is unrolled, so no inner lambda runs."""
-    x, width = _as_column(x), len(kernel)
-    starts = F.when(F.size(x) >= width, F.sequence(F.lit(0), F.size(x) - width)).otherwise(F.array().cast("array<int>"))
+    width = len(kernel)
+
+    def over(v: Column) -> Column:
+        starts = F.when(F.size(v) >= width, F.sequence(F.lit(0), F.size(v) - width)).otherwise(F.array().cast("array<int>"))
 
-    def dot(i: Column) -> Column:
-        total = None
-        for j, weight in enumerate(kernel):
-            if weight != 0.0:
-                term = F.get(x, i + j) * F.lit(float(weight))
-                total = term if total is None else total + term
-        return total if total is not None else F.lit(0.0)
+        def dot(i: Column) -> Column:
+            total = None
+            for j, weight in enumerate(kernel):
+                if weight != 0.0:
+                    term = F.get(v, i + j) * F.lit(float(weight))
+                    total = term if total is None else total + term
+            return total if total is not None else F.lit(0.0)
 
-    return F.when(x.isNotNull(), F.transform(starts, dot))
+        return F.transform(starts, dot)
+
+    return let(x, over)
 
 
 def mean(x: Column | str) -> Column:
-    x = _as_column(x)
-    return F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x))
+    return let(x, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, e: a + e) / F.size(v)))
 
 
 def sd(x: Column | str) -> Column:
-    """Sample standard deviation of the elements; NULL under two elements."""
-    x = _as_column(x)
-    moments = F.aggregate(
-        x,
-        F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s")),
-        lambda a, v: F.struct(
-            (a["n"] + 1).alias("n"),
-            (a["m"] + (v - a["m"]) / (a["n"] + 1)).alias("m"),
-            (a["s"] + (v - a["m"]) * (v - (a["m"] + (v - a["m"]) / (a["n"] + 1)))).alias("s"),
-        ),
-        lambda a: F.when(a["n"] > 1, F.sqrt(a["s"] / (a["n"] - 1))),
-    )
-    return F.when(F.size(x) > 1, moments)
+    """Sample standard deviation of the elements (two passes); NULL under two elements."""
+
+    def of(v: Column) -> Column:
+        def around(m: Column) -> Column:
+            return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, e: a + (e - m) * (e - m)) / F.nullif(F.size(v) - 1, F.lit(0)))
+
+        return F.when(F.size(v) > 1, let(mean(v), around))
+
+    return let(x, of)
 
 
 def snv(x: Column | str) -> Column:
     """Standard normal variate over the whole vector; a constant vector gives NULL."""
-    x = _as_column(x)
-    stats = F.array(F.struct(mean(x).alias("m"), sd(x).alias("s")))
-    scaled = F.transform(stats, lambda t: F.when(t["s"] > 0, F.transform(x, lambda v: (v - t["m"]) / t["s"])))
-    return F.get(scaled, F.lit(0))
+
+    def of(v: Column) -> Column:
+        stats = F.struct(mean(v).alias("m"), sd(v).alias("s"))
+        return let(stats, lambda t: F.when(t["s"] > 0, F.transform(v, lambda e: (e - t["m"]) / t["s"])))
+
+    return let(x, of)
 
 
 def process(x: Column | str, preprocessing: str, window: int = 9, scale_derivative: bool = False) -> Column:
