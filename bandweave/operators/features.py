@@ -132,7 +132,8 @@ def project(rows: DataFrame, vector: str, projection: Projection, into: str = "s
                 out[i] = s if np.isfinite(s).all() else None
         return pd.Series(out)
 
-    return rows.withColumn(into, run(vector))
+    # marked so that a filter on the scores does not move below and repeat the call
+    return rows.withColumn(into, run.asNondeterministic()(vector))
 
 
 def chi_square_quantile(p: float, df: int) -> float:
