@@ -118,22 +118,29 @@ def project(rows: DataFrame, vector: str, projection: Projection, into: str = "s
         if max(take) < 0:
             raise ValueError("no band in common")
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(column):
-        import pandas as pd
-
+    def scores(column) -> list:
         good = [i for i, v in enumerate(column) if v is not None and len(v) >= (1 if take else len(projection.mean))]
         out: list = [None] * len(column)
         if good:
-            x = np.stack([np.asarray(column.iloc[i], float) for i in good])
+            x = np.stack([np.asarray(column[i], float) for i in good])
             if take is not None:
                 x = np.where(np.array(take) >= 0, x[:, np.maximum(take, 0)], 0.0)
             for i, s in zip(good, projection.apply(x), strict=True):
-                out[i] = s if np.isfinite(s).all() else None
-        return pd.Series(out)
+                out[i] = s.tolist() if np.isfinite(s).all() else None
+        return out
+
+    rows = rows.drop(into)
+    kept = T.StructType([*rows.schema.fields, T.StructField(into, T.ArrayType(T.DoubleType()))])
+    at_vector = rows.columns.index(vector)
+
+    def run(batches):  # a stage of its own: a UDF over array expressions with lambdas is not planned
+        import pyarrow as pa
+
+        for batch in batches:
+            found = pa.array(scores(batch.column(at_vector).to_pylist()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, into])
 
-    # marked so that a filter on the scores does not move below and repeat the call
-    return rows.withColumn(into, run.asNondeterministic()(vector))
+    return rows.mapInArrow(run, kept)
 
 
 def chi_square_quantile(p: float, df: int) -> float:
