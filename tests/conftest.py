@@ -1,6 +1,9 @@
 import os
 import sys
 
+for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+    os.environ.setdefault(_name, "1")
+
 import pytest
 from pyspark.sql import SparkSession
 
