@@ -77,12 +77,12 @@ def replicate_counts(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    left = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "label").where("key % 3 <> 0")
+    left = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").cast("double").alias("label")).where("key % 3 <> 0")
     right = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_acctbal")
     return left, right.where("key % 2 = 0")
 
 
-_SIDES = "WITH a AS (SELECT vec_id AS key, label FROM embeddings WHERE vec_id % 3 <> 0), b AS (SELECT c_custkey AS key, c_acctbal FROM customer WHERE c_custkey % 2 = 0) "
+_SIDES = "WITH a AS (SELECT vec_id AS key, label::DOUBLE AS label FROM embeddings WHERE vec_id % 3 <> 0), b AS (SELECT c_custkey AS key, c_acctbal FROM customer WHERE c_custkey % 2 = 0) "
 for _kind in rel.JOIN_TYPES:
 
     def _join(spark, sf_dir, kind=_kind):
@@ -286,10 +286,11 @@ def prune_rule(spark, sf_dir):
     return rel.prune_flags(wide, mean, sd, 0.1).select("l_returnflag", r6("baseline").alias("baseline"), "pruned")
 
 
-@register("union_fill", "SELECT doc_id AS id, quality, toxic, CAST(NULL AS INTEGER) AS label FROM labels UNION ALL SELECT vec_id, NULL, NULL, label FROM embeddings")
+@register("union_fill", "SELECT doc_id AS id, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic, CAST(NULL AS DOUBLE) AS label FROM labels UNION ALL SELECT vec_id, NULL, NULL, label::DOUBLE FROM embeddings")
 def union_fill(spark, sf_dir):
-    a = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
-    return rel.union_fill(a, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label"))
+    number = lambda c: F.col(c).cast("double").alias(c)
+    a = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), number("quality"), number("toxic"))
+    return rel.union_fill(a, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), number("label")))
 
 
 _ORDER = "(c_custkey * 7919 + 307) % 10007"

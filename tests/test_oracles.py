@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas
 import pytest
 
 from bandweave.plans import catalog
@@ -25,7 +26,7 @@ def plain(value):
         return [plain(v) for v in value]
     if hasattr(value, "item"):
         value = value.item()
-    if value is None or value != value:
+    if value is None or value is pandas.NA or value != value:
         return None
     if isinstance(value, bool):
         return value
