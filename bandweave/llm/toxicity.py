@@ -25,7 +25,9 @@ PER_CLASS = 2000
 LEAST_DOCS = 4
 PREFIXES = (4, 5)
 BUCKETS = 1 << 22
-EPOCHS, RATE, DECAY, START = 60, 0.5, 1e-4, -7.0
+EPOCHS, RATE, DECAY, START = 120, 0.5, 1e-4, -9.0
+#: Weights shrink towards zero by this much at each step, and the bias, which all sentences share, moves slower than they.
+SHRINK, BIAS_RATE = 2e-4, 0.1
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
 _KNOWN = 400_000
@@ -100,9 +102,10 @@ def fit(bags: list[list[list[int]]], labels: np.ndarray, epochs: int = EPOCHS) -
         grad = np.bincount(at, slope[sentence_of], len(names)) + DECAY * weights / len(bags)
         squares += grad * grad
         weights -= RATE * grad / np.sqrt(squares + 1e-12)
+        weights = np.sign(weights) * np.maximum(np.abs(weights) - RATE * SHRINK / np.sqrt(squares + 1e-12), 0)
         step = slope.sum()
         bias_square += step * step
-        bias -= RATE * step / np.sqrt(bias_square)
+        bias -= BIAS_RATE * step / np.sqrt(bias_square)
     kept = np.abs(weights) > 1e-3
     return NoisyOr(dict(zip(names[kept].tolist(), weights[kept].tolist(), strict=True)), float(bias))
 
