@@ -152,7 +152,7 @@ def _dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
 
 
 def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET, always: int = 0) -> DataFrame:
-    """(u, v) edges between distinct fingerprints (column fp) that connect what lies within budget bits.
+    """(u, v) edges between distinct fingerprints (column fp of a table) that connect what lies within budget bits.
 
     Not all pairs: in each task a fingerprint u is tied to one v of those that it reaches there, the heaviest if there is
     a column weight, else the lowest in the trie's order, so that there are at most budget + 1 edges for each fingerprint
@@ -164,8 +164,7 @@ def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET,
     parts, done = [], []
     free = lambda mask: [b for b in range(63, -1, -1) if not mask >> b & 1]
     waiting = _dealt(distinct, [always | m for m in _blocks(free(always), budget + 1)])
-    while True:
-        waiting = materialize(waiting)
+    while True:  # dealing anew is cheaper than keeping what was dealt: distinct is a table, and crowded ones are few
         crowded = materialize(waiting.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket))
         masks = [r[0] & (2**64 - 1) for r in crowded.select("mask").distinct().collect()]  # at most (budget + 1) ** rounds
         masks = [m for m in masks if len(free(m)) > 12]  # else there are 4096 values at most
