@@ -164,7 +164,7 @@ def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET,
     parts, done = [], []
     free = lambda mask: [b for b in range(63, -1, -1) if not mask >> b & 1]
     waiting = _dealt(distinct, [always | m for m in _blocks(free(always), budget + 1)])
-    while True:  # dealing anew is cheaper than keeping what was dealt: distinct is a table, and crowded ones are few
+    while True:  # what is dealt first is not kept, as distinct is a table; of what is dealt on, the crowded rows are
         crowded = materialize(waiting.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket))
         masks = [r[0] & (2**64 - 1) for r in crowded.select("mask").distinct().collect()]  # at most (budget + 1) ** rounds
         masks = [m for m in masks if len(free(m)) > 12]  # else there are 4096 values at most
@@ -173,11 +173,10 @@ def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET,
             break
         crowded = crowded.where(F.col("mask").isin([_signed(m) for m in masks])).drop("n")
         done.append(waiting.join(crowded, ["mask", "value"], "left_anti"))
-        again = waiting.join(crowded, ["mask", "value"], "left_semi")
-        nexts = [_dealt(again.where(F.col("mask") == _signed(m)), [m | x for x in _blocks(free(m), budget + 1)]) for m in masks]
-        waiting = nexts[0]
-        for x in nexts[1:]:
-            waiting = waiting.unionByName(x)
+        again = materialize(waiting.join(crowded, ["mask", "value"], "left_semi").select("fp", "weight", "mask"))
+        finer = [(_signed(m), [_signed(m | x) for x in _blocks(free(m), budget + 1)]) for m in masks]
+        finer = F.broadcast(distinct.sparkSession.createDataFrame(finer, "mask long, finer array<long>"))
+        waiting = again.join(finer, "mask").select("fp", "weight", F.explode("finer").alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
 
     def join(batches):
         import pyarrow as pa
