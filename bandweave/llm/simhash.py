@@ -151,12 +151,13 @@ def _dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
     return rows.select("fp", "weight", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET, always: int = 0) -> DataFrame:
+def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET, always: int = 0, closer: bool = False) -> DataFrame:
     """(u, v) edges between distinct fingerprints (column fp of a table) that connect what lies within budget bits.
 
     Not all pairs: in each task a fingerprint u is tied to one v of those that it reaches there, the heaviest if there is
     a column weight, else the lowest in the trie's order, so that there are at most budget + 1 edges for each fingerprint
-    at each round of dealing. always: a mask of bits that have to agree.
+    at each round of dealing. always: a mask of bits that have to agree. closer: the same also for each smaller number of
+    bits, so that a fingerprint whose component holds strangers is tied to what is nearest to it as well.
     """
     bounded_batches(distinct.sparkSession)
     if "weight" not in distinct.columns:
@@ -192,15 +193,16 @@ def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET,
             turned = _rotated(own, np.array([mask]))
             order = np.argsort(turned)
             weight = weights[here][first][order]
-            root = local_roots(len(own), trie_pairs(turned[order], int(mask).bit_count(), budget))
-            by = np.lexsort((np.arange(len(root)), -weight, root))  # the heaviest of each component first
-            start = np.r_[True, root[by][1:] != root[by][:-1]]
-            chief = np.empty(len(root), np.int64)
-            chief[by] = by[np.maximum.accumulate(np.where(start, np.arange(len(by)), 0))]
-            tied = np.flatnonzero(chief != np.arange(len(own)))
-            if len(tied):
-                back = own[order].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(back[tied]), pa.array(back[chief[tied]])], names=["u", "v"])
+            back = own[order].view(np.int64)
+            for within in range(1 if closer else budget, budget + 1):
+                root = local_roots(len(own), trie_pairs(turned[order], int(mask).bit_count(), within))
+                by = np.lexsort((np.arange(len(root)), -weight, root))  # the heaviest of each component first
+                start = np.r_[True, root[by][1:] != root[by][:-1]]
+                chief = np.empty(len(root), np.int64)
+                chief[by] = by[np.maximum.accumulate(np.where(start, np.arange(len(by)), 0))]
+                tied = np.flatnonzero(chief != np.arange(len(own)))
+                if len(tied):
+                    yield pa.RecordBatch.from_arrays([pa.array(back[tied]), pa.array(back[chief[tied]])], names=["u", "v"])
 
     for rows in done:
         parts.append(rows.repartition("mask", "value").select("fp", "mask", "weight").mapInArrow(join, "u long, v long"))
@@ -268,7 +270,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the trie join of every 32-bit part within two bits: two texts at the similarity limit meet in at least one of
     20 parts with probability 0.92 and, at a similarity of 0.9, 0.9999. In each part the candidates are tied to the first
     document of the most common value nearby, which a large group's copies share with their source, so that there are no
-    pairs within a group. Texts without words are copies of one another. Rows that share the id that stays all
+    pairs within a group; nearby is one bit, and again two bits, as unrelated texts of a large corpus meet mostly at two. Texts without words are copies of one another. Rows that share the id that stays all
     stay, and rows without an id are dropped only for a row with one. An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
@@ -287,7 +289,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = prints.select("n", F.posexplode(F.array(*[F.conv(F.hex(F.substring("wide", 4 * i + 1, 4)), 16, 10).cast("long") for i in range(2 * words)])).alias("part", "bits"))
     parts = parts.select("n", F.shiftleft(F.col("part").cast("long"), 32).bitwiseOR(F.col("bits")).alias("fp"))
     values = materialize(parts.groupBy("fp").agg(F.min("n").alias("chief"), F.count("*").alias("weight")))
-    near = near_edges(values.select("fp", "weight"), BUDGET, always=(2**32 - 1) << 32)
+    near = near_edges(values.select("fp", "weight"), BUDGET, always=(2**32 - 1) << 32, closer=True)
     chiefs = values.select(F.col("fp").alias("v"), "chief")
     ties = near.join(chiefs, "v").select(F.col("u").alias("fp"), "chief").unionByName(values.where("weight > 1").select("fp", "chief"))
     ties = materialize(ties.distinct())

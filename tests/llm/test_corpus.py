@@ -176,6 +176,17 @@ def test_crowded_blocks_are_dealt_on(spark):
     assert {v: got.get(v, v) for v in values} == {v: values[r] for v, r in zip(values, want)}
 
 
+def test_nearest_values_are_tied_beside_the_heaviest(spark):
+    """A stranger at two bits that weighs most does not keep a value from the copy at one bit."""
+    from bandweave.llm.simhash import near_edges
+
+    stranger, text, copy = 0b0011, 0b0000, 0b1000
+    frame = spark.createDataFrame([(stranger, 9), (text, 2), (copy, 1)], "fp long, weight long")
+    ties = {closer: {(r["u"], r["v"]) for r in near_edges(frame, 2, closer=closer).collect()} for closer in (False, True)}
+    assert (copy, text) not in ties[False]
+    assert ties[True] == ties[False] | {(copy, text)}
+
+
 # WARC
 
 
