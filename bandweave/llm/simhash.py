@@ -11,7 +11,7 @@ Copies of a fingerprint count once, so that their number does not matter.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -228,87 +228,159 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(materialize(named), "fp").select(id_col, "fp", "component_id")
 
 
-#: Wide fingerprints: WORDS of 64 bits each, of which every half is looked up by itself within BUDGET bits.
+#: Wide fingerprints: WORDS of 64 bits each.
 WORDS = 10
+#: Candidates share one of BANDS keys, each of ROWS least hashes: missed at Jaccard similarity 0.8 with (1 - 0.8 ** 6) ** 36 = 0.00002.
+BANDS, ROWS = 36, 6
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 
 
-def wide_fingerprint(text: str | None, shingle: int, words: int = WORDS, seed: int = SEED) -> bytes:
-    """SimHash of words * 64 bits (little-endian): each shingle's hash is drawn out to as many bits."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """Sorted hashes of the text's shingles, repeats included."""
     from xxhash import xxh64_intdigest
 
     tokens = (text or "").encode().translate(_LOWER).split()
     if not tokens:
-        return bytes(8 * words)
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(sizes + 1)
     width = min(shingle, len(tokens))
     starts, stops = (ends - sizes - 1).tolist(), (ends[width - 1 :] - 1).tolist()
-    counts, n = np.zeros(64 * words, np.int64), len(stops)
+    return np.sort(np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, len(stops)))
+
+
+def wide_of(hashes: np.ndarray, words: int = WORDS) -> bytes:
+    """SimHash of words * 64 bits (little-endian): each hash is drawn out to as many bits."""
+    counts, n = np.zeros(64 * words, np.int64), len(hashes)
     steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for low in range(0, n, 4080):
-        h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[low : low + 4080], stops[low : low + 4080])], np.uint64)
-        x = h[:, None] + steps
+        x = hashes[low : low + 4080, None] + steps
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
-        for k in range(0, len(h), 255):  # in bytes, which add up fastest
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # in bytes, which add up fastest
             counts += bits[k : k + 255].sum(0, dtype=np.uint8)
     return np.packbits(2 * counts > n, bitorder="little").tobytes()
 
 
+def wide_fingerprint(text: str | None, shingle: int, words: int = WORDS, seed: int = SEED) -> bytes:
+    """Wide SimHash of a text's shingles."""
+    return wide_of(shingle_hashes(text, shingle, seed), words)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of the bands: two sets share each with the probability of their Jaccard similarity to the power ROWS."""
+    from xxhash import xxh64_intdigest
+
+    least = np.full(len(_FACTORS), 2**32 - 1, np.uint32)
+    low = hashes.astype(np.uint32)
+    for k in range(0, len(low), 1024):
+        least = np.minimum(least, (_FACTORS * low[k : k + 1024]).min(1))
+    return np.array([xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
 def differing_share(similarity: float) -> float:
     """Expected share of differing bits of two SimHashes whose shingle sets (of one size) have this Jaccard similarity."""
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def _similar(pairs: DataFrame, prints: DataFrame, marked: DataFrame, digest: str, text_col: str, shingle: int, similarity: float, words: int) -> DataFrame:
+    """(u, v, same) of those pairs (u, v) whose fingerprints are that similar."""
+    share = differing_share(similarity)
+    limit = int(64 * words * share)
+    differ = F.lit(0)
+    for i in range(words):
+        cut = lambda name, i=i: F.conv(F.hex(F.substring(name, 8 * i + 1, 8)), 16, -10).cast("long")
+        differ = differ + F.bit_count(cut("a").bitwiseXOR(cut("b")))
+    side = lambda n, wide, size: prints.select(F.col("n").alias(n), F.col("wide").alias(wide), F.col("size").alias(size))
+    open_ = pairs.join(side("u", "a", "s"), "u").join(side("v", "b", "t"), "v")
+    open_ = materialize(open_.where(differ <= limit).select("u", "v"))
+    return open_.withColumn("same", F.lit(True))
+
+
+def near_roots(members: DataFrame, similar) -> DataFrame | None:
+    """(node, root) of all that links connect, or None: links are those candidates, members (key, n) of one key, that
+    similar(pairs (u, v)) finds to be the same.
+
+    In each round every key has leaders, which are compared with all its other members and then leave it; a key is done
+    when its members are all connected. The first leader is the member with most company, which a large group's copies
+    share with their source; later ones, eight times as many each round, are of the smallest components that are left.
+    """
+    company = members.groupBy("n").agg(F.sum("m").alias("score"))
+    rows, roots, apart, leaders_each = materialize(members.join(company, "n").select("key", "n", "score")), None, None, 1
+    while True:
+        if roots is None:
+            rows = rows.withColumn("root", F.col("n"))
+        else:
+            rows = rows.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+        live = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        rows = materialize(rows.join(live, "key"))
+        if rows.isEmpty():
+            return roots
+        most = F.max(F.struct("score", "n", "root")).alias("top")
+        if leaders_each == 1:
+            leaders = rows.groupBy("key").agg(most)
+        else:
+            order = Window.partitionBy("key").orderBy("c", "top")
+            leaders = rows.groupBy("key", "root").agg(F.count("*").alias("c"), most).withColumn("k", F.row_number().over(order)).where(F.col("k") <= leaders_each)
+        leaders = materialize(leaders.select("key", F.col("top.n").alias("leader"), F.col("top.root").alias("of")))
+        pairs = rows.join(leaders, "key").where("root <> of").select(F.least("n", "leader").alias("u"), F.greatest("n", "leader").alias("v")).distinct()
+        if apart is not None:
+            pairs = pairs.join(apart, ["u", "v"], "left_anti")
+        found = similar(materialize(pairs))
+        no = found.where("not same").select("u", "v")
+        apart = no if apart is None else apart.unionByName(no)
+        links = found.where("same").select("u", "v")
+        if not links.isEmpty():
+            if roots is not None:
+                links = links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+            roots = materialize(connected_components(links))
+        rows = rows.join(leaders.select("key", F.col("leader").alias("n")), ["key", "n"], "left_anti").select("key", "n", "score")
+        leaders_each *= 8
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = WORDS, broadcast_limit: int = 64 << 20) -> DataFrame:
     """docs with one row of each group of near copies, that of the smallest id; its columns stay as they are.
 
     Two texts are near copies if the share of differing bits of their wide SimHashes over shingles of five words is no
-    higher than a Jaccard similarity of 0.8 gives; groups are closed under links. Candidates are found by
-    the trie join of every 32-bit part within two bits: two texts at the similarity limit meet in at least one of
-    20 parts with probability 0.92 and, at a similarity of 0.9, 0.9999. In each part the candidates are tied to the first
-    document of the most common value nearby, which a large group's copies share with their source, so that there are no
-    pairs within a group; nearby is one bit, and again two bits, as unrelated texts of a large corpus meet mostly at two. Texts without words are copies of one another. Rows that share the id that stays all
-    stay, and rows without an id are dropped only for a row with one. An empty table gives an empty result.
+    higher than a Jaccard similarity of 0.8 gives; groups are closed under links. Candidates share one of BANDS keys of least hashes (a pair at the limit is missed with
+    probability 0.00002). Candidates are compared until all of a key are connected or every pair left is known to be none. Texts without
+    words are copies of one another. Rows that share the id that stays all stay, and rows without an id are dropped only
+    for a row with one. An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    key, wide = unused(docs, "_key", "_wide")
+    key, sketch, digest = unused(docs, "_key", "_sketch", "_digest")
 
-    @F.pandas_udf(T.BinaryType())
+    @F.pandas_udf("digest binary, size long, wide binary, bands array<long>")
     def run(texts):
         import pandas as pd
-
-        return pd.Series([wide_fingerprint(t, shingle, words) for t in texts])
-
-    marked = materialize(docs.withColumn(wide, run(F.col(text_col).cast("string"))))
-    prints = materialize(
-        marked.groupBy(F.col(wide).alias("wide")).agg(F.min(id_col).alias("low")).withColumn("n", F.monotonically_increasing_id())
-    )
-    parts = prints.select("n", F.posexplode(F.array(*[F.conv(F.hex(F.substring("wide", 4 * i + 1, 4)), 16, 10).cast("long") for i in range(2 * words)])).alias("part", "bits"))
-    parts = parts.select("n", F.shiftleft(F.col("part").cast("long"), 32).bitwiseOR(F.col("bits")).alias("fp"))
-    values = materialize(parts.groupBy("fp").agg(F.min("n").alias("chief"), F.count("*").alias("weight")))
-    near = near_edges(values.select("fp", "weight"), BUDGET, always=(2**32 - 1) << 32, closer=True)
-    chiefs = values.select(F.col("fp").alias("v"), "chief")
-    ties = near.join(chiefs, "v").select(F.col("u").alias("fp"), "chief").unionByName(values.where("weight > 1").select("fp", "chief"))
-    ties = materialize(ties.distinct())
-    pairs = parts.join(ties, "fp").where("n <> chief").select(F.col("n").alias("u"), F.col("chief").alias("v")).distinct()
-    differ = F.lit(0)
-    for i in range(words):
-        cut = lambda name, i=i: F.conv(F.hex(F.substring(name, 8 * i + 1, 8)), 16, -10).cast("long")
-        differ = differ + F.bit_count(cut("a").bitwiseXOR(cut("b")))
-    pairs = pairs.join(prints.select(F.col("n").alias("u"), F.col("wide").alias("a")), "u").join(prints.select(F.col("n").alias("v"), F.col("wide").alias("b")), "v")
-    links = pairs.where(differ <= int(64 * words * differing_share(similarity))).select("u", "v")
-    roots = connected_components(links)
-    named = prints.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
-    least = materialize(named.groupBy("root").agg(F.min("low").alias("stays"), F.count("*").alias("size")))
-    named = materialize(named.join(least, "root").select("wide", "stays"))
-    drop = marked.select(F.col(id_col).alias(key), F.col(wide)).join(named.withColumnRenamed("wide", wide), wide)
-    drop = materialize(drop.where(~F.col(key).eqNullSafe(F.col("stays"))).select(key, wide).distinct())
-    small = drop.count() * (8 * words + 64) <= broadcast_limit
-    gone = (F.broadcast(drop) if small else drop).withColumnRenamed(wide, f"{wide}2")
-    return marked.join(gone, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(wide) == F.col(f"{wide}2")), "left_anti").select(*docs.columns)
+        from xxhash import xxh3_128_digest
+
+        sets = [shingle_hashes(t, shingle) for t in texts]
+        return pd.DataFrame({"digest": [xxh3_128_digest(h.tobytes()) for h in sets], "size": [len(np.unique(h)) for h in sets], "wide": [wide_of(h, words) for h in sets], "bands": [band_keys(h) for h in sets]})
+
+    marked = docs.withColumn(sketch, run(F.col(text_col).cast("string")))
+    marked = materialize(marked.withColumn(digest, F.col(f"{sketch}.digest")))
+    one = lambda name: F.first(f"{sketch}.{name}").alias(name)
+    prints = marked.groupBy(F.col(digest).alias("digest")).agg(F.min(id_col).alias("low"), one("size"), one("wide"), one("bands"))
+    prints = materialize(prints.withColumn("n", F.monotonically_increasing_id()))
+    bands = prints.where("size > 0").select("n", F.explode("bands").alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members = materialize(bands.join(shared, "key"))
+    roots = near_roots(members, lambda pairs: _similar(pairs, prints, marked, digest, text_col, shingle, similarity, words))
+    named = prints.select("n", "digest", "low")
+    if roots is None:
+        named = named.withColumn("root", F.col("n"))
+    else:
+        named = named.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+    least = materialize(named.groupBy("root").agg(F.min("low").alias("stays")))
+    named = materialize(named.join(least, "root").select(F.col("digest").alias(digest), "stays"))
+    drop = marked.select(F.col(id_col).alias(key), F.col(digest)).join(named, digest)
+    drop = materialize(drop.where(~F.col(key).eqNullSafe(F.col("stays"))).select(key, digest).distinct())
+    small = drop.count() * 80 <= broadcast_limit
+    gone = (F.broadcast(drop) if small else drop).withColumnRenamed(digest, f"{digest}2")
+    return marked.join(gone, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(digest) == F.col(f"{digest}2")), "left_anti").select(*docs.columns)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

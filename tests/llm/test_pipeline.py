@@ -162,3 +162,27 @@ def test_queries_are_registered():
     assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
     assert zlib.crc32(b"0") % 5 in range(5)
+
+
+def edited(words, places, tag):
+    """The words with each of those places replaced: up to five shingles change for each."""
+    out = list(words)
+    for at in places:
+        out[at] = f"{tag}{at}"
+    return out
+
+
+def test_near_copies_are_found_among_strangers(spark):
+    """Texts that share most of a template, in chains of close bits; each has one true copy that must go."""
+    from bandweave.llm.simhash import drop_near_copies
+
+    rng = np.random.default_rng(8)
+    template = [f"t{i}" for i in range(300)]
+    rows = []
+    for k in range(250):
+        own = [*template[:235], *(f"k{k}w{i}" for i in range(65))]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(edited(own, rng.choice(300, 3, replace=False), f"e{k}x")))]
+    sets = {i: shingles(t) for i, t in rows}
+    assert 0.6 < jaccard(sets[0], sets[2]) < 0.7 and all(jaccard(sets[2 * k], sets[2 * k + 1]) > 0.88 for k in range(250))
+    kept = sorted(r["doc_id"] for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [2 * k for k in range(250)]
