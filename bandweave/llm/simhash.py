@@ -232,6 +232,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 WORDS = 10
 #: Candidates share one of BANDS keys, each of ROWS least hashes: missed at Jaccard similarity 0.8 with (1 - 0.8 ** 6) ** 36 = 0.00002.
 BANDS, ROWS = 36, 6
+#: The fingerprints exclude a pair only beyond so many standard deviations, and only where both texts have so many shingles.
+MARGIN, FEW = 6, 64
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 
 
@@ -286,17 +288,39 @@ def differing_share(similarity: float) -> float:
 
 
 def _similar(pairs: DataFrame, prints: DataFrame, marked: DataFrame, digest: str, text_col: str, shingle: int, similarity: float, words: int) -> DataFrame:
-    """(u, v, same) of those pairs (u, v) whose fingerprints are that similar."""
+    """(u, v, same) of those pairs (u, v) that sizes and fingerprints leave open; same: the shingle sets are that similar."""
     share = differing_share(similarity)
-    limit = int(64 * words * share)
+    limit = int(64 * words * share + MARGIN * np.sqrt(64 * words * share * (1 - share)))
     differ = F.lit(0)
     for i in range(words):
         cut = lambda name, i=i: F.conv(F.hex(F.substring(name, 8 * i + 1, 8)), 16, -10).cast("long")
         differ = differ + F.bit_count(cut("a").bitwiseXOR(cut("b")))
     side = lambda n, wide, size: prints.select(F.col("n").alias(n), F.col("wide").alias(wide), F.col("size").alias(size))
-    open_ = pairs.join(side("u", "a", "s"), "u").join(side("v", "b", "t"), "v")
-    open_ = materialize(open_.where(differ <= limit).select("u", "v"))
-    return open_.withColumn("same", F.lit(True))
+    few, many = F.least("s", "t"), F.greatest("s", "t")
+    open_ = pairs.join(side("u", "a", "s"), "u").join(side("v", "b", "t"), "v").where(few >= similarity * many - 1)
+    open_ = materialize(open_.where((few < FEW) | (differ <= limit)).select("u", "v"))
+    wanted = open_.select(F.col("u").alias("n")).unionByName(open_.select(F.col("v").alias("n"))).distinct().join(prints.select("n", "digest"), "n")
+    texts = marked.select(F.col(digest).alias("digest"), F.col(text_col).cast("string").alias("text")).join(wanted, "digest")
+    texts = materialize(texts.groupBy("n").agg(F.first("text").alias("text")))
+
+    def verify(frames):
+        import pandas as pd
+
+        held = {}  # of each side the last text: a leader's pairs come together
+        for frame in frames:
+            same = []
+            for row in frame.itertuples(index=False):
+                sets = []
+                for n, text, at in ((row.u, row.a, "u"), (row.v, row.b, "v")):
+                    if held.get(at, (None,))[0] != n:
+                        held[at] = n, np.unique(shingle_hashes(text, shingle))
+                    sets.append(held[at][1])
+                both = len(np.intersect1d(*sets, assume_unique=True))
+                same.append(both / (len(sets[0]) + len(sets[1]) - both) >= similarity)
+            yield pd.DataFrame({"u": frame["u"], "v": frame["v"], "same": np.array(same, bool)})
+
+    both = open_.join(texts.select(F.col("n").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("n").alias("v"), F.col("text").alias("b")), "v")
+    return materialize(both.mapInPandas(verify, "u long, v long, same boolean"))
 
 
 def near_roots(members: DataFrame, similar) -> DataFrame | None:
@@ -343,9 +367,10 @@ def near_roots(members: DataFrame, similar) -> DataFrame | None:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = WORDS, broadcast_limit: int = 64 << 20) -> DataFrame:
     """docs with one row of each group of near copies, that of the smallest id; its columns stay as they are.
 
-    Two texts are near copies if the share of differing bits of their wide SimHashes over shingles of five words is no
-    higher than a Jaccard similarity of 0.8 gives; groups are closed under links. Candidates share one of BANDS keys of least hashes (a pair at the limit is missed with
-    probability 0.00002). Candidates are compared until all of a key are connected or every pair left is known to be none. Texts without
+    Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; groups are
+    closed under links. Candidates share one of BANDS keys of least hashes (a pair at the limit is missed with
+    probability 0.00002); sizes and wide SimHashes, with a margin, exclude strangers, and every link is verified on the
+    sets. Candidates are compared until all of a key are connected or every pair left is known to be none. Texts without
     words are copies of one another. Rows that share the id that stays all stay, and rows without an id are dropped only
     for a row with one. An empty table gives an empty result.
     """

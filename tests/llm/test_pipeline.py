@@ -186,3 +186,20 @@ def test_near_copies_are_found_among_strangers(spark):
     assert 0.6 < jaccard(sets[0], sets[2]) < 0.7 and all(jaccard(sets[2 * k], sets[2 * k + 1]) > 0.88 for k in range(250))
     kept = sorted(r["doc_id"] for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert kept == [2 * k for k in range(250)]
+
+
+def test_near_copies_are_cut_at_the_similarity_itself(spark):
+    """Pairs a little above and a little below 0.8; those above lose one, those below none."""
+    from bandweave.llm.simhash import drop_near_copies
+
+    rows, above = [], 0
+    for k in range(120):
+        own = [f"k{k}w{i}" for i in range(304)]
+        places = range(5, 5 + 6 * (6 if k % 2 else 7), 6)  # 30 or 35 of 300 shingles: 0.82 or 0.79
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(edited(own, places, f"e{k}x")))]
+        similar = jaccard(shingles(rows[-2][1]), shingles(rows[-1][1])) >= 0.8
+        assert similar == (k % 2 == 1)
+        above += similar
+    kept = {r["doc_id"] for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert above == 60
+    assert kept == {i for i, _ in rows} - {2 * k + 1 for k in range(1, 120, 2)}
