@@ -238,7 +238,7 @@ _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (BANDS * ROWS, 1), n
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
-    """Sorted hashes of the text's shingles, repeats included."""
+    """Sorted distinct hashes of the text's shingles."""
     from xxhash import xxh64_intdigest
 
     tokens = (text or "").encode().translate(_LOWER).split()
@@ -249,7 +249,7 @@ def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarr
     ends = np.cumsum(sizes + 1)
     width = min(shingle, len(tokens))
     starts, stops = (ends - sizes - 1).tolist(), (ends[width - 1 :] - 1).tolist()
-    return np.sort(np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, len(stops)))
+    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, len(stops)))
 
 
 def wide_of(hashes: np.ndarray, words: int = WORDS) -> bytes:
@@ -267,7 +267,7 @@ def wide_of(hashes: np.ndarray, words: int = WORDS) -> bytes:
 
 
 def wide_fingerprint(text: str | None, shingle: int, words: int = WORDS, seed: int = SEED) -> bytes:
-    """Wide SimHash of a text's shingles."""
+    """Wide SimHash of the set of a text's shingles: a repeated shingle counts once."""
     return wide_of(shingle_hashes(text, shingle, seed), words)
 
 
@@ -313,7 +313,7 @@ def _similar(pairs: DataFrame, prints: DataFrame, marked: DataFrame, digest: str
                 sets = []
                 for n, text, at in ((row.u, row.a, "u"), (row.v, row.b, "v")):
                     if held.get(at, (None,))[0] != n:
-                        held[at] = n, np.unique(shingle_hashes(text, shingle))
+                        held[at] = n, shingle_hashes(text, shingle)
                     sets.append(held[at][1])
                 both = len(np.intersect1d(*sets, assume_unique=True))
                 same.append(both / (len(sets[0]) + len(sets[1]) - both) >= similarity)
@@ -383,7 +383,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         from xxhash import xxh3_128_digest
 
         sets = [shingle_hashes(t, shingle) for t in texts]
-        return pd.DataFrame({"digest": [xxh3_128_digest(h.tobytes()) for h in sets], "size": [len(np.unique(h)) for h in sets], "wide": [wide_of(h, words) for h in sets], "bands": [band_keys(h) for h in sets]})
+        return pd.DataFrame({"digest": [xxh3_128_digest(h.tobytes()) for h in sets], "size": [len(h) for h in sets], "wide": [wide_of(h, words) for h in sets], "bands": [band_keys(h) for h in sets]})
 
     marked = docs.withColumn(sketch, run(F.col(text_col).cast("string")))
     marked = materialize(marked.withColumn(digest, F.col(f"{sketch}.digest")))

@@ -203,3 +203,14 @@ def test_near_copies_are_cut_at_the_similarity_itself(spark):
     kept = {r["doc_id"] for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert above == 60
     assert kept == {i for i, _ in rows} - {2 * k + 1 for k in range(1, 120, 2)}
+
+
+def test_repeated_lines_do_not_make_near_copies(spark):
+    from bandweave.llm.simhash import drop_near_copies
+
+    line = " ".join(f"line{i}" for i in range(10))
+    own = [" ".join(f"own{k}w{i}" for i in range(600 if k > 1 else 200)) for k in range(3)]
+    rows = [(0, f"{own[0]} " + f"{line} " * 20), (1, f"{own[1]} " + f"{line} " * 20), (2, f"{own[2]} {line}"), (3, f"{own[2]} " + f"{line} " * 20)]
+    assert jaccard(shingles(rows[0][1]), shingles(rows[1][1])) < 0.1 and jaccard(shingles(rows[2][1]), shingles(rows[3][1])) > 0.95
+    kept = sorted(r["doc_id"] for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [0, 1, 2]
