@@ -136,10 +136,10 @@ def final_ensemble(spark, sf_dir):
 
 @register("soil_covariates")
 def soil_covariates(spark, sf_dir):
-    """Local models of two properties for samples, from a library made of the same vectors."""
+    """Local models of two properties for all samples, from a library made of the same vectors."""
     library = _library(spark, sf_dir)
-    rows = spectra(spark, sf_dir).where("sample_id % 10 = 0").select(F.col("sample_id").cast("string").alias("Sample_ID"), F.col("x").alias("spectrum", metadata={"wavenumbers": AXIS}))
-    out = covariates.predict_soil_covariates(spark, rows, library, ["clay", "ph"], variance=0.5, max_clusters=2, grid=1, bayes_iter=0, folds=2)
+    rows = spectra(spark, sf_dir).select(F.col("sample_id").cast("string").alias("Sample_ID"), F.col("x").alias("spectrum", metadata={"wavenumbers": AXIS}))
+    out = covariates.predict_soil_covariates(spark, rows, library, ["clay", "ph"])
     return out["predictions"].select("Sample_ID", F.round("clay", 3).alias("clay"), F.round("ph", 3).alias("ph"))
 
 

@@ -82,6 +82,12 @@ def _sides(spark, sf_dir):
     return left, right.where("key % 2 = 0")
 
 
+def _whole_sides(spark, sf_dir):
+    left = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").cast("double").alias("label"))
+    return left, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_acctbal")
+
+
+_WHOLE = "WITH a AS (SELECT vec_id AS key, label::DOUBLE AS label FROM embeddings), b AS (SELECT c_custkey AS key, c_acctbal FROM customer) "
 _SIDES = "WITH a AS (SELECT vec_id AS key, label::DOUBLE AS label FROM embeddings WHERE vec_id % 3 <> 0), b AS (SELECT c_custkey AS key, c_acctbal FROM customer WHERE c_custkey % 2 = 0) "
 for _kind in rel.JOIN_TYPES:
 
@@ -90,6 +96,11 @@ for _kind in rel.JOIN_TYPES:
 
     register(f"join_{_kind}", _SIDES + f"SELECT key, label, c_acctbal FROM a {_kind} JOIN b USING (key)")(_join)
 
+    def _join_whole(spark, sf_dir, kind=_kind):
+        return rel.join_on(*_whole_sides(spark, sf_dir), "key", kind)
+
+    register(f"join_whole_{_kind}", _WHOLE + f"SELECT key, label, c_acctbal FROM a {_kind} JOIN b USING (key)")(_join_whole)
+
 
 @register("join_semi", "SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def join_semi(spark, sf_dir):
@@ -103,14 +114,22 @@ def join_anti(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
-@register("join_report", _SIDES + "SELECT 'left' AS side, count(*)::BIGINT AS dropped FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT 'right', count(*)::BIGINT FROM b WHERE key NOT IN (SELECT key FROM a)")
-def join_report(spark, sf_dir):
-    a, b = _sides(spark, sf_dir)
+def _report(a, b):
     left, right = a.join(b, "key", "left_anti"), b.join(a, "key", "left_anti")
     count = lambda df, side: df.agg(F.count("*").alias("dropped")).select(F.lit(side).alias("side"), "dropped")
     return count(left, "left").unionByName(count(right, "right"))
 
 
+@register("join_report", _SIDES + "SELECT 'left' AS side, count(*)::BIGINT AS dropped FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT 'right', count(*)::BIGINT FROM b WHERE key NOT IN (SELECT key FROM a)")
+def join_report(spark, sf_dir):
+    return _report(*_sides(spark, sf_dir))
+
+
+@register("join_whole_report", _WHOLE + "SELECT 'left' AS side, count(*)::BIGINT AS dropped FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT 'right', count(*)::BIGINT FROM b WHERE key NOT IN (SELECT key FROM a)")
+def join_whole_report(spark, sf_dir):
+    return _report(*_whole_sides(spark, sf_dir))
+
+
 @register("join_multiway", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal IS NOT NULL")
 def join_multiway(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")

@@ -209,3 +209,25 @@ def test_covariate_names():
             covariates.classify([bad])
     with pytest.raises(ValueError):
         covariates.validate_properties(["Clay"])
+
+
+def test_soil_query_asks_for_every_sample(spark, sf, monkeypatch):
+    from bandweave.plans import model_queries
+
+    asked = {}
+
+    def spy(spark, samples, library, properties, **settings):
+        asked.update(n=samples.count(), settings=settings)
+        return {"predictions": spark.createDataFrame([], "Sample_ID string, clay double, ph double")}
+
+    monkeypatch.setattr(model_queries.covariates, "predict_soil_covariates", spy)
+    model_queries.soil_covariates(spark, sf)
+    assert asked == {"n": spark.read.parquet(f"{sf}/embeddings.parquet").count(), "settings": {}}
+
+
+def test_whole_joins_keep_every_row(spark, sf):
+    from bandweave.plans import catalog
+
+    keys = [{r[0] for r in spark.read.parquet(f"{sf}/{t}.parquet").select(c).collect()} for t, c in (("embeddings", "vec_id"), ("customer", "c_custkey"))]
+    got = {r["key"] for r in catalog.queries()["join_whole_full"](spark, sf).collect()}
+    assert got == keys[0] | keys[1]
