@@ -79,12 +79,12 @@ def _selected(spark, sf_dir, kind: str, **settings) -> DataFrame:
 
 @register("boruta_bands")
 def boruta_bands(spark, sf_dir):
-    return _selected(spark, sf_dir, "boruta", runs=8, trees=20, clusters=30)
+    return _selected(spark, sf_dir, "boruta")
 
 
 @register("cars_bands")
 def cars_bands(spark, sf_dir):
-    return _selected(spark, sf_dir, "cars", iterations=20, clusters=60)
+    return _selected(spark, sf_dir, "cars")
 
 
 @register("clustered_bands")

@@ -231,3 +231,19 @@ def test_whole_joins_keep_every_row(spark, sf):
     keys = [{r[0] for r in spark.read.parquet(f"{sf}/{t}.parquet").select(c).collect()} for t, c in (("embeddings", "vec_id"), ("customer", "c_custkey"))]
     got = {r["key"] for r in catalog.queries()["join_whole_full"](spark, sf).collect()}
     assert got == keys[0] | keys[1]
+
+
+def test_selection_queries_reject_noise(monkeypatch):
+    """The registered queries' settings, on bands of which two count."""
+    from bandweave.plans import model_queries
+
+    settings = {}
+    monkeypatch.setattr(model_queries, "_selected", lambda spark, sf_dir, kind, **given: settings.update({kind: given}))
+    model_queries.boruta_bands(None, None)
+    model_queries.cars_bands(None, None)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((80, 24))
+    y = 3 * x[:, 10] + 2 * x[:, 11] + 0.1 * rng.standard_normal(80)
+    kept = set(features.select_boruta(x, y, np.random.default_rng(0), **settings["boruta"]))
+    assert {10, 11} <= kept and len(kept) < 12
+    assert settings["cars"] == {}
