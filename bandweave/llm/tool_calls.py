@@ -54,11 +54,13 @@ def dependency_levels(calls: DataFrame, edges: DataFrame, max_rounds: int = 10_0
     edges = materialize(edges.select("call_id", "needs").distinct().join(calls.select(F.col("call_id").alias("needs")).distinct(), "needs", "left_semi"))
     left = materialize(calls.select("call_id").distinct())
     levels, done = [], 0
-    for level in range(max_rounds):
+    for level in range(max_rounds + 1):
         waiting = edges.join(left.select(F.col("call_id").alias("needs")), "needs", "left_semi").select("call_id").distinct()
         ready = materialize(left.join(waiting, "call_id", "left_anti"))
         if ready.isEmpty():
             break
+        if level == max_rounds:
+            raise RuntimeError(f"calls are deeper than {max_rounds} levels")
         levels.append(ready.withColumn("level", F.lit(level)))
         left = materialize(left.join(ready, "call_id", "left_anti"))
         done += 1

@@ -214,3 +214,13 @@ def test_repeated_lines_do_not_make_near_copies(spark):
     assert jaccard(shingles(rows[0][1]), shingles(rows[1][1])) < 0.1 and jaccard(shingles(rows[2][1]), shingles(rows[3][1])) > 0.95
     kept = sorted(r["doc_id"] for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert kept == [0, 1, 2]
+
+
+def test_levels_beyond_the_rounds_are_an_error(spark):
+    from bandweave.llm.tool_calls import dependency_levels
+
+    calls = spark.createDataFrame([("a",), ("b",), ("c",)], "call_id string")
+    needs = spark.createDataFrame([("b", "a"), ("c", "b")], "call_id string, needs string")
+    assert {r["call_id"]: r["level"] for r in dependency_levels(calls, needs, max_rounds=3).collect()} == {"a": 0, "b": 1, "c": 2}
+    with pytest.raises(RuntimeError):
+        dependency_levels(calls, needs, max_rounds=2)
