@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,15 +21,25 @@ def let(x: Column | str, body) -> Column:
 
 
 def savgol_kernel(window: int, poly: int, order: int) -> list[float]:
-    """Least-squares weights of the centred window's derivative coefficient (plain coefficient, not times order!)."""
-    import numpy as np
+    """Least-squares weights of the centred window's derivative coefficient (plain coefficient, not times order!).
 
+    The normal equations are solved in fractions, so that the weights are the nearest doubles on every machine.
+    """
     if window % 2 == 0 or window < 3:
         raise ValueError("window must be odd and at least 3")
     if not 0 <= order <= poly < window:
         raise ValueError("order <= poly < window is needed")
-    offsets = np.arange(-(window // 2), window // 2 + 1, dtype=float)
-    return np.linalg.pinv(np.vander(offsets, poly + 1, increasing=True))[order].tolist()
+    offsets = range(-(window // 2), window // 2 + 1)
+    size = poly + 1
+    rows = [[Fraction(sum(t ** (i + j) for t in offsets)) for j in range(size)] + [Fraction(int(i == order))] for i in range(size)]
+    for k in range(size):
+        at = next(i for i in range(k, size) if rows[i][k])
+        rows[k], rows[at] = rows[at], rows[k]
+        rows[k] = [v / rows[k][k] for v in rows[k]]
+        for i in range(size):
+            if i != k:
+                rows[i] = [v - rows[i][k] * p for v, p in zip(rows[i], rows[k], strict=True)]
+    return [float(sum(rows[j][size] * t**j for j in range(size))) for t in offsets]
 
 
 def trim(x: Column | str, window: int = 9) -> Column:

@@ -79,7 +79,7 @@ def evaluate_models(spark: SparkSession, configs: DataFrame, data: DataFrame, re
     results = latest(_stored(spark, store))
     sinks.write_errors(results, f"{output_dir}/errors")
     sinks.write_csv(results, f"{output_dir}/summary")
-    counts = {r["status"]: r["count"] for r in results.groupBy("status").count().collect()}
+    counts = {r["status"]: r["n"] for r in status_counts(results).collect()}
     minutes = (datetime.now(timezone.utc) - began).total_seconds() / 60
     sinks.write_metadata(spark, {"n_models": sum(counts.values()), "n_completed": counts.get("success", 0), "n_pruned": counts.get("pruned", 0), "n_errors": counts.get("failed", 0), "total_time_mins": minutes, "parameters": search, "timestamp": began}, f"{output_dir}/run_metadata")
     return results
@@ -94,6 +94,11 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def status_counts(results: DataFrame) -> DataFrame:
+    """(status, n): success, pruned and failed configurations."""
+    return results.groupBy("status").agg(F.count("*").alias("n"))
+
+
 def latest(results: DataFrame) -> DataFrame:
     """The last recorded row of each configuration."""
     names = [c for c in results.columns if c not in ("config_id", "recorded")]

@@ -27,9 +27,55 @@ def pca_scores(spark, sf_dir):
     return features.project(rows, "x", features.fit_projection(rows, "x", 0.95), "scores", AXIS).select("sample_id", F.transform("scores", lambda v: F.round(v, 4)).alias("scores"))
 
 
-@register("mahalanobis_outliers", "SELECT vec_id AS sample_id FROM embeddings")
+_X = "x AS (SELECT vec_id AS sample_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), l AS (SELECT sample_id, unnest(x) AS v, unnest(range(0, 64)) AS b FROM x), "
+
+
+@register(
+    "pca_gram",
+    f"WITH {_X} z AS (SELECT sample_id, b, (v - avg(v) OVER (PARTITION BY b)) / stddev_samp(v) OVER (PARTITION BY b) AS z FROM l) "
+    "SELECT p.sample_id, round(sum(p.z * q.z), 4) AS product FROM z p JOIN z q ON p.b = q.b AND q.sample_id = p.sample_id + 1 GROUP BY 1",
+)
+def pca_gram(spark, sf_dir):
+    """All components: the scores' inner products are those of the standardised spectra."""
+    rows = spectra(spark, sf_dir)
+    scored = features.project(rows, "x", features.fit_projection(rows, "x", 1.0), "scores", AXIS).select("sample_id", "scores")
+    after = scored.select((F.col("sample_id") - 1).alias("sample_id"), F.col("scores").alias("after"))
+    product = F.aggregate(F.zip_with("scores", "after", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return scored.join(after, "sample_id").select("sample_id", F.round(product, 4).alias("product"))
+
+
+@register(
+    "pca_variances",
+    f"WITH {_X} c AS (SELECT corr(p.v, q.v) AS r, p.b = q.b AS same FROM l p JOIN l q USING (sample_id) GROUP BY p.b, q.b) "
+    "SELECT round(sum(r) FILTER (same), 6) AS variances, round(sum(r * r), 6) AS squares FROM c",
+)
+def pca_variances(spark, sf_dir):
+    """The components' variances add up to the trace of the correlation matrix, their squares to that of its square."""
+    found = features.fit_projection(spectra(spark, sf_dir), "x", 1.0).variances
+    return spark.createDataFrame([(float(v),) for v in found], "v double").agg(r6(F.sum("v")).alias("variances"), r6(F.sum(F.col("v") * F.col("v"))).alias("squares"))
+
+
+# Gauss-Jordan: 64 steps on the covariance matrix beside the identity
+_INVERSE = """WITH RECURSIVE """ + _X + """m AS (SELECT list(v ORDER BY b) AS mean FROM (SELECT b, avg(v) AS v FROM l GROUP BY b)),
+c AS (SELECT p.b AS i, q.b AS j, covar_samp(p.v, q.v) AS s FROM l p JOIN l q USING (sample_id) GROUP BY p.b, q.b),
+r AS (SELECT i, list_concat(list(s ORDER BY j), list_transform(range(0, 64), lambda k: CASE WHEN k = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS w FROM c GROUP BY i),
+g(k, a) AS (
+  SELECT 1, list(w ORDER BY i) FROM r
+  UNION ALL
+  SELECT k + 1, list_transform(a, lambda w, i: CASE WHEN i = k THEN list_transform(w, lambda v: v / w[k])
+    ELSE list_transform(w, lambda v, j: v - w[k] * a[k][j] / a[k][k]) END) FROM g WHERE k <= 64
+), inv AS (SELECT list_transform(a, lambda w: w[65:128]) AS s FROM g WHERE k = 65),
+d AS (SELECT sample_id, list_transform(x, lambda v, i: v - mean[i]) AS d FROM x, m),
+f AS (SELECT sample_id, sqrt(list_sum(list_transform(d, lambda v, i: v * list_dot_product(d, s[i])))) AS distance FROM d, inv)
+"""
+
+
+#: The 0.975 quantile of chi-square with 64 degrees of freedom is 88.004.
+@register("mahalanobis_outliers", _INVERSE + "SELECT sample_id, round(distance, 4) AS mahalanobis, distance > sqrt(88.004) AS spectral_outlier FROM f")
 def mahalanobis_outliers(spark, sf_dir):
-    return features.spectral_outliers(spectra(spark, sf_dir), "x", 0.975, 0.99).where("mahalanobis >= 0").select("sample_id")
+    """Over all components, where the distance is that in the bands' own covariance."""
+    found = features.spectral_outliers(spectra(spark, sf_dir), "x", 0.975, 1.0)
+    return found.select("sample_id", F.round("mahalanobis", 4).alias("mahalanobis"), "spectral_outlier")
 
 
 @register("spectral_outliers")
@@ -42,21 +88,55 @@ def finalized_dataset(spark, sf_dir):
     return prepare.finalize_dataset(_dataset(spark, sf_dir), "Response").select("Sample_ID", r6("Response").alias("Response"), "outlier_flag")
 
 
-@register("created_dataset", "SELECT label, round(avg(c_acctbal), 6) AS c_acctbal, count(*)::BIGINT AS n FROM embeddings JOIN customer ON vec_id = c_custkey GROUP BY 1")
+_RESPONSE = "r AS (SELECT vec_id AS \"Sample_ID\", 10 + 3 * embedding[11]::DOUBLE + 2 * embedding[31]::DOUBLE - embedding[51]::DOUBLE AS y FROM embeddings)"
+
+
+@register(
+    "finalized_responses",
+    f"WITH {_RESPONSE}, p AS (SELECT * FROM r WHERE y > 0), f AS (SELECT quantile_cont(y, .25) AS a, quantile_cont(y, .75) AS b FROM p) "
+    'SELECT "Sample_ID", round(y, 6) AS "Response", CASE WHEN y < a - (b - a) OR y > b + (b - a) THEN \'outlier\' ELSE \'good\' END AS outlier_flag FROM p, f',
+)
+def finalized_responses(spark, sf_dir):
+    """Positive responses, flagged by their fences alone."""
+    rows = prepare.finalize_dataset(_dataset(spark, sf_dir), "Response", None, response_cutoff=1.0, enforce_positive=True)
+    return rows.select("Sample_ID", r6("Response").alias("Response"), "outlier_flag")
+
+
+@register("created_dataset", "SELECT 'proj' AS \"Project\", vec_id::VARCHAR AS \"Sample_ID\", label, list_transform(embedding, lambda v: round(v::DOUBLE, 6)) AS spectrum, 1::BIGINT AS n_replicates, round(c_acctbal, 6) AS c_acctbal FROM embeddings JOIN customer ON vec_id = c_custkey")
 def created_dataset(spark, sf_dir):
     scans = spectra(spark, sf_dir).select(F.concat(F.lit("proj_"), F.col("sample_id").cast("string"), F.lit("_S1.0")).alias("Sample_ID"), "label", F.col("x").alias("spectrum"))
     response = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("Sample_ID"), "c_acctbal")
     made = prepare.create_dataset(scans, response, ["c_acctbal"], parse_ids=True, id_format="project_sampleid_scanid")
-    return made.groupBy("label").agg(r6(F.avg("c_acctbal")).alias("c_acctbal"), F.count("*").alias("n"))
+    return made.select("Project", "Sample_ID", "label", F.transform("spectrum", lambda v: F.round(v, 6)).alias("spectrum"), "n_replicates", r6("c_acctbal").alias("c_acctbal"))
 
 
-@register("preprocessed_spectra")
-def preprocessed_spectra(spark, sf_dir):
+def _preprocessed(spark, sf_dir, interval: float, baseline: str) -> DataFrame:
     from bandweave.operators.kernels import preprocess_spectra
     from bandweave.sources.readers import with_metadata
 
     rows = with_metadata(spectra(spark, sf_dir).withColumnRenamed("x", "spectrum"), wavenumbers=AXIS, spectra_type="NIR")
-    return preprocess_spectra(rows, 4.0, "rubberband").select("sample_id", F.transform("spectrum", lambda v: F.round(v, 4)).alias("spectrum"))
+    return preprocess_spectra(rows, interval, baseline).select("sample_id", F.transform("spectrum", lambda v: F.round(v, 6)).alias("spectrum"))
+
+
+# the lower hull at a band is the lowest chord over it; every second band is a knot of the new axis
+_HULL = """h AS (SELECT q.sample_id, q.b, min(CASE WHEN p.b = q.b THEN p.v ELSE p.v + (s.v - p.v) * (q.b - p.b) / (s.b - p.b) END) AS low
+  FROM l q JOIN l p ON p.sample_id = q.sample_id AND p.b <= q.b JOIN l s ON s.sample_id = q.sample_id AND s.b >= q.b AND (s.b > p.b OR p.b = q.b) GROUP BY 1, 2) """
+
+
+@register("preprocessed_spectra", f"WITH {_X}{_HULL}SELECT sample_id, list(round(v - low, 6) ORDER BY b) AS spectrum FROM l JOIN h USING (sample_id, b) WHERE b % 2 = 0 GROUP BY 1")
+def preprocessed_spectra(spark, sf_dir):
+    return _preprocessed(spark, sf_dir, 4.0, "rubberband")
+
+
+# t and its square, each orthogonal to what comes before
+_QUADRATIC = """z AS (SELECT sample_id, b, (v - avg(v) OVER w) / stddev_samp(v) OVER w AS z, b - 31.5::DOUBLE AS t FROM l WINDOW w AS (PARTITION BY sample_id)),
+u AS (SELECT *, t * t - avg(t * t) OVER (PARTITION BY sample_id) AS s FROM z), k AS (SELECT sample_id, sum(z * t) / sum(t * t) AS c, sum(z * s) / sum(s * s) AS d FROM u GROUP BY 1) """
+
+
+@register("detrended_spectra", f"WITH {_X}{_QUADRATIC}SELECT sample_id, list(round(z - c * t - d * s, 6) ORDER BY b) AS spectrum FROM u JOIN k USING (sample_id) GROUP BY 1")
+def detrended_spectra(spark, sf_dir):
+    """The polynomial baseline, on the spectra's own axis."""
+    return _preprocessed(spark, sf_dir, 2.0, "polynomial")
 
 
 @register("kmeans_clusters")
@@ -160,7 +240,23 @@ def library_properties(spark, sf_dir):
     return rows.select("id", F.round("clay", 4).alias("clay"), F.round("ph", 4).alias("ph"))
 
 
-@register("climate_covariates")
+_PLACES = "p AS (SELECT s_suppkey AS \"Sample_ID\", (s_suppkey % 5) / 24.0::DOUBLE AS lon, 40 + (s_suppkey % 3) / 24.0::DOUBLE AS lat FROM supplier)"
+# cells in steps of a 24th of a degree; mean latitude of a cell's places; 365 days of two years
+_CLIMATE = f"""WITH {_PLACES}, q AS (SELECT *, round_even(lon * 24, 0)::BIGINT AS cx, round_even(lat * 24, 0)::BIGINT AS cy FROM p),
+c AS (SELECT cx, cy, avg(lat) AS lat FROM q GROUP BY 1, 2),
+i AS (SELECT id, (id // 730) % 5 AS cx, 960 + id // 3650 AS cy, 2003 + (id % 730) // 365 AS y, id % 365 + 1 AS j FROM range(0, 10950) t(id)),
+d AS (SELECT cx, cy, y, j, month(make_date(y::INT, 1, 1) + (j - 1)::INT) AS m, 10.0::DOUBLE + j % 10 AS t, (j % 4)::DOUBLE AS p, lat,
+  .409::DOUBLE * cos(2 * pi() * (j - 173) / 365.0::DOUBLE) AS tilt FROM i JOIN c USING (cx, cy)),
+e AS (SELECT *, greatest(.0023::DOUBLE * (t + 17.8::DOUBLE) * sqrt(10.0::DOUBLE) * (.0820::DOUBLE * 1440 / pi() * acos(-tan(radians(lat)) * tan(tilt))), 0) AS pet FROM d),
+yearly AS (SELECT cx, cy, y, avg(t) AS t, sum(p) AS p, avg(pet) AS e, sum(greatest(t - 10, 0)) AS g FROM e GROUP BY 1, 2, 3),
+mean AS (SELECT cx, cy, avg(t) AS "MAT", avg(p) AS "MAP", avg(e) AS "PET", avg(p) / avg(e) AS "AI", avg(g) AS "GDD" FROM yearly GROUP BY 1, 2),
+monthly AS (SELECT cx, cy, y, m, sum(p) AS p FROM e GROUP BY 1, 2, 3, 4), months AS (SELECT cx, cy, m, avg(p) AS p FROM monthly GROUP BY 1, 2, 3),
+season AS (SELECT cx, cy, 100 * stddev_samp(p) / avg(p) AS "Precip_Seasonality" FROM months GROUP BY 1, 2)
+SELECT "Sample_ID", round("MAT", 4) AS "MAT", round("MAP", 4) AS "MAP", round("PET", 4) AS "PET", round("AI", 4) AS "AI", round("GDD", 4) AS "GDD", round("Precip_Seasonality", 4) AS "Precip_Seasonality"
+FROM q LEFT JOIN mean USING (cx, cy) LEFT JOIN season USING (cx, cy)"""
+
+
+@register("climate_covariates", _CLIMATE)
 def climate_covariates(spark, sf_dir):
     k = F.col("s_suppkey")
     points = table(spark, sf_dir, "supplier").select(k.alias("Sample_ID"), ((k % 5) / 24.0).alias("Longitude"), (40 + (k % 3) / 24.0).alias("Latitude"))

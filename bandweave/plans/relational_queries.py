@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bandweave import schema
 from bandweave.functions import climate, metrics, text
 from bandweave.operators import relational as rel
 from bandweave.plans.catalog import r6, register, table
@@ -77,18 +78,12 @@ def replicate_counts(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    left = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").cast("double").alias("label")).where("key % 3 <> 0")
-    right = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_acctbal")
-    return left, right.where("key % 2 = 0")
-
-
-def _whole_sides(spark, sf_dir):
-    left = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").cast("double").alias("label"))
+    """Every fifth key has a vector, up to beyond the customers' keys: either side has keys that the other lacks."""
+    left = table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 5).alias("key"), F.col("label").cast("double").alias("label"))
     return left, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_acctbal")
 
 
-_WHOLE = "WITH a AS (SELECT vec_id AS key, label::DOUBLE AS label FROM embeddings), b AS (SELECT c_custkey AS key, c_acctbal FROM customer) "
-_SIDES = "WITH a AS (SELECT vec_id AS key, label::DOUBLE AS label FROM embeddings WHERE vec_id % 3 <> 0), b AS (SELECT c_custkey AS key, c_acctbal FROM customer WHERE c_custkey % 2 = 0) "
+_SIDES = "WITH a AS (SELECT vec_id * 5 AS key, label::DOUBLE AS label FROM embeddings), b AS (SELECT c_custkey AS key, c_acctbal FROM customer) "
 for _kind in rel.JOIN_TYPES:
 
     def _join(spark, sf_dir, kind=_kind):
@@ -96,11 +91,6 @@ for _kind in rel.JOIN_TYPES:
 
     register(f"join_{_kind}", _SIDES + f"SELECT key, label, c_acctbal FROM a {_kind} JOIN b USING (key)")(_join)
 
-    def _join_whole(spark, sf_dir, kind=_kind):
-        return rel.join_on(*_whole_sides(spark, sf_dir), "key", kind)
-
-    register(f"join_whole_{_kind}", _WHOLE + f"SELECT key, label, c_acctbal FROM a {_kind} JOIN b USING (key)")(_join_whole)
-
 
 @register("join_semi", "SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def join_semi(spark, sf_dir):
@@ -125,11 +115,6 @@ def join_report(spark, sf_dir):
     return _report(*_sides(spark, sf_dir))
 
 
-@register("join_whole_report", _WHOLE + "SELECT 'left' AS side, count(*)::BIGINT AS dropped FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT 'right', count(*)::BIGINT FROM b WHERE key NOT IN (SELECT key FROM a)")
-def join_whole_report(spark, sf_dir):
-    return _report(*_whole_sides(spark, sf_dir))
-
-
 @register("join_multiway", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal IS NOT NULL")
 def join_multiway(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -258,15 +243,24 @@ def power_set(spark, sf_dir):
     return sets.select(F.coalesce(index, F.lit(0)).cast("long").alias("id"), F.coalesce(F.array_join("covariates", "+"), F.lit("")).alias("covariates"))
 
 
-_GRID = """WITH g AS (
-  SELECT m.v AS model, t.v AS transformation, p.v AS preprocessing, f.v AS feature_selection, c.v AS covs, c.n AS n
-  FROM (VALUES ('cubist'), ('plsr')) m(v), (VALUES ('log'), ('none')) t(v), (VALUES ('raw'), ('snv_deriv1')) p(v), (VALUES ('none'), ('pca')) f(v),
-       (VALUES ('', 0), ('clay', 1), ('MAT', 1), ('clay_MAT', 2)) c(v, n)
+# value, part of the id, readable name
+_MODELS = """('random_forest', 'random_forest', 'Random Forest'), ('plsr', 'plsr', 'Partial Least Squares'), ('cubist', 'cubist', 'Cubist'), ('xgboost', 'xgboost', 'XGBoost'), ('lightgbm', 'lightgbm', 'LightGBM'),
+  ('elastic_net', 'elastic_net', 'Elastic Net'), ('svm_rbf', 'svm_rbf', 'Support Vector Machine (RBF)'), ('mars', 'mars', 'MARS'), ('mlp_nn', 'mlp_nn', 'Neural Network (MLP)')"""
+_TRANSFORMS = "('log', 'Log', 'Logarithmic'), ('none', 'NoTrans', 'None'), ('sqrt', 'Sqrt', 'Square Root')"
+_STEPS = """('raw', 'Raw', 'Raw Spectra'), ('sg', 'SG', 'Savitzky-Golay Smoothing'), ('snv', 'SNV', 'Standard Normal Variate'), ('deriv1', 'D1', 'First Derivative'), ('deriv2', 'D2', 'Second Derivative'),
+  ('snv_deriv1', 'SNVD1', 'SNV + First Derivative'), ('snv_deriv2', 'SNVD2', 'SNV + Second Derivative')"""
+_SELECTIONS = "('none', 'NoFeatSel', 'No Selection'), ('pca', 'PCA', 'Principal Component Analysis'), ('correlation', 'Corr', 'Correlation Filter'), ('boruta', 'Boruta', 'Boruta Algorithm'), ('cars', 'CARS', 'CARS Selection')"
+_SETS = "('', 0, 'NoCovs', 'None'), ('clay', 1, 'clay', 'Clay Content'), ('MAT', 1, 'MAT', 'Mean Annual Temperature'), ('clay_MAT', 2, 'clay+MAT', 'Clay Content + Mean Annual Temperature')"
+_GRID = f"""WITH g AS (
+  SELECT m.v AS model, t.v AS transformation, p.v AS preprocessing, f.v AS feature_selection, c.v AS covs, c.n AS n,
+         m.k || '_' || t.k || '_' || p.k || '_' || f.k || '_' || c.k || '_NoInteract' AS workflow_id, m.r AS mr, t.r AS tr, p.r AS pr, f.r AS fr, c.r AS cr
+  FROM (VALUES {_MODELS}) m(v, k, r), (VALUES {_TRANSFORMS}) t(v, k, r), (VALUES {_STEPS}) p(v, k, r), (VALUES {_SELECTIONS}) f(v, k, r), (VALUES {_SETS}) c(v, n, k, r)
 ) """
 
 
 def _configs(spark):
-    return rel.create_configs(spark, ["plsr", "cubist", "plsr"], ["none", "log"], ["raw", "snv_deriv1"], ["none", "pca"], ["clay"], ["MAT"])
+    models = [*schema.MODELS, "plsr"]  # a repeated value counts once
+    return rel.create_configs(spark, models, schema.TRANSFORMATIONS, schema.PREPROCESSING, schema.FEATURE_SELECTIONS, ["clay"], ["MAT"])
 
 
 @register("config_grid", _GRID + "SELECT printf('config_%04d', row_number() OVER (ORDER BY model, transformation, preprocessing, feature_selection, n, covs)) AS config_id, model, transformation, preprocessing, feature_selection, covs AS covariates FROM g")
@@ -274,14 +268,14 @@ def config_grid(spark, sf_dir):
     return _configs(spark).select("config_id", "model", "transformation", "preprocessing", "feature_selection", F.coalesce(F.array_join("covariates", "_"), F.lit("")).alias("covariates"))
 
 
-@register("workflow_ids", _GRID + "SELECT model || '_' || CASE transformation WHEN 'log' THEN 'Log' ELSE 'NoTrans' END || '_' || CASE preprocessing WHEN 'raw' THEN 'Raw' ELSE 'SNVD1' END || '_' || CASE feature_selection WHEN 'pca' THEN 'PCA' ELSE 'NoFeatSel' END || '_' || CASE WHEN n = 0 THEN 'NoCovs' ELSE replace(covs, '_', '+') END || '_NoInteract' AS workflow_id FROM g")
+@register("workflow_ids", _GRID + "SELECT workflow_id FROM g")
 def workflow_ids(spark, sf_dir):
     return rel.with_workflow_id(_configs(spark)).select("workflow_id")
 
 
-@register("workflow_names", _GRID + "SELECT CASE model WHEN 'plsr' THEN 'Partial Least Squares' ELSE 'Cubist' END AS model, CASE transformation WHEN 'log' THEN 'Logarithmic' ELSE 'None' END AS transformation, CASE preprocessing WHEN 'raw' THEN 'Raw Spectra' ELSE 'SNV + First Derivative' END AS preprocessing, CASE feature_selection WHEN 'pca' THEN 'Principal Component Analysis' ELSE 'No Selection' END AS feature_selection, CASE covs WHEN '' THEN 'None' WHEN 'clay' THEN 'Clay Content' WHEN 'MAT' THEN 'Mean Annual Temperature' ELSE 'Clay Content + Mean Annual Temperature' END AS covariates FROM g")
+@register("workflow_names", _GRID + "SELECT workflow_id, mr AS model, tr AS transformation, pr AS preprocessing, fr AS feature_selection, cr AS covariates FROM g")
 def workflow_names(spark, sf_dir):
-    return workflow_ids(spark, sf_dir).select(text.parse_workflow_id("workflow_id").alias("p")).select("p.*")
+    return workflow_ids(spark, sf_dir).select("workflow_id", text.parse_workflow_id("workflow_id").alias("p")).select("workflow_id", "p.*")
 
 
 @register("back_transform", "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, k, round(CASE k WHEN 'log' THEN exp(l_tax) WHEN 'sqrt' THEN l_tax * l_tax ELSE l_tax END, 6) AS pred FROM lineitem, (VALUES ('log'), ('sqrt'), ('none')) t(k)")
@@ -330,9 +324,13 @@ def cv_folds(spark, sf_dir):
     return rel.folds(rows, "c_acctbal", "c_custkey", 10, order=F.struct(F.expr(_ORDER), "c_custkey")).drop("c_acctbal")
 
 
-@register("property_map", "SELECT 16::BIGINT AS properties, 6::BIGINT AS in_g_per_kg")
+_NAMES = [c.split()[0] for c in schema.PROPERTY_SCHEMA.split(", ")]
+_VALUES = ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in schema.SOIL_PROPERTIES)
+
+
+@register("property_map", f"SELECT * FROM (VALUES {_VALUES}) t({', '.join(_NAMES)})")
 def property_map(spark, sf_dir):
-    return rel.property_map(spark).agg(F.count("*").alias("properties"), F.count_if(F.col("target_unit") == "g/kg").alias("in_g_per_kg"))
+    return rel.property_map(spark).select(*_NAMES)
 
 
 @register("cluster_members", "SELECT label, list_sort(list(vec_id)) AS members FROM embeddings GROUP BY 1")
@@ -340,10 +338,12 @@ def cluster_members(spark, sf_dir):
     return rel.cluster_members(table(spark, sf_dir, "embeddings"), "label", "vec_id")
 
 
-@register("status_counts", "SELECT count(*) FILTER (o_orderstatus = 'O')::BIGINT AS opened, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS filled, count(*) FILTER (o_orderstatus = 'P')::BIGINT AS pending FROM orders")
+@register("status_counts", "SELECT CASE o_orderstatus WHEN 'O' THEN 'success' WHEN 'F' THEN 'pruned' ELSE 'failed' END AS status, count(*)::BIGINT AS n FROM orders GROUP BY 1")
 def status_counts(spark, sf_dir):
-    status = F.col("o_orderstatus")
-    return table(spark, sf_dir, "orders").agg(*[F.count_if(status == k).alias(n) for k, n in (("O", "opened"), ("F", "filled"), ("P", "pending"))])
+    from bandweave.operators.runner import status_counts as counted
+
+    status = F.when(F.col("o_orderstatus") == "O", "success").when(F.col("o_orderstatus") == "F", "pruned").otherwise("failed")
+    return counted(table(spark, sf_dir, "orders").select(status.alias("status")))
 
 
 @register("complete_cases", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL AND o_totalprice > 0 AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= TIMESTAMP '1996-01-01'")

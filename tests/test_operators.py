@@ -229,8 +229,8 @@ def test_whole_joins_keep_every_row(spark, sf):
     from bandweave.plans import catalog
 
     keys = [{r[0] for r in spark.read.parquet(f"{sf}/{t}.parquet").select(c).collect()} for t, c in (("embeddings", "vec_id"), ("customer", "c_custkey"))]
-    got = {r["key"] for r in catalog.queries()["join_whole_full"](spark, sf).collect()}
-    assert got == keys[0] | keys[1]
+    got = {r["key"] for r in catalog.queries()["join_full"](spark, sf).collect()}
+    assert got == {5 * k for k in keys[0]} | keys[1]
 
 
 def test_selection_queries_reject_noise(monkeypatch):
