@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bandweave import schema
 from bandweave.functions import climate, metrics
 from bandweave.operators import features, kernels, models, relational, tuning
+from bandweave.sources.sinks import settled
 
 CLIMATE = ("MAT", "MAP", "PET", "AI", "GDD", "Precip_Seasonality")
 EXTRA_CLIMATE = ("Temperature_Range", "Frost_Days")
@@ -147,6 +148,7 @@ def cluster_library(rows: DataFrame, scores: str = "scores", max_clusters: int =
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
+    rows = settled(rows)
     ready = rows.withColumn("_f", array_to_vector(scores))
     n, best = rows.count(), None
     for k in range(2, min(max_clusters, n // 3) + 1):
@@ -177,8 +179,7 @@ def library_pool(library: DataFrame, unknown: DataFrame, centers: DataFrame, per
         return F.sqrt(F.aggregate(rows, F.lit(0.0), lambda s, v: s + v * v))
 
     pairs = library.select(key, scores).crossJoin(F.broadcast(centers)).select(key, "cluster", distance(F.col("center"), F.col("whiten")).alias("distance"))
-    cut = pairs.groupBy("cluster").agg(F.percentile("distance", percentile).alias("_cut"))
-    return pairs.join(F.broadcast(cut), "cluster").where("distance <= _cut").drop("_cut")
+    return relational.coverage_filter(settled(pairs), percentile, ["cluster"])
 
 
 def whitening(x: np.ndarray) -> np.ndarray:
@@ -257,8 +258,7 @@ def predict_soil_covariates(spark: SparkSession, samples: DataFrame, library: di
                 pass
         return pd.DataFrame({"property": ask["property"], "cluster": ask["cluster"], "part": ask["split"], "id": ask["id"], "truth": ask["value"], "pred": guess})
 
-    fitted = both.groupBy("property", "cluster").applyInPandas(run, FIT_SCHEMA)
-    found = spark.createDataFrame(fitted.toPandas(), FIT_SCHEMA) if own.count() <= limit else fitted
+    found = settled(both.groupBy("property", "cluster").applyInPandas(run, FIT_SCHEMA))
     clean = found.withColumn("pred", F.when(~F.isnan("pred"), F.col("pred")))
     return {
         "predictions": clean.where("part = 'unknown'").groupBy(F.col("id").alias(key)).pivot("property", properties).agg(F.first("pred")),

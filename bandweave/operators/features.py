@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from bandweave.operators.relational import running_below, small
+
 # distributed
 
 
@@ -18,15 +20,16 @@ def correlation_bands(rows: DataFrame, vector: str, outcome: str) -> DataFrame:
     """(band) that a window of three keeps: |Spearman correlation| with the outcome, averaged over three neighbours, at
     least a standard deviation above the windows' mean. All bands where no window passes or a correlation is undefined.
 
-    Average ranks need a sort per band; the outcome's ranks come from its distinct values.
+    Average ranks come from the distinct values of each band and of the outcome, put in order piece by piece.
     """
-    counts = rows.groupBy(F.col(outcome).alias("_y")).agg(F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("_y", (below + (F.col("n") + 1) / 2).alias("ry"))  # one row per distinct outcome
-    bands = rows.select(F.col(outcome).alias("_y"), F.posexplode(vector).alias("band", "v")).join(F.broadcast(ranks) if ranks.limit(100_001).count() <= 100_000 else ranks, "_y")
-    whole = Window.partitionBy("band")
-    ranked = bands.withColumn("rv", F.rank().over(whole.orderBy("v")) + (F.count("*").over(Window.partitionBy("band", "v")) - 1) / 2.0)
-    r = ranked.groupBy("band").agg(F.abs(F.corr("rv", "ry")).alias("r"))
+    outcomes = rows.groupBy(F.col(outcome).cast("double").alias("_y")).agg(F.count("*").alias("_n"))
+    ranks = running_below(outcomes, [], "_y", "_n").select("_y", (F.col("_below") + (F.col("_n") + 1) / 2).alias("ry"))
+    bands = rows.select(F.col(outcome).cast("double").alias("_y"), F.posexplode(vector).alias("band", "v"))
+    pairs = bands.groupBy("band", "v", "_y").agg(F.count("*").alias("m")).join(small(ranks), "_y")
+    values = bands.groupBy("band", "v").agg(F.count("*").alias("_n"))
+    ranked = running_below(values, ["band"], "v", "_n").select("band", "v", (F.col("_below") + (F.col("_n") + 1) / 2).alias("rv"))
+    weighted = pairs.join(ranked, ["band", "v"]).select("band", F.explode(F.array_repeat(F.struct("rv", "ry"), F.col("m").cast("int"))).alias("p")).select("band", "p.*")
+    r = weighted.groupBy("band").agg(F.abs(F.corr("rv", "ry")).alias("r"))
     run = Window.orderBy("band").rowsBetween(0, 2)  # one row per band
     windows = r.withColumn("w", F.avg("r").over(run)).withColumn("k", F.count("r").over(run)).where("k = 3")
     cut = windows.agg((F.avg("w") + F.stddev_samp("w")).alias("cut"))
@@ -63,36 +66,52 @@ class Projection:
 def fit_projection(rows: DataFrame, vector: str, threshold: float = 0.95, scale: bool = True, axis: list[float] | None = None) -> Projection:
     """First components whose cumulative variance reaches the threshold; rows with a missing or NaN band are left out.
 
-    The moments are summed on the executors and merged as a tree; the driver sees one p x p matrix.
+    Blocks of rows give their count, mean and centred products, which are merged pair by pair on the executors, as a tree.
     """
-    clean = rows.where(F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v))).select(vector)
-
-    def moments(parts):
-        n, total, square = 0, None, None
-        for row in parts:
-            x = np.asarray(row[0], float)
-            if total is None:
-                total, square, shift = np.zeros(len(x)), np.zeros((len(x), len(x))), None
-            n, total = n + 1, total + x
-            held.append(x)
-            if len(held) >= 512:
-                block = np.stack(held)
-                square += block.T @ block
-                held.clear()
-        if held and square is not None:
-            block = np.stack(held)
-            square += block.T @ block
-            held.clear()
-        if n:
-            yield n, total, square
-
-    held: list = []
-    first = clean.first()
-    if first is None:
+    clean = rows.where(F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v))).select(F.col(vector).cast("array<double>").alias("x"))
+
+    def joined(a, b):
+        if a is None or b is None:
+            return b if a is None else a
+        n, shift = a[0] + b[0], b[1] - a[1]
+        return n, a[1] + shift * (b[0] / n), a[2] + b[2] + np.outer(shift, shift) * (a[0] * b[0] / n)
+
+    def out(found):
+        import pyarrow as pa
+
+        if found is not None:
+            n, mean, square = found
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mean.tobytes()]), pa.array([square.tobytes()])], names=["n", "mean", "square"])
+
+    def moments(batches):
+        found = None
+        for batch in batches:
+            column = batch.column(0)
+            width = len(column[0]) if len(column) else 0
+            for start in range(0, len(column), 4096):
+                x = column.slice(start, 4096).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                mean = x.mean(0)
+                found = joined(found, (len(x), mean, (x - mean).T @ (x - mean)))
+        yield from out(found)
+
+    def merge(batches):
+        found = None
+        for batch in batches:
+            for n, mean, square in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mean = np.frombuffer(mean)
+                found = joined(found, (n, mean, np.frombuffer(square).reshape(len(mean), -1)))
+        yield from out(found)
+
+    kind = "n long, mean binary, square binary"
+    parts, left = clean.mapInArrow(moments, kind), clean.rdd.getNumPartitions()
+    while left > 1:
+        left = -(-left // 16)
+        parts = parts.repartition(left).mapInArrow(merge, kind)
+    got = parts.first()
+    if got is None:
         raise ValueError("no whole rows")
-    got = clean.rdd.mapPartitions(moments).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), 2)
-    n, mean = got[0], got[1] / got[0]
-    cov = (got[2] - n * np.outer(mean, mean)) / max(1, n - 1)
+    n, mean = got["n"], np.frombuffer(got["mean"])
+    cov = np.frombuffer(got["square"]).reshape(len(mean), -1) / max(1, n - 1)
     sd = np.sqrt(np.maximum(np.diag(cov), 0)) if scale else np.ones(len(mean))
     sd = np.where(sd > 1e-12, sd, np.inf if scale else 1.0)
     return components_of(cov / np.outer(sd, sd), mean, sd, threshold, n, axis)

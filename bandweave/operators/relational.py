@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from bandweave import schema
 from bandweave.functions import text
+from bandweave.sources.sinks import settled
 
 JOIN_TYPES = ("inner", "left", "right", "full")
 #: The largest side that is broadcast, in rows of a few columns.
@@ -46,13 +47,76 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
+#: Groups of more rows take the way around a bracket; the share of ranks on either side of a quantile that the bracket
+#: holds, and the accuracy of its ends (their error in ranks is the inverse of it).
+DIRECT_ROWS, BRACKET, ACCURACY = 100_000, 5e-4, 10_000
+
+
+def quantiles(rows: DataFrame, value: str, shares: list[float], by: list[str] | None = None, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+    """(by, q0, q1, ...): the exact quantiles, interpolated between neighbours (type 7), of the values that are not NULL.
+
+    A group of up to direct_rows rows is sorted at once. In larger ones approximate quantiles bracket each wanted rank;
+    the rows below the bracket are counted, and only the distinct values inside it are put in order.
+    """
+    by, names = by or [], [f"q{i}" for i in range(len(shares))]
+    clean = rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    sizes = clean.groupBy(*by).agg(F.count("*").alias("_n"))
+    meet = lambda left, right: left.join(right, [*by]) if by else left.crossJoin(F.broadcast(right))
+    if sizes.where(F.col("_n") > direct_rows).isEmpty():
+        return clean.groupBy(*by).agg(*[F.percentile("_v", p).alias(n) for n, p in zip(names, shares, strict=True)])
+    few = meet(clean, small(sizes.where(F.col("_n") <= direct_rows)) if by else sizes.where(F.col("_n") <= direct_rows))
+    direct = few.groupBy(*by).agg(*[F.percentile("_v", p).alias(n) for n, p in zip(names, shares, strict=True)])
+    ends = [min(max(p + d, 0.0), 1.0) for p in shares for d in (-BRACKET, BRACKET)]
+    ends = clean.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_e")).where(F.col("_n") > direct_rows)
+    at = [F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.get("_e", F.lit(2 * i)).alias("lo"), F.get("_e", F.lit(2 * i + 1)).alias("hi")) for i, p in enumerate(shares)]
+    ends = ends.select(*by, "_n", F.array(*at).alias("_e"))
+    held = meet(clean, small(ends) if by else ends).select(*by, "_n", "_v", F.explode("_e").alias("_e")).where("_v <= _e.hi")
+    # what is below the bracket counts as one value
+    counts = held.groupBy(*by, "_e.i", "_e.p", "_n", F.when(F.col("_v") >= F.col("_e.lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    rank = (F.col("_n") - 1) * F.col("p")
+    found = counts.withColumn("upto", upto).groupBy(*by, "i").agg(
+        F.min(F.when(F.col("upto") > F.floor(rank), F.col("_v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil(rank), F.col("_v"))).alias("b"), F.first(rank - F.floor(rank)).alias("t")
+    )
+    value_of = F.col("a") + F.when(F.col("b") > F.col("a"), F.col("t") * (F.col("b") - F.col("a"))).otherwise(0.0)
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, value_of)).alias(n) for i, n in enumerate(names)])
+    return direct.unionByName(wide) if by else wide
+
+
+def running_below(rows: DataFrame, by: list[str], value: str, weight: str, buckets: int = 64) -> DataFrame:
+    """rows with _below: the weight of the rows of the group with a lower value. (by, value) do not repeat.
+
+    The groups are cut at approximate quantiles, so that no task orders a whole group: inside a piece the weights are
+    added up in order, and the pieces before it are added as a whole.
+    """
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
+    meet = rows.join(small(cuts), by) if by else rows.crossJoin(F.broadcast(cuts))
+    piece = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    cut = meet.withColumn("_piece", piece).drop("_cuts")
+    totals = cut.groupBy(*by, "_piece").agg(F.sum(weight).alias("_w"))
+    before = F.sum("_w").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*by, "_piece", F.coalesce(before, F.lit(0)).alias("_before"))  # at most buckets rows a group
+    inside = F.sum(weight).over(Window.partitionBy(*by, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    out = cut.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(small(totals), [*by, "_piece"])
+    return out.withColumn("_below", F.col("_before") + F.col("_inside")).drop("_piece", "_before", "_inside")
+
+
+#: Bytes of the centers that travel in one row.
+CENTER_BYTES = 64 << 20
+
+
+def _checked(centers: DataFrame, center: str) -> None:
+    n, width = centers.agg(F.count("*"), F.max(F.size(center))).first()
+    if n * (width or 0) * 8 > CENTER_BYTES:
+        raise ValueError(f"{n} centers of {width} values are too many to broadcast")
+
+
 def nearest_centroid(points: DataFrame, centers: DataFrame, key: str, vector: str = "x", center: str = "center", cluster: str = "cluster") -> DataFrame:
-    """points with the nearest of at most some thousand centers and its distance; the lowest cluster wins a tie.
+    """points with the nearest center (of CENTER_BYTES in all) and its distance; the lowest cluster wins a tie.
 
     The centers travel as one array in one broadcast row, so that no pair of rows is made.
     """
-    if centers.limit(10_001).count() > 10_000:
-        raise ValueError("too many centers")
+    _checked(centers, center)
     table = centers.agg(F.array_sort(F.collect_list(F.struct(F.col(cluster).alias("k"), F.col(center).alias("c")))).alias("_centers"))
     best = F.array_min(F.transform("_centers", lambda p: F.struct(squared_distance(F.col(vector), p["c"]).alias("d"), p["k"].alias("k"))))
     return points.crossJoin(F.broadcast(table)).withColumn("_best", best).select(*points.columns, F.col("_best.k").alias(cluster), F.sqrt("_best.d").alias("distance"))
@@ -60,19 +124,16 @@ def nearest_centroid(points: DataFrame, centers: DataFrame, key: str, vector: st
 
 def distance_pool(points: DataFrame, centers: DataFrame, key: str, percentile: float = 0.6, vector: str = "x", center: str = "center", cluster: str = "cluster") -> DataFrame:
     """(key, cluster, distance) of the points within each center's distance quantile; a point may be in several pools."""
-    if centers.limit(10_001).count() > 10_000:
-        raise ValueError("too many centers")
+    _checked(centers, center)
     pairs = points.select(key, vector).crossJoin(F.broadcast(centers.select(cluster, center)))
-    pairs = pairs.select(key, cluster, F.sqrt(squared_distance(F.col(vector), F.col(center))).alias("distance"))
-    cut = pairs.groupBy(cluster).agg(F.percentile("distance", percentile).alias("_cut"))
-    return pairs.join(F.broadcast(cut), cluster).where("distance <= _cut").drop("_cut")
+    pairs = settled(pairs.select(key, cluster, F.sqrt(squared_distance(F.col(vector), F.col(center))).alias("distance")))
+    return coverage_filter(pairs, percentile, [cluster])
 
 
 def coverage_filter(pool: DataFrame, coverage: float = 0.8, by: list[str] | None = None) -> DataFrame:
     """The rows of each pool within its own distance quantile."""
     by = by or ["cluster"]
-    cut = pool.groupBy(*by).agg(F.percentile("distance", coverage).alias("_cut"))
-    return pool.join(F.broadcast(cut), by).where("distance <= _cut").drop("_cut")
+    return pool.join(small(quantiles(pool, "distance", [coverage], by)), by).where("distance <= q0").drop("q0")
 
 
 def replicate_average(rows: DataFrame, by: list[str], mean: list[str], order_by: str) -> DataFrame:
@@ -153,18 +214,34 @@ def hashed_sample(rows: DataFrame, key: str, n: int, seed: int = 307) -> DataFra
 def quartile_bin(rows: DataFrame, value: str, name: str = "bin", by: list[str] | None = None) -> DataFrame:
     """Q1 to Q4 by the exact quartiles, the lowest value included; tied breaks merge bins. NULL stays NULL."""
     by = by or []
-    cuts = rows.groupBy(*by).agg(*[F.percentile(value, p).alias(f"_q{i}") for i, p in ((1, 0.25), (2, 0.5), (3, 0.75))])
-    joined = rows.join(F.broadcast(cuts), by) if by else rows.crossJoin(F.broadcast(cuts))
+    cuts = quantiles(rows, value, [0.25, 0.5, 0.75], by)
+    joined = rows.join(small(cuts), by) if by else rows.crossJoin(F.broadcast(cuts))
     v = F.col(value)
-    label = F.when(v <= F.col("_q1"), "Q1").when(v <= F.col("_q2"), "Q2").when(v <= F.col("_q3"), "Q3").when(v.isNotNull(), "Q4")
-    return joined.withColumn(name, label).drop("_q1", "_q2", "_q3")
+    label = F.when(v <= F.col("q0"), "Q1").when(v <= F.col("q1"), "Q2").when(v <= F.col("q2"), "Q3").when(v.isNotNull(), "Q4")
+    return joined.withColumn(name, label).drop("q0", "q1", "q2")
+
 
+def stratified_rank(rows: DataFrame, value: str, order: Column, by: list[str] | None = None, pieces: int = 256) -> DataFrame:
+    """Adds bin, rank within the bin (from 1) by order, a struct of a number and the key, and the bin's size.
 
-def stratified_rank(rows: DataFrame, value: str, order: Column, by: list[str] | None = None) -> DataFrame:
-    """Adds bin, rank within the bin (from 1) and the bin's size."""
-    binned = quartile_bin(rows, value, "bin", by)
-    part = Window.partitionBy(*(by or []), "bin")
-    return binned.withColumn("rank", F.row_number().over(part.orderBy(order))).withColumn("bin_size", F.count("*").over(part))
+    The bins are cut into pieces at approximate quantiles of the number, so that no task orders a whole bin.
+    """
+    part = [*(by or []), "bin"]
+    binned = quartile_bin(rows, value, "bin", by).withColumn("_order", order)
+    number = F.col("_order").getField(next(f.name for f in binned.schema["_order"].dataType.fields))
+    cuts = binned.agg(F.percentile_approx(number, [i / pieces for i in range(1, pieces)], 10_000).alias("_cuts"))
+    binned = binned.crossJoin(F.broadcast(cuts)).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < number))).drop("_cuts")
+    sizes = binned.groupBy(*part, "_piece").agg(F.count("*").alias("_n"))
+    over = Window.partitionBy(*part)
+    before = F.sum("_n").over(over.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*part, "_piece", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(over).alias("bin_size"))
+    inside = F.row_number().over(Window.partitionBy(*part, "_piece").orderBy("_order"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in part] + [F.col("a._piece") == F.col("b._piece")]
+    condition = same[0]
+    for x in same[1:]:
+        condition = condition & x
+    joined = binned.withColumn("_inside", inside).alias("a").join(small(sizes).alias("b"), condition)
+    return joined.select(*[F.col(f"a.{c}") for c in binned.columns if c not in ("_order", "_piece")], (F.col("b._before") + F.col("a._inside")).alias("rank"), "b.bin_size")
 
 
 def stratified_split(rows: DataFrame, value: str, key: str, train_share: float = 0.8, seed: int = 307, by: list[str] | None = None, order: Column | None = None) -> DataFrame:
@@ -229,15 +306,19 @@ def property_map(spark: SparkSession) -> DataFrame:
 def iqr_outliers(rows: DataFrame, value: str, cutoff: float = 1.5) -> DataFrame:
     """rows with response_outlier: strictly outside the Tukey fences of the usable values."""
     clean = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
-    fences = rows.agg(F.percentile(clean, 0.25).alias("_a"), F.percentile(clean, 0.75).alias("_b"))
+    fences = quantiles(rows.select(clean.alias("v")), "v", [0.25, 0.75]).withColumnsRenamed({"q0": "_a", "q1": "_b"})
     width = F.col("_b") - F.col("_a")
     flag = F.coalesce((clean < F.col("_a") - cutoff * width) | (clean > F.col("_b") + cutoff * width), F.lit(False))
     return rows.crossJoin(F.broadcast(fences)).withColumn("response_outlier", flag).drop("_a", "_b")
 
 
-def skewness_proxy(value: str) -> Column:
-    """(mean - median) / sd."""
-    return (F.avg(value) - F.percentile(value, 0.5)) / F.nullif(F.stddev_samp(value), F.lit(0.0))
+def skewness_proxy(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(by, skew): (mean - median) / sd of each group."""
+    by = by or []
+    moments = rows.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    medians = quantiles(rows, value, [0.5], by)
+    joined = moments.join(medians, by, "left") if by else moments.crossJoin(F.broadcast(medians))
+    return joined.select(*by, ((F.col("_m") - F.col("q0")) / F.nullif(F.col("_s"), F.lit(0.0))).alias("skew"))
 
 
 def prune_flags(results: DataFrame, train_mean: float, train_sd: float, threshold: float = 0.9) -> DataFrame:

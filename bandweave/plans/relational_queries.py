@@ -175,7 +175,9 @@ def iqr_outliers(spark, sf_dir):
 
 @register("skewness_proxy", "SELECT c_mktsegment, round((avg(c_acctbal) - median(c_acctbal)) / stddev_samp(c_acctbal), 6) AS skew, round(quantile_cont(c_acctbal, .9), 6) AS q90 FROM customer GROUP BY 1")
 def skewness_proxy(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(r6(rel.skewness_proxy("c_acctbal")).alias("skew"), r6(F.percentile("c_acctbal", 0.9)).alias("q90"))
+    rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_acctbal")
+    both = rel.skewness_proxy(rows, "c_acctbal", ["c_mktsegment"]).join(rel.quantiles(rows, "c_acctbal", [0.9], ["c_mktsegment"]), "c_mktsegment")
+    return both.select("c_mktsegment", r6("skew").alias("skew"), r6("q0").alias("q90"))
 
 
 def _daily(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import json
 import logging
 
@@ -45,3 +47,17 @@ def log_to(path: str) -> logging.Logger:
     log.addHandler(handler)
     log.setLevel(logging.INFO)
     return log
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a table under spark.checkpoint.dir, so that it is worked out once and survives lost executors.
+
+    Without that setting, as in tests, Spark's cache (memory and disk) stands in.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        return df.persist()
+    path = f"{base.rstrip('/')}/bandweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

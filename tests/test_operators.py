@@ -247,3 +247,60 @@ def test_selection_queries_reject_noise(monkeypatch):
     kept = set(features.select_boruta(x, y, np.random.default_rng(0), **settings["boruta"]))
     assert {10, 11} <= kept and len(kept) < 12
     assert settings["cars"] == {}
+
+
+def test_quantiles_around_a_bracket_are_exact(spark):
+    from bandweave.operators import relational as rel
+
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.standard_normal(3000), "b": np.round(rng.exponential(1, 2000), 1), "c": np.r_[np.zeros(900), rng.random(100)], "d": rng.random(7), "e": np.array([5.0])}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("a", None), ("f", None)], "k string, v double")
+    shares = [0.0, 0.25, 0.5, 0.6, 0.975, 1.0]
+    for direct in (10, 1500, 100_000):
+        got = {r["k"]: [r[f"q{i}"] for i in range(len(shares))] for r in rel.quantiles(rows, "v", shares, ["k"], direct).collect()}
+        for k, x in groups.items():
+            assert np.allclose(got[k], np.quantile(x, shares), rtol=0, atol=1e-12), (direct, k)
+    whole = np.concatenate(list(groups.values()))
+    assert np.allclose(list(rel.quantiles(rows, "v", shares, None, 10).first()), np.quantile(whole, shares))
+
+
+def test_ranks_of_pieces_are_whole(spark):
+    from pyspark.sql.window import Window
+
+    from bandweave.operators import relational as rel
+
+    rng = np.random.default_rng(5)
+    values = sorted({(k, int(v)) for k in range(3) for v in rng.integers(0, 5000, 700)})
+    rows = spark.createDataFrame([(k, float(v), int(w)) for (k, v), w in zip(values, rng.integers(1, 4, len(values)))], "k int, v double, w long")
+    for r in rel.running_below(rows, ["k"], "v", "w", 8).toPandas().groupby("k"):
+        one = r[1].sort_values("v")
+        assert (one["_below"].to_numpy() == one["w"].cumsum().to_numpy() - one["w"].to_numpy()).all()
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 50 > 0, F.col("id") % 97).cast("double").alias("v"))
+    order = F.struct(F.xxhash64("id", F.lit(1)), "id")
+    plain = Window.partitionBy("bin").orderBy(order)
+    want = {(r["id"], r["bin"], r["k"]) for r in rel.quartile_bin(rows, "v").withColumn("k", F.row_number().over(plain)).collect()}
+    assert {(r["id"], r["bin"], r["rank"]) for r in rel.stratified_rank(rows, "v", order, pieces=16).collect()} == want
+
+
+def test_projection_keeps_its_digits_far_from_zero(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((500, 6)) @ rng.standard_normal((6, 6)) + 1e7
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>").repartition(20)
+    found = features.fit_projection(rows, "x", 1.0, scale=False)
+    assert np.allclose(found.variances, np.sort(np.linalg.eigvalsh(np.cov(x, rowvar=False)))[::-1], rtol=1e-6)
+    assert np.allclose(found.mean, x.mean(0), rtol=1e-12)
+
+
+def test_spectral_outliers_equal_their_definition(spark):
+    """At the production share of variance, where some components are left out."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((200, 8)) * np.array([9, 7, 5, 3, 1, 0.3, 0.1, 0.05])
+    x[0] += 40
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>")
+    values, vectors = np.linalg.eigh(np.cov(x, rowvar=False))
+    values, vectors = values[::-1], vectors[:, ::-1]
+    k = int(np.searchsorted(np.cumsum(values) / values.sum(), 0.99)) + 1
+    want = np.sqrt((((x - x.mean(0)) @ vectors[:, :k]) ** 2 / values[:k]).sum(1))
+    got = {r["id"]: (r["mahalanobis"], r["spectral_outlier"]) for r in features.spectral_outliers(rows, "x", 0.975, 0.99).collect()}
+    assert 1 < k < 8 and np.allclose([got[i][0] for i in range(200)], want)
+    assert got[0][1] and sum(o for _, o in got.values()) < 30
