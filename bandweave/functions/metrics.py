@@ -108,10 +108,3 @@ def rpd_band(value: Column | str) -> Column:
 def ccc_band(value: Column | str) -> Column:
     value = F.col(value) if isinstance(value, str) else value
     return F.when(value.isNull(), F.lit(None)).when(value < 0.65, "poor").when(value < 0.80, "moderate").when(value <= 0.90, "substantial").otherwise("excellent")
-
-
-def rpiq(truth, estimate) -> Column:
-    """Interquartile range of the truth over RMSE (an extra); infinite for a perfect fit."""
-    t, _ = _pair(truth, estimate)
-    error = rmse(truth, estimate)
-    return F.when(error < EPS, F.lit(float("inf"))).otherwise((F.percentile(t, 0.75) - F.percentile(t, 0.25)) / F.when(error >= EPS, error))

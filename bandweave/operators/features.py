@@ -372,16 +372,22 @@ def select_cars(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, iteratio
 
 
 class Recipe:
-    """The steps of a configuration, learnt on training rows: selection or components, covariates, interactions."""
+    """The steps of a configuration, learnt on training rows: selection or components, covariates, interactions.
 
-    def __init__(self, feature_selection: str = "none", covariate_interactions: bool = False, seed: int = 307, **settings):
-        if feature_selection not in ("none", "pca", "correlation", "boruta", "cars"):
+    learn is a step of one's own in place of feature_selection: learn(x, y, rng, **settings) gives a function that turns
+    a matrix of spectra into features, for the training rows and later for others.
+    """
+
+    def __init__(self, feature_selection: str = "none", covariate_interactions: bool = False, seed: int = 307, learn=None, **settings):
+        if learn is None and feature_selection not in ("none", "pca", "correlation", "boruta", "cars"):
             raise ValueError(f"feature selection {feature_selection!r} is not supported")
-        self.kind, self.interact, self.seed, self.settings = feature_selection, covariate_interactions, seed, settings
+        self.kind, self.interact, self.seed, self.learn, self.settings = feature_selection, covariate_interactions, seed, learn, settings
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Recipe:
         rng = np.random.default_rng(self.seed)
-        if self.kind == "pca":
+        if self.learn is not None:
+            self.step = self.learn(x, y, rng, **self.settings)
+        elif self.kind == "pca":
             sd = x.std(0, ddof=1)
             sd = np.where(sd > 1e-12, sd, np.inf)
             z = (x - x.mean(0)) / sd

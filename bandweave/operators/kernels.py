@@ -137,16 +137,3 @@ def row_quality(x: Column | str) -> dict[str, Column]:
 def library_preprocess(x: Column | str, smooth_window: int = 9, smooth_poly: int = 1, derivative_order: int = 0) -> Column:
     """Savitzky-Golay, then standard normal variate (the other order than snv_deriv); the polynomial is raised if too low."""
     return spectral.snv(spectral.sliding_dot(x, spectral.savgol_kernel(smooth_window, max(smooth_poly, derivative_order), derivative_order)))
-
-
-def multiplicative_scatter(spectra: DataFrame, column: str = "spectrum") -> DataFrame:
-    """MSC (an extra): each row regressed on the mean spectrum, offset removed and slope divided out."""
-    reference = spectra.select(F.posexplode(column).alias("band", "v")).groupBy("band").agg(F.avg("v").alias("v"))
-    reference = reference.agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "v"))), lambda p: p["v"]).alias("_r"))
-    both = spectra.crossJoin(F.broadcast(reference))
-    pair = F.zip_with(column, "_r", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    total = lambda f: F.aggregate(pair, F.lit(0.0), lambda s, p: s + f(p))
-    n, sa, sb = F.size(column), total(lambda p: p["a"]), total(lambda p: p["b"])
-    slope = (n * total(lambda p: p["a"] * p["b"]) - sa * sb) / F.nullif(n * total(lambda p: p["b"] * p["b"]) - sb * sb, F.lit(0.0))
-    fitted = both.withColumn("_s", slope).withColumn("_o", (sa - F.col("_s") * sb) / n)
-    return fitted.withColumn(column, F.when(F.col("_s") != 0, F.transform(column, lambda v: (v - F.col("_o")) / F.col("_s")))).drop("_r", "_s", "_o")

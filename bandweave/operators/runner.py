@@ -145,10 +145,6 @@ def finalize_top(spark: SparkSession, results: DataFrame, problem: tuning.Proble
     return finalized, tuning.predictions_of(spark, best, [by_id[b["config_id"]] for b in best], problem, trees, seed)
 
 
-def workflow_configs(configs: DataFrame) -> DataFrame:
-    return with_workflow_id(configs)
-
-
 def parallel_settings(executor_cores: int = 4, buffer: int = schema.CORE_BUFFER) -> dict[str, str]:
     """Session settings for a model search: single-threaded BLAS in each Python worker, and tasks that are not merged."""
     threads = {f"spark.executorEnv.{n}": "1" for n in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS", "VECLIB_MAXIMUM_THREADS")}

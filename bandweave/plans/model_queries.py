@@ -198,10 +198,21 @@ def bayes_search(spark, sf_dir):
     return found.select("config_id", "workflow_id", "status", F.round("rrmse", 4).alias("rrmse"), F.size("best_params").cast("long").alias("n_params"))
 
 
+@register("linear_fits", f"WITH {_RESPONSE} SELECT m.model, \"Sample_ID\"::VARCHAR AS row_id, round(y, 3) AS truth, round(y, 3) AS pred FROM r, (VALUES ('elastic_net'), ('plsr')) m(model)")
+def linear_fits(spark, sf_dir):
+    """The response is linear in the bands: fits without penalty, or with all components, give it back on rows held out,
+    by folds for the training rows and at the end for the test rows."""
+    problem = tuning.collect_problem(_dataset(spark, sf_dir), "Response", preprocessing=("raw",), v=3)
+    settings = {"elastic_net": {"penalty": 1e-12, "mixture": 0.05}, "plsr": {"num_comp": 56}}
+    configs = [{"config_id": m, "workflow_id": m, "model": m, "transformation": "none", "preprocessing": "raw", "feature_selection": "none", "covariates": []} for m in settings]
+    rows = tuning.predictions_of(spark, configs, list(settings.values()), problem)
+    return rows.select("model", "row_id", F.round("truth", 3).alias("truth"), F.round("pred", 3).alias("pred"))
+
+
 @register("final_ensemble")
 def final_ensemble(spark, sf_dir):
-    """Search, the best two refitted, a stacked blend of their cross-validated predictions, and its test metrics."""
-    from bandweave.operators.ensemble import build_ensemble
+    """Search, the best two refitted, ensembles of their cross-validated predictions by each method, and their test metrics."""
+    from bandweave.operators.ensemble import METHODS, build_ensemble
     from bandweave.operators.runner import finalize_top
 
     problem = tuning.collect_problem(_dataset(spark, sf_dir), "Response", preprocessing=("raw",), v=3)
@@ -210,8 +221,11 @@ def final_ensemble(spark, sf_dir):
     _, long = finalize_top(spark, results, problem, 2, bayes_iter=1)
     long = spark.createDataFrame(long.collect(), long.schema)
     parts = [long.where(F.col("kind") == k).select("row_id", "truth", "model", "pred") for k in ("cv", "test")]
-    rows = [build_ensemble(*parts, method=m)["metrics"].select(F.lit(m).alias("method"), *[F.round(x, 4).alias(x) for x in metrics.METRICS]) for m in ("stacks", "weighted_average")]
-    return rows[0].unionByName(rows[1])
+    rows = [build_ensemble(*parts, method=m)["metrics"].select(F.lit(m).alias("method"), *[F.round(x, 4).alias(x) for x in metrics.METRICS]) for m in METHODS]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 @register("soil_covariates")

@@ -11,7 +11,7 @@ import re
 import struct
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,9 +194,10 @@ def to_wide(spectra: DataFrame, wavenumbers: list[float], id_col: str = "Sample_
 
 
 def cached_path(folder: str, name: str) -> str | None:
-    """Path of a cached local table, or None where it is missing."""
-    path = os.path.join(folder, name)
-    return path if os.path.exists(path) else None
+    """Path of a cached table in any store that Spark reaches, or None where it is missing."""
+    spark, path = SparkSession.active(), f"{folder.rstrip('/')}/{name}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
 
 
 def read_library(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -217,7 +218,3 @@ def digest_of(df: DataFrame, *params: object) -> str:
     import hashlib
 
     return hashlib.md5(repr((tuple(got), df.columns, params)).encode()).hexdigest()
-
-
-def any_column(name: str) -> Column:
-    return F.col(f"`{name}`")

@@ -304,3 +304,19 @@ def test_spectral_outliers_equal_their_definition(spark):
     got = {r["id"]: (r["mahalanobis"], r["spectral_outlier"]) for r in features.spectral_outliers(rows, "x", 0.975, 0.99).collect()}
     assert 1 < k < 8 and np.allclose([got[i][0] for i in range(200)], want)
     assert got[0][1] and sum(o for _, o in got.values()) < 30
+
+
+def test_steps_of_ones_own_are_tuned_like_others(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 20))
+    rows = spark.createDataFrame([(f"s{i}", v.tolist(), float(3 * v[6] + 1)) for i, v in enumerate(x)], "Sample_ID string, spectrum array<double>, Response double")
+
+    def strongest(x, y, rng):
+        r = np.abs([np.corrcoef(c, y)[0, 1] for c in x.T])
+        return lambda v: v[:, [int(r.argmax())]]
+
+    problem = tuning.collect_problem(rows, "Response", v=3, steps={"strongest": strongest})
+    configs = relational.create_configs(spark, ("elastic_net",), feature_selection=("strongest", "unknown"))
+    found = {r["feature_selection"]: r for r in tuning.evaluate_configurations(spark, configs, problem, 2, 0, False).collect()}
+    assert found["strongest"]["status"] == "success" and found["strongest"]["rmse"] < 0.5
+    assert found["unknown"]["status"] == "failed" and found["unknown"]["error_stage"] == "Input Validation"
