@@ -20,6 +20,9 @@ PER_CLASS, PAIRS = 3000, 60_000
 EPOCHS, RATE, DECAY = 300, 0.5, 1e-4
 #: A document is predicted to be good from this score, at which the quantile threshold is placed.
 CUT = 0.3
+NEAR = 0.001
+#: Identifiers of labelled rows up to which they are broadcast.
+BROADCAST_IDS = 2_000_000
 _PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum()]
 
 
@@ -72,11 +75,13 @@ def fit(rows: np.ndarray, labels: np.ndarray, rejected_share: float | None = Non
     mean, sd = rows.mean(0), rows.std(0)
     sd = np.where(sd > 1e-9, sd, np.inf)  # constant features do not count
     x, rng = (rows - mean) / sd, np.random.default_rng(seed)
-    step = (x[rng.choice(good, pairs)] - x[rng.choice(bad, pairs)]).astype(np.float32)
+    better, worse = rng.choice(good, pairs), rng.choice(bad, pairs)
     weights, squares = np.zeros(width), np.full(width, 1e-6)
     for _ in range(EPOCHS):
-        wrong = 1 / (1 + np.exp(np.clip(step @ weights, -30, 30)))
-        grad = -(wrong @ step) / pairs + DECAY * weights
+        score = x @ weights
+        wrong = 1 / (1 + np.exp(np.clip(score[better] - score[worse], -30, 30)))
+        pull = np.bincount(better, wrong, len(x)) - np.bincount(worse, wrong, len(x))
+        grad = -(pull @ x) / pairs + DECAY * weights
         squares += grad * grad
         weights -= RATE * grad / np.sqrt(squares)
     found = Ranking(mean, sd, weights)
@@ -94,7 +99,8 @@ def fit(rows: np.ndarray, labels: np.ndarray, rejected_share: float | None = Non
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Ranking:
-    """Fits on the bounded sample; its features are made by the executors."""
+    """Fits the weights on the bounded sample, whose features are made by the executors. The threshold is the quantile of the
+    scores of all labelled rows that are not held out, at the share of rejected ones (midway over NEAR on either side)."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -103,18 +109,41 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
         return pd.Series([features(t) for t in texts])
 
-    rows = with_labels(docs.select(id_col, text_col), labels, label_col, per_class, id_col)
-    got = rows.select(id_col, "label", described(F.col(text_col).cast("string")).alias("x")).toPandas().sort_values(id_col)
-    share = labels.where(~held_out(F.col(id_col))).agg(F.avg((F.col(label_col) == 0).cast("double"))).first()[0]
+    rows = with_labels(docs, labels, label_col, per_class, id_col, text_col)
+    got = rows.select(id_col, "label", described(F.col("text")).alias("x")).toPandas().sort_values(id_col)
     if got.empty:
         return fit(np.zeros((0, len(features("")))), np.zeros(0))
-    return fit(np.stack(got["x"].to_numpy()), got["label"].to_numpy(), share)
+    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label_col).alias("label"))
+    share = usable.agg(F.avg((F.col("label") == 0).cast("double"))).first()[0]
+    model = fit(np.stack(got["x"].to_numpy()), got["label"].to_numpy(), share)
+    if 0 < share < 1:
+        few = usable.select(id_col)
+        few = F.broadcast(few) if few.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else few
+        scores = docs.select(id_col, text_col).join(few, id_col, "left_semi").select(_strength(docs.sparkSession, model, text_col).alias("s"))
+        near = [min(max(share + d, 0.0), 1.0) for d in (-NEAR, NEAR)]
+        low, high = scores.agg(F.percentile_approx("s", near, 10_000)).first()[0] or (model.threshold, model.threshold)
+        model.threshold = float((low + high) / 2)
+    return model
+
+
+def _strength(spark, model: Ranking, text_col: str):
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf(T.DoubleType())
+    def strength(texts):
+        import pandas as pd
+
+        if not len(texts):
+            return pd.Series([], dtype="float64")
+        return pd.Series(shared.value.strength(np.stack([features(t) for t in texts])))
+
+    return strength(F.col(text_col).cast("string"))
 
 
-def score_documents(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFrame:
-    """docs with quality_score (0 to 1) and quality_predicted (1 from CUT); columns of these names are replaced.
+def score_documents(docs: DataFrame, model: Ranking, text_col: str = "text", score: str = "quality_score", predicted: str = "quality_predicted") -> DataFrame:
+    """docs with score (0 to 1) and predicted (1 from CUT); columns of these names are replaced, others stay.
 
-    Null counts as empty; whole texts are read, whatever their length.
+    Null counts as empty; whole texts are read, whatever their length. Repeated rows stay, an empty table stays empty.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -128,8 +157,8 @@ def score_documents(docs: DataFrame, model: Ranking, text_col: str = "text") ->
             return pd.Series([], dtype="float64")
         return pd.Series(shared.value.quality(np.stack([features(t) for t in texts])))
 
-    rows = docs.withColumn("quality_score", judge(F.col(text_col).cast("string")))
-    return rows.withColumn("quality_predicted", (F.col("quality_score") >= CUT).cast("int"))
+    rows = docs.withColumn(score, judge(F.col(text_col).cast("string")))
+    return rows.withColumn(predicted, (F.col(score) >= CUT).cast("int"))
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
