@@ -11,11 +11,11 @@ Copies of a fingerprint count once, so that their number does not matter.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bandweave.llm.common import bounded_batches, connected_components, materialize, unused
+from bandweave.llm.common import Scratch, bounded_batches, connected_components, materialize, unused
 
 BITS, BUDGET = 64, 2
 SHINGLE = 3
@@ -147,21 +147,19 @@ def _signed(mask: int) -> int:
 
 
 def _dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
-    """fp (and weight) once for each mask, with the bits under it."""
+    """fp and weight once for each mask, with the bits under it."""
     return rows.select("fp", "weight", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET, always: int = 0, closer: bool = False) -> DataFrame:
-    """(u, v) edges between distinct fingerprints (column fp of a table) that connect what lies within budget bits.
+def _trie_tasks(distinct: DataFrame, task, schema: str, budget: int, bucket: int, always: int) -> DataFrame:
+    """What task makes of the fingerprints (fp, weight) of a table that share a block of bits.
 
-    Not all pairs: in each task a fingerprint u is tied to one v of those that it reaches there, the heaviest if there is
-    a column weight, else the lowest in the trie's order, so that there are at most budget + 1 edges for each fingerprint
-    at each round of dealing. always: a mask of bits that have to agree. closer: the same also for each smaller number of
-    bits, so that a fingerprint whose component holds strangers is tied to what is nearest to it as well.
+    Any two within budget bits of one another (and equal in the bits of always) meet in some task. A block value of more
+    than bucket fingerprints is dealt on by the bits that are still free. task gets, for each mask, the sorted distinct
+    fingerprints turned so that the mask's bits come first, their weights, the number of those bits, and the mask; it
+    gives columns of numbers.
     """
     bounded_batches(distinct.sparkSession)
-    if "weight" not in distinct.columns:
-        distinct = distinct.select("fp", F.lit(1).cast("long").alias("weight"))
     parts, done = [], []
     free = lambda mask: [b for b in range(63, -1, -1) if not mask >> b & 1]
     waiting = _dealt(distinct, [always | m for m in _blocks(free(always), budget + 1)])
@@ -179,6 +177,8 @@ def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET,
         finer = F.broadcast(distinct.sparkSession.createDataFrame(finer, "mask long, finer array<long>"))
         waiting = again.join(finer, "mask").select("fp", "weight", F.explode("finer").alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
 
+    names = [x.split()[0] for x in schema.split(", ")]
+
     def join(batches):
         import pyarrow as pa
 
@@ -192,24 +192,45 @@ def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET,
             own, first = np.unique(fps[here], return_index=True)
             turned = _rotated(own, np.array([mask]))
             order = np.argsort(turned)
-            weight = weights[here][first][order]
-            back = own[order].view(np.int64)
-            for within in range(1 if closer else budget, budget + 1):
-                root = local_roots(len(own), trie_pairs(turned[order], int(mask).bit_count(), within))
-                by = np.lexsort((np.arange(len(root)), -weight, root))  # the heaviest of each component first
-                start = np.r_[True, root[by][1:] != root[by][:-1]]
-                chief = np.empty(len(root), np.int64)
-                chief[by] = by[np.maximum.accumulate(np.where(start, np.arange(len(by)), 0))]
-                tied = np.flatnonzero(chief != np.arange(len(own)))
-                if len(tied):
-                    yield pa.RecordBatch.from_arrays([pa.array(back[tied]), pa.array(back[chief[tied]])], names=["u", "v"])
+            columns = task(own[order].view(np.int64), turned[order], weights[here][first][order], int(mask).bit_count(), int(mask))
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     for rows in done:
-        parts.append(rows.repartition("mask", "value").select("fp", "mask", "weight").mapInArrow(join, "u long, v long"))
-    edges = parts[0]
+        parts.append(rows.repartition("mask", "value").select("fp", "mask", "weight").mapInArrow(join, schema))
+    out = parts[0]
     for x in parts[1:]:
-        edges = edges.unionByName(x)
-    return edges.distinct()
+        out = out.unionByName(x)
+    return out
+
+
+def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET) -> DataFrame:
+    """(u, v) edges between distinct fingerprints (column fp of a table) that connect what lies within budget bits.
+
+    Not all pairs: in each task a fingerprint is tied to the first, in the trie's order, of those that it reaches there,
+    so that there are at most budget + 1 edges for each fingerprint at each round of dealing.
+    """
+
+    def tie(values, turned, weights, fixed, mask):
+        root = local_roots(len(turned), trie_pairs(turned, fixed, budget))
+        tied = np.flatnonzero(root != np.arange(len(root)))
+        return values[tied], values[root[tied]]
+
+    return _trie_tasks(distinct.select("fp", F.lit(1).cast("long").alias("weight")), tie, "u long, v long", budget, bucket, 0).distinct()
+
+
+def near_keys(distinct: DataFrame, budget: int, always: int, bucket: int = BUCKET) -> DataFrame:
+    """(key, fp): fingerprints (fp, weight: how often) with the same key reach one another within a task by steps of at
+    most budget bits. Any two that are that near share a key; a key stands for two at least, by weight."""
+
+    def name(values, turned, weights, fixed, mask):
+        root = local_roots(len(turned), trie_pairs(turned, fixed, budget))
+        shared = np.flatnonzero(np.bincount(root, weights, len(root))[root] > 1)
+        key = values[root[shared]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        key = (key ^ (key >> np.uint64(31)) ^ np.uint64(mask)) * np.uint64(0xBF58476D1CE4E5B9)
+        return key.view(np.int64), values[shared]
+
+    return _trie_tasks(distinct, name, "key long, fp long", budget, bucket, always)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
@@ -228,58 +249,82 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(materialize(named), "fp").select(id_col, "fp", "component_id")
 
 
-#: Wide fingerprints: WORDS of 64 bits each.
-WORDS = 10
-#: Candidates share one of BANDS keys, each of ROWS least hashes: missed at Jaccard similarity 0.8 with (1 - 0.8 ** 6) ** 36 = 0.00002.
-BANDS, ROWS = 36, 6
-#: The fingerprints exclude a pair only beyond so many standard deviations, and only where both texts have so many shingles.
-MARGIN, FEW = 6, 64
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
+#: Wide fingerprints, for texts: so many parts, each the key of a trie join of its own.
+PARTS = 40
+#: (rows up to, bits of a part, differing bits): each finds a pair at a Jaccard similarity of 0.8 with a probability of
+#: 0.12 or 0.13 (so that all parts miss it with 0.007 at most, and at 0.82 with 0.002), while a row has few strangers.
+WIDTHS = ((2_000_000, 32, 2), (25_000_000, 40, 3), (300_000_000, 48, 4), (1 << 62, 56, 5))
+#: Wide fingerprints exclude a pair only beyond so many standard deviations, and only where both texts have FEW shingles;
+#: pairs with a text of fewer share a shingle of their prefixes (a fifth of each set, in the order of the hashes).
+MARGIN, FEW = 5, 64
+#: Texts, and shingles, that are compared with as many others at once.
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
+
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
+    """Sorted distinct 64-bit hashes of the text's shingles: of its words, by their bytes, and of each run of these."""
     from xxhash import xxh64_intdigest
 
-    tokens = (text or "").encode().translate(_LOWER).split()
-    if not tokens:
+    raw = (text or "").encode().translate(_LOWER)
+    data = np.frombuffer(raw + bytes(8), np.uint8)
+    space = _SPACE[data[: len(raw)]]
+    edges = np.diff(space, prepend=True, append=True).nonzero()[0]
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    if not len(start):
         return np.empty(0, np.uint64)
-    joined = b" ".join(tokens)
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    ends = np.cumsum(sizes + 1)
-    width = min(shingle, len(tokens))
-    starts, stops = (ends - sizes - 1).tolist(), (ends[width - 1 :] - 1).tolist()
-    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, len(stops)))
+    eight = np.ndarray(len(raw) + 1, "<u8", data, strides=(1,))  # the eight bytes from each place on
+    words = _mixed(size.astype(np.uint64) + np.uint64(seed))
+    left, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(left):
+        words[left] = _mixed(words[left] ^ (eight[start[left] + at] & _MASKS[np.minimum(size[left] - at, 8)])) + np.uint64(at)
+        at += 8
+        left = left[size[left] > at]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        words[k] = xxh64_intdigest(raw[start[k] : start[k] + size[k]], seed)
+    width = min(shingle, len(words))
+    count = len(words) - width + 1
+    out = np.full(count, width, np.uint64)
+    for k in range(width):
+        out = (out + words[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return np.unique(_mixed(out))
 
 
-def wide_of(hashes: np.ndarray, words: int = WORDS) -> bytes:
-    """SimHash of words * 64 bits (little-endian): each hash is drawn out to as many bits."""
+def wide_of(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of words * 64 bits as unsigned words: each hash is drawn out to as many bits."""
     counts, n = np.zeros(64 * words, np.int64), len(hashes)
     steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for low in range(0, n, 4080):
-        x = hashes[low : low + 4080, None] + steps
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
+        x = _mixed(hashes[low : low + 4080, None] + steps)
+        bits = np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
         for k in range(0, len(bits), 255):  # in bytes, which add up fastest
             counts += bits[k : k + 255].sum(0, dtype=np.uint8)
-    return np.packbits(2 * counts > n, bitorder="little").tobytes()
+    return np.packbits(2 * counts > n, bitorder="little").view("<u8").astype(np.uint64)
 
 
-def wide_fingerprint(text: str | None, shingle: int, words: int = WORDS, seed: int = SEED) -> bytes:
-    """Wide SimHash of the set of a text's shingles: a repeated shingle counts once."""
-    return wide_of(shingle_hashes(text, shingle, seed), words)
+def parts_of(wide: np.ndarray, bits: int) -> np.ndarray:
+    """The fingerprint's parts of so many bits (a multiple of eight), each under its number."""
+    rows = np.zeros((PARTS, 8), np.uint8)
+    rows[:, : bits // 8] = wide.astype("<u8").view(np.uint8)[: PARTS * bits // 8].reshape(PARTS, -1)
+    return (rows.view("<u8").ravel() | (np.arange(PARTS, dtype=np.uint64) << np.uint64(56))).view(np.int64)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """Keys of the bands: two sets share each with the probability of their Jaccard similarity to the power ROWS."""
-    from xxhash import xxh64_intdigest
-
-    least = np.full(len(_FACTORS), 2**32 - 1, np.uint32)
-    low = hashes.astype(np.uint32)
-    for k in range(0, len(low), 1024):
-        least = np.minimum(least, (_FACTORS * low[k : k + 1024]).min(1))
-    return np.array([xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def prefix_of(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """Of sorted hashes those of which two sets of at least this similarity share one."""
+    n = len(hashes)
+    return hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0]
 
 
 def differing_share(similarity: float) -> float:
@@ -287,122 +332,211 @@ def differing_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def _similar(pairs: DataFrame, prints: DataFrame, marked: DataFrame, digest: str, text_col: str, shingle: int, similarity: float, words: int) -> DataFrame:
-    """(u, v, same) of those pairs (u, v) that sizes and fingerprints leave open; same: the shingle sets are that similar."""
+def alike_prints(left: list[tuple], right: list[tuple], similarity: float, bits: int) -> np.ndarray:
+    """Which pairs of (size, fingerprint) their sizes and fingerprints leave open, as a matrix."""
     share = differing_share(similarity)
-    limit = int(64 * words * share + MARGIN * np.sqrt(64 * words * share * (1 - share)))
-    differ = F.lit(0)
-    for i in range(words):
-        cut = lambda name, i=i: F.conv(F.hex(F.substring(name, 8 * i + 1, 8)), 16, -10).cast("long")
-        differ = differ + F.bit_count(cut("a").bitwiseXOR(cut("b")))
-    side = lambda n, wide, size: prints.select(F.col("n").alias(n), F.col("wide").alias(wide), F.col("size").alias(size))
-    few, many = F.least("s", "t"), F.greatest("s", "t")
-    open_ = pairs.join(side("u", "a", "s"), "u").join(side("v", "b", "t"), "v").where(few >= similarity * many - 1)
-    open_ = materialize(open_.where((few < FEW) | (differ <= limit)).select("u", "v"))
-    wanted = open_.select(F.col("u").alias("n")).unionByName(open_.select(F.col("v").alias("n"))).distinct().join(prints.select("n", "digest"), "n")
-    texts = marked.select(F.col(digest).alias("digest"), F.col(text_col).cast("string").alias("text")).join(wanted, "digest")
-    texts = materialize(texts.groupBy("n").agg(F.first("text").alias("text")))
-
-    def verify(frames):
-        import pandas as pd
+    limit = int(bits * share + MARGIN * np.sqrt(bits * share * (1 - share)))
+    s, t = (np.array([x[0] for x in side], float) for side in (left, right))
+    a, b = (np.stack([np.frombuffer(x[1], "<u8") for x in side]) for side in (left, right))
+    few, many = np.minimum(s[:, None], t), np.maximum(s[:, None], t)
+    near = few < FEW
+    step = max(1, (1 << 20) // max(1, b.size))
+    for i in range(0, len(a), step):
+        near[i : i + step] |= np.bitwise_count(a[i : i + step, None] ^ b).sum(2, dtype=np.int32) <= limit
+    return near & (few >= similarity * many - 1e-9)
+
+
+def alike_sets(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of sets (sorted distinct hashes) have at least this Jaccard similarity, as a matrix."""
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    both = np.zeros((len(left), len(right)))
+    if len(left) * len(right) <= 16:
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                both[i, j] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum() if len(x) and len(y) else 0
+    else:
+        flat = [np.concatenate(side) for side in (left, right)]
+        shared = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+        at = []
+        for side, n in zip(flat, sizes, strict=True):
+            place = np.searchsorted(shared, side)
+            here = np.flatnonzero(shared[np.minimum(place, len(shared) - 1)] == side) if len(shared) else np.zeros(0, np.int64)
+            column, row = place[here], np.repeat(np.arange(len(n)), n)[here]
+            order = np.argsort(column, kind="stable")
+            at.append((column[order], row[order]))
+        for low in range(0, len(shared), 4096):
+            slabs = []
+            for (column, row), n in zip(at, sizes, strict=True):
+                cut = slice(*np.searchsorted(column, (low, low + 4096)))
+                slab = np.zeros((len(n), min(4096, len(shared) - low)), np.float32)
+                slab[row[cut], column[cut] - low] = 1
+                slabs.append(slab)
+            both += slabs[0] @ slabs[1].T
+    return both >= similarity * np.maximum(sizes[0][:, None] + sizes[1] - both, 1) - 1e-9
+
+
+def _compared(dealt: DataFrame, prepare, alike) -> DataFrame:
+    """(u, v) that tie each row of a block to the least that it reaches by the links found in the block.
+
+    dealt: key, a, b (the block), side (1 left, 2 right, 3 both), n and the columns that prepare makes an item of; alike
+    gives the matrix of links of two lists of items. A block has at most two chunks of rows.
+    """
+    from pyspark.sql.types import LongType, StructField, StructType
 
-        held = {}  # of each side the last text: a leader's pairs come together
-        for frame in frames:
-            same = []
-            for row in frame.itertuples(index=False):
-                sets = []
-                for n, text, at in ((row.u, row.a, "u"), (row.v, row.b, "v")):
-                    if held.get(at, (None,))[0] != n:
-                        held[at] = n, shingle_hashes(text, shingle)
-                    sets.append(held[at][1])
-                both = len(np.intersect1d(*sets, assume_unique=True))
-                same.append(both / (len(sets[0]) + len(sets[1]) - both) >= similarity)
-            yield pd.DataFrame({"u": frame["u"], "v": frame["v"], "same": np.array(same, bool)})
-
-    both = open_.join(texts.select(F.col("n").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("n").alias("v"), F.col("text").alias("b")), "v")
-    return materialize(both.mapInPandas(verify, "u long, v long, same boolean"))
-
-
-def near_roots(members: DataFrame, similar) -> DataFrame | None:
-    """(node, root) of all that links connect, or None: links are those candidates, members (key, n) of one key, that
-    similar(pairs (u, v)) finds to be the same.
-
-    In each round every key has leaders, which are compared with all its other members and then leave it; a key is done
-    when its members are all connected. The first leader is the member with most company, which a large group's copies
-    share with their source; later ones, eight times as many each round, are of the smallest components that are left.
+    bounded_batches(dealt.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        def links(ns, sides, items):
+            left, right = (np.array([k for k, side in enumerate(sides) if side & flag]) for flag in (1, 2))
+            if len(ns) < 2 or not len(left) or not len(right):
+                return [], []
+            i, j = np.nonzero(alike([items[k] for k in left], [items[k] for k in right]))
+            root = local_roots(len(ns), [(left[i], right[j])])
+            tied = np.flatnonzero(root != np.arange(len(ns)))
+            ns = np.array(ns)
+            return ns[tied].tolist(), ns[root[tied]].tolist()
+
+        def blocks():
+            key, ns, sides, items = None, [], [], []
+            for batch in batches:
+                columns = [c.to_pylist() for c in batch.columns]
+                for k, a, b, side, n, *rest in zip(*columns, strict=True):
+                    if (k, a, b) != key:
+                        yield ns, sides, items
+                        key, ns, sides, items = (k, a, b), [], [], []
+                    ns.append(n)
+                    sides.append(side)
+                    items.append(prepare(*rest))
+            yield ns, sides, items
+
+        u, v = [], []
+        for block in blocks():
+            x, y = links(*block)
+            u += x
+            v += y
+            if len(u) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                u, v = [], []
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    together = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    return together.mapInArrow(run, StructType([StructField("u", LongType()), StructField("v", LongType())]))
+
+
+def linked(members: DataFrame, items: DataFrame, prepare, alike, scratch: Scratch, chunk: int = CHUNK, chunk_weight: int = CHUNK_SHINGLES) -> DataFrame | None:
+    """(node, root) of what the links between members (key, n, weight) of one key connect, or None without links.
+
+    items (n and columns): what prepare and alike need of a member. A key's members are cut into chunks. Those of the first
+    chunk are compared with all; then those that are not yet connected with most of the key's members are compared with
+    all of them. So every two members of a key are compared or known to be connected, and no pair is ever a row.
     """
-    company = members.groupBy("n").agg(F.sum("m").alias("score"))
-    rows, roots, apart, leaders_each = materialize(members.join(company, "n").select("key", "n", "score")), None, None, 1
-    while True:
-        if roots is None:
-            rows = rows.withColumn("root", F.col("n"))
-        else:
-            rows = rows.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
-        live = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        rows = materialize(rows.join(live, "key"))
-        if rows.isEmpty():
-            return roots
-        most = F.max(F.struct("score", "n", "root")).alias("top")
-        if leaders_each == 1:
-            leaders = rows.groupBy("key").agg(most)
-        else:
-            order = Window.partitionBy("key").orderBy("c", "top")
-            leaders = rows.groupBy("key", "root").agg(F.count("*").alias("c"), most).withColumn("k", F.row_number().over(order)).where(F.col("k") <= leaders_each)
-        leaders = materialize(leaders.select("key", F.col("top.n").alias("leader"), F.col("top.root").alias("of")))
-        pairs = rows.join(leaders, "key").where("root <> of").select(F.least("n", "leader").alias("u"), F.greatest("n", "leader").alias("v")).distinct()
-        if apart is not None:
-            pairs = pairs.join(apart, ["u", "v"], "left_anti")
-        found = similar(materialize(pairs))
-        no = found.where("not same").select("u", "v")
-        apart = no if apart is None else apart.unionByName(no)
-        links = found.where("same").select("u", "v")
-        if not links.isEmpty():
-            if roots is not None:
-                links = links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-            roots = materialize(connected_components(links))
-        rows = rows.join(leaders.select("key", F.col("leader").alias("n")), ["key", "n"], "left_anti").select("key", "n", "score")
-        leaders_each *= 8
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = WORDS, broadcast_limit: int = 64 << 20) -> DataFrame:
+    fields = [c for c in items.columns if c != "n"]
+    chunks = F.ceil(F.greatest(F.count("*") / chunk, F.sum("weight") / chunk_weight)).cast("int").alias("chunks")
+    sizes = scratch.table(members.groupBy("key").agg(chunks, F.count("*").alias("m")).where("m > 1"))
+    own = F.pmod(F.xxhash64("n"), F.col("chunks")).cast("int")
+    rows = members.join(sizes, "key").select("key", "n", "chunks", own.alias("own"))
+    b = F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own")))
+    star = rows.select("key", F.lit(0).alias("a"), b.alias("b"), "n", "own")
+    star = star.withColumn("side", F.when(F.col("own") > 0, 2).when(F.col("b") == 0, 3).otherwise(1))
+    deal = lambda x: scratch.table(_compared(x.join(items, "n").select("key", "a", "b", "side", "n", *fields), prepare, alike))
+    links = deal(star)
+    if links.isEmpty():
+        roots = None
+    else:
+        roots = connected_components(links, into=scratch)
+    large = scratch.table(sizes.where("chunks > 1"))
+    if large.isEmpty():
+        return roots
+    rows = members.join(large, "key").select("key", "n", "chunks", own.alias("own"))
+    if roots is not None:
+        rows = rows.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+    else:
+        rows = rows.withColumn("root", F.col("n"))
+    rows = scratch.table(rows)
+    most = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.first("chunks").alias("chunks"))
+    most = most.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("m"), F.first("chunks").alias("chunks"))
+    left = F.col("m") - F.col("top.c")
+    most = scratch.table(most.where(left > 0).select("key", F.col("top.root").alias("top"), F.least(F.col("chunks"), F.ceil(left * F.col("chunks") / F.col("m")) + 1).cast("int").alias("leaders")))
+    rows = rows.join(most, "key")
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("leaders") - 1)).alias("a"), F.col("own").alias("b"), "n", F.lit(2).alias("side"))
+    lead = rows.where("root <> top").select("key", F.pmod(F.xxhash64("n", F.lit(1)), F.col("leaders")).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b"), "n", F.lit(1).alias("side"))
+    more = deal(right.unionByName(lead))
+    if more.isEmpty():
+        return roots
+    if roots is not None:
+        more = more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    return connected_components(more, into=scratch)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, broadcast_limit: int = 64 << 20) -> DataFrame:
     """docs with one row of each group of near copies, that of the smallest id; its columns stay as they are.
 
     Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; groups are
-    closed under links. Candidates share one of BANDS keys of least hashes (a pair at the limit is missed with
-    probability 0.00002); sizes and wide SimHashes, with a margin, exclude strangers, and every link is verified on the
-    sets. Candidates are compared until all of a key are connected or every pair left is known to be none. Texts without
-    words are copies of one another. Rows that share the id that stays all stay, and rows without an id are dropped only
-    for a row with one. An empty table gives an empty result.
+    closed under links. Wide SimHashes of the sets are cut into PARTS parts, and the distinct values of each part go
+    through the trie join; candidates are near in some part, or in a prefix of small sets. Whole fingerprints then, with
+    a margin, leave candidate groups, and in these every two texts that nothing connects yet are compared by their sets.
+    Texts without words are copies of one another. Rows that share the id that stays all stay, and rows without an id are
+    dropped only for a row with one. An empty table gives an empty result.
     """
-    bounded_batches(docs.sparkSession)
-    key, sketch, digest = unused(docs, "_key", "_sketch", "_digest")
-
-    @F.pandas_udf("digest binary, size long, wide binary, bands array<long>")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    key, sketch, digest, tag = unused(docs, "_key", "_sketch", "_digest", "_tag")
+    count = docs.count()
+    bits, budget = next((b, d) for most, b, d in WIDTHS if count <= most)
+    words = PARTS * bits // 64
+
+    @F.pandas_udf("digest binary, size long, wide binary, parts array<long>")
     def run(texts):
         import pandas as pd
         from xxhash import xxh3_128_digest
 
-        sets = [shingle_hashes(t, shingle) for t in texts]
-        return pd.DataFrame({"digest": [xxh3_128_digest(h.tobytes()) for h in sets], "size": [len(h) for h in sets], "wide": [wide_of(h, words) for h in sets], "bands": [band_keys(h) for h in sets]})
-
-    marked = docs.withColumn(sketch, run(F.col(text_col).cast("string")))
-    marked = materialize(marked.withColumn(digest, F.col(f"{sketch}.digest")))
-    one = lambda name: F.first(f"{sketch}.{name}").alias(name)
-    prints = marked.groupBy(F.col(digest).alias("digest")).agg(F.min(id_col).alias("low"), one("size"), one("wide"), one("bands"))
-    prints = materialize(prints.withColumn("n", F.monotonically_increasing_id()))
-    bands = prints.where("size > 0").select("n", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = materialize(bands.join(shared, "key"))
-    roots = near_roots(members, lambda pairs: _similar(pairs, prints, marked, digest, text_col, shingle, similarity, words))
-    named = prints.select("n", "digest", "low")
-    if roots is None:
-        named = named.withColumn("root", F.col("n"))
-    else:
-        named = named.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
-    least = materialize(named.groupBy("root").agg(F.min("low").alias("stays")))
-    named = materialize(named.join(least, "root").select(F.col("digest").alias(digest), "stays"))
-    drop = marked.select(F.col(id_col).alias(key), F.col(digest)).join(named, digest)
-    drop = materialize(drop.where(~F.col(key).eqNullSafe(F.col("stays"))).select(key, digest).distinct())
+        out = []
+        for text in texts:
+            hashes = shingle_hashes(text, shingle)
+            wide = wide_of(hashes, words)
+            parts = parts_of(wide, bits) if len(hashes) else np.zeros(0, np.int64)
+            if 0 < len(hashes) <= FEW / similarity:
+                parts = np.concatenate([parts, (prefix_of(hashes, similarity) | np.uint64(1 << 63)).view(np.int64)])
+            out.append((xxh3_128_digest(hashes.tobytes()), len(hashes), wide.astype("<u8").tobytes(), parts))
+        return pd.DataFrame(out, columns=["digest", "size", "wide", "parts"])
+
+    with Scratch(spark) as scratch:
+        marked = docs.withColumn(sketch, run(F.col(text_col).cast("string")))
+        marked = scratch.kept(marked.select(*docs.columns, sketch, F.col(f"{sketch}.digest").alias(digest), F.monotonically_increasing_id().alias(tag)))
+        one = lambda name: F.first(f"{sketch}.{name}").alias(name)
+        prints = marked.groupBy(F.col(digest).alias("digest")).agg(F.min(id_col).alias("low"), F.min(tag).alias("n"), one("size"), one("wide"), one("parts"))
+        prints = scratch.table(prints)
+
+        # candidates: near in a part of the fingerprint, or one shingle in common in the prefixes of small sets
+        values = prints.select("n", F.explode("parts").alias("fp"))
+        distinct = scratch.table(values.groupBy("fp").agg(F.count("*").alias("weight")))
+        near = near_keys(distinct.where("fp >= 0"), budget, ((1 << 64) - (1 << bits)))
+        keys = scratch.table(near.unionByName(distinct.where("fp < 0 AND weight > 1").select(F.xxhash64("fp").alias("key"), "fp")))
+        members = scratch.table(values.join(keys, "fp").select("key", "n"))
+        mark = members.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("lo"), F.bit_xor(F.xxhash64("n")).alias("x"), F.sum(F.pmod(F.xxhash64("n", F.lit(1)), F.lit(1 << 40))).alias("s"))
+        mark = scratch.table(mark.where("m > 1").groupBy("m", "lo", "x", "s").agg(F.min("key").alias("key")).select("key"))  # one of equal keys
+        members = scratch.table(members.join(mark, "key").withColumn("weight", F.lit(1)))
+        roots = linked(members, prints.select("n", "size", "wide"), lambda size, wide: (size, wide), lambda x, y: alike_prints(x, y, similarity, 64 * words), scratch)
+
+        # in the groups that this leaves: the sets themselves
+        if roots is not None:
+            group = roots.select(F.col("root").alias("key"), F.col("node").alias("n"))
+            texts = marked.select(F.col(tag).alias("n"), F.col(text_col).cast("string").alias("text")).join(group.select("n"), "n")
+            members = scratch.table(group.join(prints.select("n", F.col("size").alias("weight")), "n"))
+            roots = linked(members, texts, lambda text: shingle_hashes(text, shingle), lambda x, y: alike_sets(x, y, similarity), scratch)
+
+        named = prints.select("n", "digest", "low")
+        if roots is None:
+            named = named.withColumn("root", F.col("n"))
+        else:
+            named = named.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+        least = scratch.table(named.groupBy("root").agg(F.min("low").alias("stays")))
+        named = scratch.table(named.join(least, "root").select(F.col("digest").alias(digest), "stays"))
+        drop = marked.select(F.col(id_col).alias(key), F.col(digest)).join(named, digest)
+        drop = scratch.kept(drop.where(~F.col(key).eqNullSafe(F.col("stays"))).select(key, digest).distinct())
     small = drop.count() * 80 <= broadcast_limit
     gone = (F.broadcast(drop) if small else drop).withColumnRenamed(digest, f"{digest}2")
     return marked.join(gone, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(digest) == F.col(f"{digest}2")), "left_anti").select(*docs.columns)
