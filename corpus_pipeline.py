@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that stay, with the columns of documents; the last
 returns the pieces of the packed sequences. Each works on all that its predecessor kept.
+
+Null texts count as empty and null ids as ids of their own; repeated rows are copies of one another. Other columns,
+whatever their names, are passed on as they are up to the packing. An empty table goes through all stages.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandweave.llm import exact_dedup, packing, quality, simhash, toxicity
-from bandweave.llm.common import materialize
+from bandweave.llm.common import materialize, unused
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,13 +23,15 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose Bradley-Terry score is below the quantile threshold go."""
     model = quality.train(docs, _labels(spark, sf_dir))
-    return quality.score_documents(docs, model).where("quality_predicted = 1").select(*docs.columns)
+    score, predicted = unused(docs, "score", "predicted")
+    return quality.score_documents(docs, model, score=score, predicted=predicted).where(F.col(predicted) == 1).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a noisy-or score of 0.5 or more go."""
     model = toxicity.train(docs, _labels(spark, sf_dir))
-    return toxicity.score_documents(docs, model, locate=False).where("toxicity.predicted = 0").select(*docs.columns)
+    (judged,) = unused(docs, "judged")
+    return toxicity.score_documents(docs, model, locate=False, into=judged).where(F.col(f"{judged}.predicted") == 0).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
