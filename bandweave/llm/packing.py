@@ -361,11 +361,11 @@ def _rows(windows, base: int, is_open: bool, part: int) -> Iterator[tuple]:
             offset += len(ids) // 4
 
 
-def _batches(rows: Iterator[tuple], at_most: int = 4 << 20):
+def _batches(rows: Iterator[tuple], kind: T.StructType, at_most: int = 4 << 20):
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema, held, size = to_arrow_schema(SCHEMA), [], 0
+    schema, held, size = to_arrow_schema(kind), [], 0
     for row in rows:
         held.append(row)
         size += len(row[7]) + 64
@@ -381,10 +381,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int | None = 1, id_col: str =
 
     Every id of every document, with end_id after its last, lies in exactly one piece; the pieces of a sequence follow
     one another without gaps from offset 0. A null text counts as empty, a document without ids (only where end_id is
-    None) gives no row, and an empty table gives none. Repeated and null ids are packed like others. ids are
-    little-endian unsigned 32-bit integers. A sequence shorter than the window is to be padded by its reader.
+    None) gives no row, and an empty table gives none. Ids are of any type; repeated and null ones are packed like others.
+    Other columns of docs are not passed on. ids are little-endian unsigned 32-bit integers. A sequence shorter than the window is to be padded by its reader.
     """
     bounded_batches(docs.sparkSession)
+    kind = T.StructType([T.StructField("row_id", docs.schema[id_col].dataType), *SCHEMA.fields[1:]])
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def first(batches):
@@ -401,7 +402,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int | None = 1, id_col: str =
                     yield from _rows(packer.add(row_id, 0, len(ids) // 4, ids), base, False, part)
             yield from _rows(packer.leftovers(), base, True, part)
 
-        yield from _batches(rows())
+        yield from _batches(rows(), kind)
 
     def merge(batches):
         import pyarrow as pa
@@ -423,11 +424,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int | None = 1, id_col: str =
                     yield from _rows(packer.add(r["row_id"], r["start"], r["doc_tokens"], r["ids"]), group << 20, True, group)
                 yield from _rows(packer.leftovers(), group << 20, True, group)
 
-            yield from _batches(again())
+            yield from _batches(again(), kind)
 
-    pieces = materialize(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(first, SCHEMA))
+    pieces = materialize(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(first, kind))
     leftovers = pieces.where("open").withColumn("group", F.floor(F.col("part") / MERGE_PARTITIONS))
-    merged = leftovers.repartition("group").drop("group").mapInArrow(merge, SCHEMA)
+    merged = leftovers.repartition("group").drop("group").mapInArrow(merge, kind)
     return pieces.where("NOT open").unionByName(merged).drop("open", "part")
 
 
