@@ -30,7 +30,7 @@ EPOCHS, RATE, DECAY, START = 120, 0.5, 1e-4, -9.0
 SHRINK, BIAS_RATE = 2e-4, 0.1
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
-_KNOWN = 400_000
+_KNOWN = 200_000
 
 
 def features(token: str) -> list[int]:
@@ -48,22 +48,34 @@ def sentences(text: str | None) -> list[tuple[int, int, set[str]]]:
     return [(m.start(), m.end(), tokens) for m in _SENTENCE.finditer(text or "") if (tokens := set(m.group().lower().split()))]
 
 
+class _Tokens(dict):
+    """Weights of tokens, made when they are first met; emptied when there are too many."""
+
+    def __init__(self, weights: dict[int, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, token: str) -> float:
+        if len(self) >= _KNOWN:
+            self.clear()
+        value = self[token] = sum(self.weights.get(f, 0.0) for f in features(token))
+        return value
+
+
 class NoisyOr:
     """Word weights and bias; score(text) and locate(text)."""
 
     def __init__(self, weights: dict[int, float], bias: float):
-        self.weights, self.bias, self.known = weights, bias, {}
-
-    def _weight(self, token: str) -> float:
-        value = self.known.get(token)
-        if value is None:
-            if len(self.known) >= _KNOWN:
-                self.known.clear()
-            value = self.known[token] = sum(self.weights.get(f, 0.0) for f in features(token))
-        return value
+        self.weights, self.bias = weights, bias
+
+    #: The tokens of the model that was last used in this process: Python workers outlive their models.
+    _known: dict[str, float] = {}
+    _owner = None
 
     def logits(self, text: str | None) -> list[tuple[int, int, float]]:
-        weight = self._weight
+        if NoisyOr._owner is not self:
+            NoisyOr._owner, NoisyOr._known = self, _Tokens(self.weights)
+        weight = NoisyOr._known.__getitem__
         return [(a, b, self.bias + sum(map(weight, tokens))) for a, b, tokens in sentences(text)]
 
     def score(self, text: str | None) -> float:
