@@ -272,9 +272,39 @@ FROM q LEFT JOIN mean USING (cx, cy) LEFT JOIN season USING (cx, cy)"""
 
 @register("climate_covariates", _CLIMATE)
 def climate_covariates(spark, sf_dir):
+    out = covariates.climate_covariates(*_weather(spark, sf_dir))
+    return out.select("Sample_ID", *[F.round(c, 4).alias(c) for c in covariates.CLIMATE])
+
+
+@register("covariate_table", f'SELECT "Sample_ID", "AI", "MAP", "MAT" FROM ({_CLIMATE})')
+def covariate_table(spark, sf_dir):
+    """The wanted covariates of samples, by names in any case, joined to their ids."""
+    points, daily = _weather(spark, sf_dir)
+    made = covariates.fetch_covariates(spark, points, ["map", "MAT", "ai"], daily=daily)
+    return made["covariates"].select("Sample_ID", *[F.round(c, 4).alias(c) for c in ("AI", "MAP", "MAT")])
+
+
+@register("covariate_kinds", "SELECT * FROM (VALUES ('soil', 'clay'), ('soil', 'ph'), ('soil', 'total_nitrogen'), ('climate', 'MAT'), ('climate', 'Precip_Seasonality')) t(kind, name)")
+def covariate_kinds(spark, sf_dir):
+    kinds = covariates.classify(["Clay", "phh2o", "ph", "nitrogen", "n", "mat", "PRECIP_SEASONALITY"])
+    return spark.createDataFrame([(k, n) for k, names in kinds.items() for n in names], "kind string, name string")
+
+
+@register("neighbourhood_grid", "SELECT d.v AS prod_degree, t.v::DOUBLE AS num_terms FROM (VALUES (1.0::DOUBLE), (2.0)) d(v), range(8, 13) t(v) UNION ALL SELECT NULL, v::DOUBLE FROM range(1, 5) t(v)")
+def neighbourhood_grid(spark, sf_dir):
+    """Two whole steps either way, clipped: around a MARS point, and around the second of 30 components."""
+    from bandweave.operators.models import param_space
+
+    mars = tuning.neighbourhood({"prod_degree": 2.0, "num_terms": 10.0}, param_space("mars", 56))
+    plsr = tuning.neighbourhood({"num_comp": 2.0}, param_space("plsr", 56))
+    rows = [(p["prod_degree"], p["num_terms"]) for p in mars] + [(None, p["num_comp"]) for p in plsr]
+    return spark.createDataFrame(rows, "prod_degree double, num_terms double")
+
+
+def _weather(spark, sf_dir):
+    """Places, and the landed daily rows of their cells."""
     k = F.col("s_suppkey")
     points = table(spark, sf_dir, "supplier").select(k.alias("Sample_ID"), ((k % 5) / 24.0).alias("Longitude"), (40 + (k % 3) / 24.0).alias("Latitude"))
     day = F.col("id") % 365 + 1
     daily = spark.range(0, 15 * 730).select((F.floor(F.col("id") / 730) % 5).alias("cell_x"), (960 + F.floor(F.col("id") / 3650)).alias("cell_y"), (2003 + F.floor((F.col("id") % 730) / 365)).cast("int").alias("year"), day.cast("int").alias("yday"), (F.lit(5.0) + day % 10).alias("tmin"), (F.lit(15.0) + day % 10).alias("tmax"), (day % 4).cast("double").alias("prcp"))
-    out = covariates.climate_covariates(points, daily)
-    return out.select("Sample_ID", *[F.round(c, 4).alias(c) for c in covariates.CLIMATE])
+    return points, daily

@@ -287,6 +287,13 @@ def back_transform(spark, sf_dir):
     return text.back_transform_predictions(rows.crossJoin(F.broadcast(kinds)), "k").withColumn("pred", r6("pred"))
 
 
+@register("needs_back_transformation", "SELECT DISTINCT o_orderpriority, k, lower(k) IN ('log', 'sqrt') AS needed FROM orders, (VALUES ('log'), ('Sqrt'), ('none'), ('NoTrans'), ('NA')) t(k)")
+def needs_back_transformation(spark, sf_dir):
+    kinds = spark.createDataFrame([("log",), ("Sqrt",), ("none",), ("NoTrans",), ("NA",)], "k string")
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority").distinct()
+    return rows.crossJoin(F.broadcast(kinds)).withColumn("needed", text.needs_back_transformation("k"))
+
+
 @register("topn_by_metric", f"WITH {_PAIRS} SELECT l_returnflag, l_linestatus, round(sqrt(avg((t - e) * (t - e))), 6) AS rmse FROM p GROUP BY 1, 2 ORDER BY rmse, l_returnflag LIMIT 2")
 def topn_by_metric(spark, sf_dir):
     wide = metrics.metrics_wide(_pairs(spark, sf_dir), "t", "e", ["l_returnflag", "l_linestatus"], ("rmse",))

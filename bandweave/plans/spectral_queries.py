@@ -66,6 +66,48 @@ def long_to_arrays(spark, sf_dir):
     return back.withColumn("spectrum", F.transform("spectrum", lambda v: F.round(v, 6)))
 
 
+def _path(spark, name: str) -> str:
+    """A new place under spark.checkpoint.dir, or of this machine where a local session has none."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(base or 'file://' + tempfile.mkdtemp()).rstrip('/')}/{uuid.uuid4().hex}-{name}"
+
+
+@register("spectra_from_csv", f"WITH {_X} SELECT sample_id::VARCHAR AS \"Sample_ID\", list_transform(x, lambda v: round(v, 6)) AS spectrum FROM x")
+def spectra_from_csv(spark, sf_dir):
+    """Spectra as a wide CSV with a band a column, written and read back."""
+    from bandweave.sources import readers, sinks
+
+    path = _path(spark, "spectra.csv")
+    sinks.write_csv(readers.to_wide(spectra(spark, sf_dir).withColumnsRenamed({"x": "spectrum", "sample_id": "Sample_ID"}), [600.0 + 2 * i for i in range(64)]), path)
+    rows = readers.read_spectra(spark, "csv", path, "NIR")
+    assert readers.axis(rows) == [600.0 + 2 * i for i in range(64)]
+    return rows.select("Sample_ID", F.transform("spectrum", lambda v: F.round(v, 6)).alias("spectrum"))
+
+
+@register("response_from_csv", "SELECT c_custkey, c_name, round(c_acctbal, 6) AS c_acctbal FROM customer")
+def response_from_csv(spark, sf_dir):
+    from bandweave.sources import readers, sinks
+
+    path = _path(spark, "response.csv")
+    sinks.write_csv(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
+    return readers.read_response(spark, path).select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", r6("c_acctbal").alias("c_acctbal"))
+
+
+@register("table_and_json_sinks", "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice FROM orders")
+def table_and_json_sinks(spark, sf_dir):
+    """Through a partitioned table and through JSON."""
+    from bandweave.sources import sinks
+
+    first, second = _path(spark, "table"), _path(spark, "json")
+    sinks.write_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), first, partition_by=["o_orderstatus"])
+    sinks.write_json(spark.read.parquet(first), second)
+    back = spark.read.schema("o_orderkey long, o_orderstatus string, o_totalprice double").json(second)
+    return back.withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
 @register("row_quality", f"WITH {_X} SELECT sample_id, len(list_filter(x, lambda v: v IS NULL))::BIGINT AS n_null, len(list_filter(x, lambda v: isnan(v)))::BIGINT AS n_nan, len(list_filter(x, lambda v: isinf(v)))::BIGINT AS n_inf, round(list_sum(x), 6) AS row_sum, round(list_stddev_samp(x), 6) AS row_sd, len(list_filter(x, lambda v: v <> 0)) = 0 AS all_zero, list_stddev_samp(x) < 1e-10 AS constant FROM x")
 def row_quality(spark, sf_dir):
     found = kernels.row_quality("x")

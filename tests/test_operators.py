@@ -320,3 +320,31 @@ def test_steps_of_ones_own_are_tuned_like_others(spark):
     found = {r["feature_selection"]: r for r in tuning.evaluate_configurations(spark, configs, problem, 2, 0, False).collect()}
     assert found["strongest"]["status"] == "success" and found["strongest"]["rmse"] < 0.5
     assert found["unknown"]["status"] == "failed" and found["unknown"]["error_stage"] == "Input Validation"
+
+
+def test_the_metrics_of_tasks_are_those_of_tables(spark):
+    from bandweave.functions import metrics
+
+    rng = np.random.default_rng(11)
+    truth = rng.lognormal(2, 0.4, 300)
+    guess = truth * rng.normal(1, 0.1, 300)
+    truth[:3], guess[5:7] = np.nan, np.nan
+    clean = lambda v: None if np.isnan(v) else float(v)
+    rows = spark.createDataFrame([(clean(t), clean(g)) for t, g in zip(truth, guess)], "t double, e double")
+    table, task = metrics.metrics_wide(rows, "t", "e").first().asDict(), tuning.score(truth, guess)
+    assert all(math.isclose(table[m], task[m], rel_tol=1e-9) for m in metrics.METRICS)
+
+
+def test_the_prune_rule_of_the_search_is_that_of_tables(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((80, 20))
+    rows = spark.createDataFrame([(f"s{i}", v.tolist(), float(10 + 3 * v[6])) for i, v in enumerate(x)], "Sample_ID string, spectrum array<double>, Response double")
+    problem = tuning.collect_problem(rows, "Response", v=3)
+    configs = relational.create_configs(spark, ("elastic_net",), feature_selection=("none", "pca"), preprocessing=("raw",))
+    y = problem.y[problem.train]
+    for threshold in (0.9, 0.001):
+        found = tuning.evaluate_configurations(spark, configs, problem, 2, 0, True, threshold)
+        best = [(r["config_id"], r["status"]) for r in found.collect()]
+        grid = spark.createDataFrame([(c, 100 * y.std(ddof=1) / y.mean() * 0.05) for c, _ in best], "config_id string, rrmse double")
+        want = {r["config_id"]: r["pruned"] for r in relational.prune_flags(grid, float(y.mean()), float(y.std(ddof=1)), threshold).collect()}
+        assert {c: s == "pruned" for c, s in best} == want
