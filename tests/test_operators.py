@@ -338,13 +338,13 @@ def test_the_metrics_of_tasks_are_those_of_tables(spark):
 def test_the_prune_rule_of_the_search_is_that_of_tables(spark):
     rng = np.random.default_rng(12)
     x = rng.standard_normal((80, 20))
-    rows = spark.createDataFrame([(f"s{i}", v.tolist(), float(10 + 3 * v[6])) for i, v in enumerate(x)], "Sample_ID string, spectrum array<double>, Response double")
+    rows = spark.createDataFrame([(f"s{i}", v.tolist(), float(10 + 3 * v[6] + rng.standard_normal())) for i, v in enumerate(x)], "Sample_ID string, spectrum array<double>, Response double")
     problem = tuning.collect_problem(rows, "Response", v=3)
-    configs = relational.create_configs(spark, ("elastic_net",), feature_selection=("none", "pca"), preprocessing=("raw",))
+    configs = relational.create_configs(spark, ("elastic_net", "plsr"), preprocessing=("raw",))  # errors of a third or so of the baseline
     y = problem.y[problem.train]
-    for threshold in (0.9, 0.001):
+    for threshold in (0.9, 0.01):
         found = tuning.evaluate_configurations(spark, configs, problem, 2, 0, True, threshold)
         best = [(r["config_id"], r["status"]) for r in found.collect()]
-        grid = spark.createDataFrame([(c, 100 * y.std(ddof=1) / y.mean() * 0.05) for c, _ in best], "config_id string, rrmse double")
+        grid = spark.createDataFrame([(c, 100 * y.std(ddof=1) / y.mean() * 0.35) for c, _ in best], "config_id string, rrmse double")
         want = {r["config_id"]: r["pruned"] for r in relational.prune_flags(grid, float(y.mean()), float(y.std(ddof=1)), threshold).collect()}
         assert {c: s == "pruned" for c, s in best} == want
