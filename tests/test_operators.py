@@ -345,6 +345,6 @@ def test_the_prune_rule_of_the_search_is_that_of_tables(spark):
     for threshold in (0.9, 0.01):
         found = tuning.evaluate_configurations(spark, configs, problem, 2, 0, True, threshold)
         best = [(r["config_id"], r["status"]) for r in found.collect()]
-        grid = spark.createDataFrame([(c, 100 * y.std(ddof=1) / y.mean() * 0.35) for c, _ in best], "config_id string, rrmse double")
+        grid = spark.createDataFrame([(c, float(100 * y.std(ddof=1) / y.mean() * 0.35)) for c, _ in best], "config_id string, rrmse double")
         want = {r["config_id"]: r["pruned"] for r in relational.prune_flags(grid, float(y.mean()), float(y.std(ddof=1)), threshold).collect()}
         assert {c: s == "pruned" for c, s in best} == want
