@@ -37,13 +37,27 @@ def test_exact_dedup_keeps_one_of_each_group(spark):
     assert exact_groups(docs(spark, [])).count() == 0
 
 
-def test_exact_dedup_beyond_the_broadcast_limit_is_the_same(spark):
+def test_exact_dedup_by_ranges_of_the_hash_is_the_same(spark):
     from bandweave.llm.exact_dedup import exact_groups
 
-    a, b = (sorted(map(str, exact_groups(docs(spark, ODD), broadcast_limit=n).drop("kept").collect())) for n in (0, 1 << 30))
+    rows = ODD + [(100 + i, f"text {i % 30}" + " " * (i // 30)) for i in range(90)]
+    a, b = (sorted(map(str, exact_groups(docs(spark, rows), broadcast_limit=n).drop("kept").collect())) for n in (40, 1 << 30))  # 10 ranges; one
     assert a == b
 
 
+def test_dropped_copies_leave_the_columns_alone(spark):
+    from bandweave.llm.exact_dedup import drop_copies, exact_groups
+
+    rows = [(i, t, f"K{i}", "g", -1, True) for i, t in [(1, "a b"), (2, "ab"), (3, None), (4, " "), (None, "c"), (5, "d")]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, KEPT string, keep_id string, group_size int, _tag boolean")
+    for limit in (2, 1 << 30):
+        got = drop_copies(table, broadcast_limit=limit)
+        assert got.columns == table.columns and got.dtypes == table.dtypes
+        assert sorted(map(tuple, got.collect()), key=str) == sorted((r for r in rows if r[0] in (1, 4, None, 5)), key=str)
+    assert exact_groups(table).columns == ["doc_id", "text", "_tag", "keep_id", "group_size", "kept", "text_sha256"]
+    assert drop_copies(table.limit(0)).count() == 0
+
+
 # BPE
 
 
@@ -107,6 +121,31 @@ def test_packing_covers_every_token_once(spark, sf):
     expected = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for i, t in odd}
     check_packing(pack(docs(spark, odd), path).collect(), expected)
     assert pack(docs(spark, []), path).count() == 0
+    named = spark.createDataFrame([(f"d{i}", t, 1, "x") for i, t in odd], "doc_id string, text string, row_id int, sequence_id string")
+    check_packing(pack(named, path).collect(), {f"d{i}": x for i, x in expected.items()})
+
+
+def test_chunks_have_the_library_s_ids(spark):
+    """Random texts of hard characters, and more chunks than the table keeps."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from bandweave.llm.packing import ChunkEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    encoder, rng = ChunkEncoder(path, known_chunks=500), random.Random(1)
+    latin = "abcdXYZ  \n\t''sdmtlreve.,!-()0129éÀÖßÿ×÷µªº²½\xad\x85\xa0\x1c\0"
+    alphabets = [latin, latin, latin + "Ωσς́̈İı–“”日本語😀한"]
+    for _ in range(12):
+        texts = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(0, 60))) for _ in range(300)]
+        texts += ["x <|endoftext|> y", "", "don't we'll 'tis I'D 'S", "plain words " * 50, "w" * 300 + " " + "é" * 17]
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert encoder.encode_batch(texts) == want
+        assert len(encoder.sizes) < 20_000
 
 
 # SimHash
@@ -176,17 +215,6 @@ def test_crowded_blocks_are_dealt_on(spark):
     assert {v: got.get(v, v) for v in values} == {v: values[r] for v, r in zip(values, want)}
 
 
-def test_nearest_values_are_tied_beside_the_heaviest(spark):
-    """A stranger at two bits that weighs most does not keep a value from the copy at one bit."""
-    from bandweave.llm.simhash import near_edges
-
-    stranger, text, copy = 0b0011, 0b0000, 0b1000
-    frame = spark.createDataFrame([(stranger, 9), (text, 2), (copy, 1)], "fp long, weight long")
-    ties = {closer: {(r["u"], r["v"]) for r in near_edges(frame, 2, closer=closer).collect()} for closer in (False, True)}
-    assert (copy, text) not in ties[False]
-    assert ties[True] == ties[False] | {(copy, text)}
-
-
 # WARC
 
 
@@ -194,18 +222,53 @@ def test_warc_round_trip(spark, tmp_path):
     from bandweave.llm import warc
 
     rows = [(5, "http://a/\r\nx", "<p>é</p>"), (2, None, "<p>é</p>"), (2, "http://b", "<p>é</p>"), (7, "u", None), (8, "u", ""), (None, "v", ""), (9, "w", "x" * 300_000)]
-    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, _key int").drop("_key")
-    archives = warc.write_archives(warc.with_revisits(pages), archive_bytes=500)
-    got = sorted(map(tuple, warc.read_archives(archives).select("page_id", "record_type", "refers_to", "payload_bytes").collect()), key=str)
-    assert got == sorted([(5, "revisit", 2, 10 - 1), (2, "response", None, 9), (2, "response", None, 9), (7, "response", None, 0), (8, "revisit", 7, 0), (None, "revisit", 7, 0), (9, "response", None, 300_000)], key=str)
+    pages = spark.createDataFrame([(*r, 1, "f", "n") for r in rows], "page_id long, url string, html string, _key int, _FIRST string, _n string")
+    marked = warc.with_revisits(pages)
+    assert marked.columns == [*pages.columns, "refers_to"] and marked.where("_key = 1 AND _FIRST = 'f' AND _n = 'n'").count() == len(rows)
+    archives = warc.write_archives(marked, archive_bytes=500)
+    found = lambda df: sorted(((warc.page_of(r[0]), r[1], warc.page_of(r[2]), r[3]) for r in df.select("record_id", "record_type", "refers_to", "payload_bytes").collect()), key=str)
+    want = [("5", "revisit", "2", 9), ("2", "response", None, 9), ("2", "response", None, 9), ("7", "response", None, 0), ("8", "revisit", "7", 0), (None, "revisit", "7", 0), ("9", "response", None, 300_000)]
+    assert found(warc.read_archives(archives)) == sorted(want, key=str)
     warc.write_files(archives, str(tmp_path)).collect()
-    again = warc.read_archives(warc.read_files(spark, str(tmp_path)))
-    assert again.where("page_id = 9").first()["payload"] == b"x" * 300_000
+    again = warc.read_files(spark, str(tmp_path))
+    assert found(again) == sorted(want, key=str)
+    assert again.where("record_id = '<urn:page:9>'").first()["payload"] == b"x" * 300_000
     empty = warc.write_archives(warc.with_revisits(pages.limit(0)))
     assert warc.read_archives(empty).count() == 0
+    named = pages.selectExpr("concat('id>/', page_id) AS page_id", "url", "html")
+    names = {warc.page_of(r["record_id"]) for r in warc.read_archives(warc.write_archives(warc.with_revisits(named))).collect()}
+    assert names == {None, "id>/2", "id>/5", "id>/7", "id>/8", "id>/9"}
+
+
+def test_warc_reads_other_writers(spark, tmp_path):
+    import gzip
+
+    from bandweave.llm import warc
+
+    def member(headers, block):
+        lines = [b"WARC/1.0", *(f"{k}: {v}".encode() for k, v in headers.items()), b"Content-Length: %d" % len(block)]
+        return gzip.compress(b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    sha = hashlib.sha256(b"body").hexdigest()
+    data = member({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:1>", "Content-Type": "application/warc-fields"}, b"software: x\r\n")
+    data += member({"WARC-Type": "request", "WARC-Record-ID": "<urn:uuid:2>", "Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.1\r\nHost: a\r\n\r\n")
+    data += member({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:3>", "WARC-Target-URI": "http://a/\r\n folded", "Content-Type": "application/http", "WARC-Payload-Digest": f"sha256:{sha}"}, http + b"body")
+    data += member({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:4>", "Content-Type": "application/http", "WARC-Payload-Digest": "sha1:AAAA"}, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n1\r\nx\r\n0\r\n\r\n")
+    data += member({"WARC-Type": "revisit", "WARC-Record-ID": "<urn:uuid:5>", "WARC-Refers-To": "<urn:uuid:3>", "Content-Type": "application/http"}, http)
+    (tmp_path / "a b.warc.gz").write_bytes(data)
+    rows = warc.read_files(spark, str(tmp_path)).orderBy("position").collect()
+    assert [r["record_type"] for r in rows] == ["warcinfo", "request", "response", "response", "revisit"]
+    assert rows[0]["payload"] == b"software: x\r\n" and rows[2]["payload"] == b"body" and rows[2]["payload_digest"] == sha
+    assert rows[2]["url"] == "http://a/ folded" and rows[4]["refers_to"] == "<urn:uuid:3>" and rows[4]["payload"] is None
+    wrong = member({"WARC-Type": "response", "Content-Type": "application/http", "WARC-Payload-Digest": f"sha256:{sha}"}, http + b"other")
+    with pytest.raises(warc.WarcError):
+        list(warc.read_archive(wrong))
 
 
 def test_warc_reader_rejects_damage():
+    import io
+
     from bandweave.llm.warc import WarcError, members, parse, read_archive, record
 
     data = record(1, "u", b"payload") + record(2, "u", b"payload", 1)
@@ -213,7 +276,7 @@ def test_warc_reader_rejects_damage():
     for broken in (data[:-3], data[:40] + bytes([data[40] ^ 1]) + data[41:]):
         with pytest.raises(WarcError):
             list(read_archive(broken))
-    plain = next(members(data))[1].replace(b"payload\r\n", b"payloxd\r\n")
+    plain = next(members(io.BytesIO(data)))[1].replace(b"payload\r\n", b"payloxd\r\n")
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     with pytest.raises(WarcError, match="block digest"):
         list(read_archive(packer.compress(plain) + packer.flush()))
@@ -267,27 +330,114 @@ def test_cap_filters_against_brute_force(spark):
     assert sum(x for x, _ in got.values()) >= 0.95 * sum(x for x, _ in want.values())
     assert got[3000][0] >= 1 and got[3002] == (0, 3002) and got[3005] == (1, 3005)
     assert cap_filters.near_vectors(table.limit(0)).count() == 0
+    named = table.selectExpr("concat('v', vec_id) AS vec_id", "embedding", "1 AS n_links", "'x' AS component_id", "2 AS v", "3 AS id")
+    texts = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cap_filters.near_vectors(named).collect()}
+    assert texts["v3000"][0] == got[3000][0] and texts["v3002"] == (0, "v3002")
+    numbers = cap_filters.near_vectors(table.selectExpr("CAST(vec_id AS int) AS vec_id", "embedding")).where("vec_id = 3005").first()
+    assert (numbers["n_links"], numbers["component_id"]) == (1, 3005)
+
+
+@pytest.mark.parametrize("n", [1_000, 50_000, 1_000_000])
+def test_cap_filters_reach_their_recall(n):
+    """Pairs at the threshold itself share a direction, and their sketches are near, for as many vectors as n."""
+    from bandweave.llm.cap_filters import CapCode, _units, plan, sketch_limit, sketches
+
+    rng = np.random.default_rng(n)
+    left = _units(rng.standard_normal((400, 64)))
+    away = rng.standard_normal((400, 64))
+    away = _units(away - (away * left).sum(1, keepdims=True) * left)
+    right = 0.9 * left + np.sqrt(1 - 0.81) * away
+    code = CapCode(64, *plan(n, 64))
+    sets = [[set() for _ in range(400)] for _ in range(2)]
+    for side, unit in zip(sets, (left, right), strict=True):
+        for row, direction in zip(*code.decode(unit), strict=True):
+            side[row].add(direction)
+    assert sum(bool(a & b) for a, b in zip(*sets, strict=True)) >= 0.95 * 400
+    words = [sketches(x).view(np.uint64) for x in (left, right)]
+    assert (np.bitwise_count(words[0] ^ words[1]).sum(1) <= sketch_limit(0.9)).mean() > 0.99
 
 
 # classifiers
 
 
-def accuracy(rows, labels, name):
-    held = [(r["predicted"], labels[r["doc_id"]][name]) for r in rows if r["held_out"] and r["doc_id"] in labels]
-    return sum(p == y for p, y in held) / len(held)
-
-
 def test_classifiers_on_held_out_rows(spark):
+    """Recall and precision of the rarer class: 6 of the 70 held-out rows are toxic."""
     from bandweave.llm.quality import op6_quality
     from bandweave.llm.toxicity import op5_toxicity
 
     path = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r.asDict() for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
-    for query, name in ((op5_toxicity, "toxic"), (op6_quality, "quality")):
+    for query, name, rare, recall, precision in ((op5_toxicity, "toxic", 1, 0.6, 0.6), (op6_quality, "quality", 0, 0.9, 0.9)):
         rows = query(spark, path).collect()
         assert all(0 <= r["score"] <= 1 for r in rows)
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
-        assert accuracy(rows, labels, name) > 0.9
+        held = [(r["predicted"], labels[r["doc_id"]][name]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+        hits, found, there = sum(p == y == rare for p, y in held), sum(p == rare for p, _ in held), sum(y == rare for _, y in held)
+        assert there >= 5 and hits >= recall * there and hits >= precision * found
+
+
+def test_toxicity_equals_the_definition(spark):
+    """Noisy-or by its definition, word by word."""
+    import re
+
+    from bandweave.llm.toxicity import features, score_documents, train
+
+    texts = [(i, f"you stupid clown number {i}. fine words here\nall is well" if i % 2 else f"fine words number {i}. all is well") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    table = docs(spark, texts + ODD + [(900, "Stupid! clown? Fine words. " * 40)])
+    model = train(table, labels)
+    for r in score_documents(table, model).collect():
+        safe = 1.0
+        for sentence in re.split(r"[.!?\n]+", r["text"] or ""):
+            words = set(sentence.lower().split())
+            if words:
+                logit = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in features(w))
+                safe *= 1 - 1 / (1 + np.exp(-logit))
+        assert abs(r["toxicity"]["score"] - (1 - safe)) < 1e-9
+        assert r["toxicity"]["predicted"] == (r["toxicity"]["score"] >= 0.5)
+
+
+def test_quality_equals_the_definition(spark):
+    """The score from plainly counted features, and the threshold from all labelled rows."""
+    from bandweave.llm import quality
+    from bandweave.llm.labelled import held_out
+
+    texts = [(i, f"good plain words number {i} " * 5 if i % 3 else f"## {i} @@ $$ %% " * 9) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in texts], "doc_id long, quality int")
+    table = docs(spark, texts + ODD)
+    model = quality.train(table, labels)
+
+    def plain(text):
+        data, words, lines = (text or "").encode(), (text or "").split(), [x for x in (text or "").split("\n") if x.strip()]
+        share = lambda test: sum(map(test, data)) / max(1, len(data))
+        n = max(1, len(words))
+        first = [share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57), share(lambda b: b > 127), len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n]
+        first += [len(set(lines)) / max(1, len(lines)), min(20, len(data) / n) / 20, np.log1p(len(words)) / 10, sum(w.isupper() for w in words) / n, sum(w.isalpha() for w in words) / n]
+        first += [share(lambda b, c=c: b == c) for c in range(33, 127) if not chr(c).isalnum()]
+        return np.r_[first, np.sqrt(first), np.array(first) > 0.02]
+
+    strength = lambda t: float(((plain(t) - model.mean) / model.sd) @ model.weights)
+    for r in quality.score_documents(table, model).collect():
+        want = 1 / (1 + np.exp(-np.clip((strength(r["text"]) - model.threshold) / model.scale + np.log(0.3 / 0.7), -30, 30)))
+        assert abs(r["quality_score"] - want) < 1e-9 and r["quality_predicted"] == (r["quality_score"] >= 0.3)
+    trained = {r["doc_id"] for r in labels.where(~held_out(F.col("doc_id"))).collect()}
+    scores = sorted(strength(t) for i, t in texts if i in trained)
+    bad = sum(i % 3 == 0 for i in trained)
+    assert scores[bad - 1] < model.threshold < scores[bad]
+
+
+def test_training_samples_are_bounded(spark):
+    from bandweave.llm.labelled import with_labels
+
+    table = docs(spark, [(i, "x" * (10 if i % 10 else 1000)) for i in range(100)] + [(3, "x"), (None, "y")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    rows = with_labels(table, labels, "toxic", 30, most_chars=150).collect()
+    for y in (0, 1):
+        own = [r for r in rows if r["label"] == y]
+        assert 10 <= len(own) <= 15 and sum(len(r["text"]) for r in own) <= 150
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in rows)
+    assert len(with_labels(table, labels, "toxic", 30).collect()) == 60
+    assert with_labels(table.limit(0), labels, "toxic", 30, most_chars=5).count() == 0
 
 
 def test_classifiers_take_odd_rows(spark):
@@ -298,12 +448,15 @@ def test_classifiers_take_odd_rows(spark):
     table = docs(spark, texts + ODD)
     model = toxicity.train(table, labels)
     rows = {r["doc_id"]: r["toxicity"] for r in toxicity.score_documents(table, model).collect()}
-    assert rows[1] ["score"] == 0.0 or rows[39]["predicted"] == 1
     assert rows[39]["predicted"] == 1 and rows[38]["predicted"] == 0
     span = rows[39]["offending"][0]
     assert (span["start"], span["end"]) == (0, len("you stupid clown"))
     ranking = quality.train(table, labels)
     assert quality.score_documents(table, ranking).count() == len(texts) + len(ODD)
+    assert toxicity.score_documents(table.limit(0), model).count() == quality.score_documents(table.limit(0), ranking).count() == 0
+    clash = table.selectExpr("*", "'own' AS toxicity", "-5.0 AS quality_score")
+    got = quality.score_documents(toxicity.score_documents(clash, model, into="judged"), ranking, score="s", predicted="p").collect()
+    assert all(r["toxicity"] == "own" and r["quality_score"] == -5 for r in got)
     empty = labels.limit(0)
     assert toxicity.score_documents(table, toxicity.train(table, empty)).agg(F.max("toxicity.predicted")).first()[0] == 0
     assert quality.score_documents(table, quality.train(table, empty)).agg(F.min("quality_predicted")).first()[0] == 1
@@ -333,3 +486,46 @@ def test_url_rules_and_models(spark):
     assert sum(found.score(u) >= found.threshold for u in good) >= 58 and sum(found.score(u) < found.threshold for u in bad) >= 58
     context = found.accepted
     assert abs(sum(np.exp(context.log_prob("http", c)) for c in {c for u in good + bad for c in u} | {"\x03", "\x02"}) - 1) < 1e-6
+
+
+def plain_log_prob(urls, context, char, order, least_seen, alphabet):
+    """Witten-Bell by its definition, from the URLs themselves."""
+    if context is None:
+        return 1.0 / alphabet
+    texts = [f"\x02{url}\x03" for url in urls]
+    followers = [t[i] for t in texts for i in range(max(1, len(context)), len(t)) if t[i - len(context) : i] == context]
+    shorter = plain_log_prob(urls, context[1:] if context else None, char, order, least_seen, alphabet)
+    if context and len(followers) < least_seen:
+        return shorter
+    kinds = len(set(followers))
+    return (followers.count(char) + kinds * shorter) / (len(followers) + kinds) if followers else shorter
+
+
+def test_url_scores_equal_the_definition(spark):
+    from bandweave.llm.url_filter import judge, train_table
+
+    urls = {f"http://a.example.com/en/7{i % 9}/x{i}": True for i in range(40)} | {f"http://b.net/de/{i}z" + "q" * (i == 3) * 3000: False for i in range(40)}
+    labelled = spark.createDataFrame([(a, u) for u, a in urls.items()], "accepted boolean, u string")
+    held = {r["u"] for r in labelled.where("pmod(xxhash64(u, 7), 5) = 0").collect()}
+    found = train_table(labelled)
+    parts = [[u for u, a in urls.items() if a == side and u not in held] for side in (True, False)]
+    alphabet = len({c for part in parts for u in part for c in u}) + 2
+    assert found.accepted.alphabet == alphabet
+    for probe in ("http://c.example.com/en/1", "", "é"):
+        text, total = f"\x02{probe}\x03", 0.0
+        for i in range(1, len(text)):
+            p = [plain_log_prob(part, text[max(0, i - 5) : i], text[i], 5, 3, alphabet) for part in parts]
+            total += np.log(p[0]) - np.log(p[1])
+        assert abs(found.score(probe) - total / (len(text) - 1)) < 1e-9
+    small = train_table(labelled, most_grams=300)
+    assert sum(len(f) for f in small.accepted.followers.values()) <= 300 + alphabet
+    # verdicts: by the rules where one fits, else by the score; names that clash stay
+    pages = spark.createDataFrame([(i, u, "r", 1) for i, u in enumerate([*urls, "http://c.example.com/zz", None])], "page_id long, url string, _rule string, _SCORED int")
+    rows = judge(pages).collect()
+    assert len(rows) == len(urls) + 2 and all(r["_rule"] == "r" and r["_SCORED"] == 1 for r in rows)
+    again = judge(pages).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    for r in rows:
+        want = "allow" if r["rule"] == "example.com/en/7" else "block" if r["rule"] else None
+        assert r["verdict"] == want or want is None
+        assert want is not None or r["verdict"] in ("allow", "block")
