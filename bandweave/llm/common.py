@@ -61,7 +61,7 @@ class Scratch:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Caps the bytes of an Arrow batch at BATCH_BYTES."""
+    """Caps the bytes of an Arrow batch at BATCH_BYTES, from now on in this session: plans are run after the operator returns."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

@@ -250,13 +250,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 #: Wide fingerprints, for texts: so many parts, each the key of a trie join of its own.
-PARTS = 40
+PARTS = 60
 #: (rows up to, bits of a part, differing bits): each finds a pair at a Jaccard similarity of 0.8 with a probability of
-#: 0.12 or 0.13 (so that all parts miss it with 0.007 at most, and at 0.82 with 0.002), while a row has few strangers.
+#: 0.12 or 0.13 (so that all parts miss it with 0.0006 at most, and at 0.82 with 0.0001), while a row has few strangers.
 WIDTHS = ((2_000_000, 32, 2), (25_000_000, 40, 3), (300_000_000, 48, 4), (1 << 62, 56, 5))
-#: Wide fingerprints exclude a pair only beyond so many standard deviations, and only where both texts have FEW shingles;
-#: pairs with a text of fewer share a shingle of their prefixes (a fifth of each set, in the order of the hashes).
-MARGIN, FEW = 5, 64
+#: Wide fingerprints exclude a pair only beyond so many standard deviations. Of a text with under FEW shingles and another the
+#: expected share can be greater, by 1.24 at most (0.1875 for 4 shingles and 5 at a similarity of 0.8, by enumeration); and
+#: they share a shingle of their prefixes (a fifth of each set, in the order of the hashes).
+MARGIN, FEW, SMALL = 5, 64, 1.25
 #: Texts, and shingles, that are compared with as many others at once.
 CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
 
@@ -335,14 +336,14 @@ def differing_share(similarity: float) -> float:
 def alike_prints(left: list[tuple], right: list[tuple], similarity: float, bits: int) -> np.ndarray:
     """Which pairs of (size, fingerprint) their sizes and fingerprints leave open, as a matrix."""
     share = differing_share(similarity)
-    limit = int(bits * share + MARGIN * np.sqrt(bits * share * (1 - share)))
+    most = [int(bits * p + MARGIN * np.sqrt(bits * p * (1 - p))) for p in (share, SMALL * share)]
     s, t = (np.array([x[0] for x in side], float) for side in (left, right))
     a, b = (np.stack([np.frombuffer(x[1], "<u8") for x in side]) for side in (left, right))
     few, many = np.minimum(s[:, None], t), np.maximum(s[:, None], t)
-    near = few < FEW
+    limit, near = np.where(few < FEW, most[1], most[0]), np.zeros(few.shape, bool)
     step = max(1, (1 << 20) // max(1, b.size))
     for i in range(0, len(a), step):
-        near[i : i + step] |= np.bitwise_count(a[i : i + step, None] ^ b).sum(2, dtype=np.int32) <= limit
+        near[i : i + step] = np.bitwise_count(a[i : i + step, None] ^ b).sum(2, dtype=np.int32) <= limit[i : i + step]
     return near & (few >= similarity * many - 1e-9)
 
 
@@ -486,7 +487,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key, sketch, digest, tag = unused(docs, "_key", "_sketch", "_digest", "_tag")
     count = docs.count()
     bits, budget = next((b, d) for most, b, d in WIDTHS if count <= most)
-    words = PARTS * bits // 64
+    words = -(-PARTS * bits // 64)
 
     @F.pandas_udf("digest binary, size long, wide binary, parts array<long>")
     def run(texts):

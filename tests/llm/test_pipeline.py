@@ -296,6 +296,19 @@ def test_near_copies_are_cut_at_the_similarity_itself(spark):
     assert kept == {i for i, _ in rows} - {2 * k + 1 for k in range(1, 120, 2)}
 
 
+def test_fingerprints_leave_similar_small_sets_open():
+    from bandweave.llm.simhash import alike_prints, alike_sets, wide_of
+
+    rng = np.random.default_rng(10)
+    sets = []
+    for n in [4, 5, 6, 8, 9, 12, 20, 40, 63, 80] * 12:
+        one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        sets += [one, one[1:], one[n // 5 :]]
+    prints = [(len(x), wide_of(x, 20).astype("<u8").tobytes()) for x in sets]
+    same, open_ = alike_sets(sets, sets, 0.8), alike_prints(prints, prints, 0.8, 1280)
+    assert open_[same].all() and open_.sum() < 1.3 * same.sum()
+
+
 def test_repeated_lines_do_not_make_near_copies(spark):
     from bandweave.llm.simhash import drop_near_copies
 
@@ -315,3 +328,17 @@ def test_levels_beyond_the_rounds_are_an_error(spark):
     assert {r["call_id"]: r["level"] for r in dependency_levels(calls, needs, max_rounds=3).collect()} == {"a": 0, "b": 1, "c": 2}
     with pytest.raises(RuntimeError):
         dependency_levels(calls, needs, max_rounds=2)
+
+
+@pytest.mark.parametrize("width", [(1 << 62, 40, 3), (1 << 62, 56, 5)])
+def test_wider_parts_for_more_rows_find_the_same(spark, monkeypatch, width):
+    from bandweave.llm import simhash
+
+    monkeypatch.setattr(simhash, "WIDTHS", (width,))
+    rows = []
+    for k in range(20):
+        own = [f"k{k}w{i}" for i in range(304)]
+        places = range(5, 5 + 6 * (5 if k % 2 else 8), 6)  # 0.85 or 0.76
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(edited(own, places, f"e{k}x")))]
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows} - {2 * k + 1 for k in range(1, 20, 2)}
