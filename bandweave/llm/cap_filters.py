@@ -9,6 +9,9 @@ The cap's height follows the number of vectors, so that a direction holds about
 the number of directions follows from the recall wanted at the similarity threshold. A direction that holds far more (a
 large group of near copies) is cut into chunks that are compared chunk by chunk in tasks of their own. Vectors that are
 equal are compared once.
+
+Vectors are decoded once. What is dealt out by direction are their numbers and sketches of SKETCH sign bits; only those
+that have a vector with a like sketch beside them (with a margin of MARGIN standard deviations) are dealt out whole.
 """
 
 from __future__ import annotations
@@ -19,18 +22,20 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bandweave.llm.common import bounded_batches, connected_components, materialize
+from bandweave.llm.common import Scratch, bounded_batches, connected_components, materialize
 from bandweave.llm.simhash import local_roots
 
 THRESHOLD = 0.9
 #: Vectors that a direction's cap should hold, and those beyond which its vectors are cut into chunks.
 BUCKET, CHUNK = 48, 1024
 #: Chance, for a pair at the threshold, of sharing no direction, as the normal model has it.
-MISSED = 0.002
+MISSED = 0.0005
 #: Product codes side by side.
 CODES = 6
 SEED = 17
+SKETCH, MARGIN = 128, 5
 
 
 class CapCode:
@@ -106,6 +111,32 @@ def _code(n: int, size: int, threshold: float) -> CapCode:
     return CapCode(size, *plan(n, size, threshold))
 
 
+@lru_cache(maxsize=64)
+def _signs(size: int) -> np.ndarray:
+    return np.random.default_rng([SEED, size]).standard_normal((size, SKETCH))
+
+
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """Of each vector the signs of its products with fixed random vectors, as two words."""
+    return np.packbits(unit @ _signs(unit.shape[1]) > 0, axis=1, bitorder="little").view("<i8")
+
+
+def sketch_limit(threshold: float) -> int:
+    """Differing bits of two sketches up to which their vectors may be linked."""
+    share = math.acos(threshold) / math.pi
+    return int(SKETCH * share + MARGIN * math.sqrt(SKETCH * share * (1 - share)))
+
+
+def packed(v: np.ndarray) -> bytes:
+    """A vector without loss: in single precision where that is exact, else in double."""
+    low = v.astype("<f4")
+    return b"\4" + low.tobytes() if (low == v).all() else b"\x08" + v.astype("<f8").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<f4" if data[0] == 4 else "<f8", offset=1).astype(float)
+
+
 def _units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
@@ -131,7 +162,7 @@ def _first_here(rows: list[np.ndarray], cols: list[np.ndarray], here: int) -> np
 def _compare(here: int, left: list, right: list | None, threshold: float):
     """(n, n_links, root) of the vectors (n, copies, vector, directions) of a direction: all pairs, or those across."""
     both = left if right is None else [*left, *right]
-    unit = _units(np.stack([np.frombuffer(r[2], "<f8") for r in both]))
+    unit = _units(np.stack([unpacked(r[2]) for r in both]))
     copies = np.array([r[1] for r in both])
     at = len(left) if right is not None else 0
     close = (unit[: len(left)] @ unit[at:].T) >= threshold
@@ -139,7 +170,7 @@ def _compare(here: int, left: list, right: list | None, threshold: float):
         close = np.triu(close, 1)
     if not close.any():
         return
-    lists = [np.frombuffer(r[3], "<i8") for r in both]
+    lists = [np.asarray(r[3], np.int64) for r in both]
     i, j = np.nonzero(close & _first_here(lists[: len(left)], lists[at:], here))
     j = j + at
     if not len(i):
@@ -159,7 +190,8 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     n_links: other rows linked directly, copies included; component_id: the smallest id reachable by links, itself
     included; kept: id = component_id. A vector that is null, empty, zero or has null or non-finite components links with
     nothing, nor do vectors of different lengths. Rows that repeat an id and vector link with each other; null ids are
-    listed but never name a group that has another. An empty table gives an empty result.
+    listed but never name a group that has another. Ids are of any type with an order; other columns are not passed on. An
+    empty table gives an empty result.
     """
     spark = table.sparkSession
     bounded_batches(spark)
@@ -168,7 +200,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     usable = finite & F.exists(x, lambda v: v != 0)
     rows = table.select(F.col(id_col).alias("id"), F.when(usable, x).alias("x"))
 
-    def packed(batches):
+    def pack(batches):
         """Vectors as bytes, halved or doubled by powers of two so that no square can overflow."""
         import pyarrow as pa
 
@@ -179,10 +211,10 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                     out.append(None)
                     continue
                 v = np.array(v) + 0.0
-                out.append(np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])).astype("<f8").tobytes())
+                out.append(packed(np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "v"])
 
-    rows = materialize(rows.mapInArrow(packed, "id long, v binary"))
+    rows = materialize(rows.mapInArrow(pack, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("v", T.BinaryType())])))
     alone = rows.where("v IS NULL")
     distinct = materialize(rows.where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("low")).withColumn("n", F.monotonically_increasing_id()))
     count = distinct.count()
@@ -191,70 +223,107 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         import pyarrow as pa
 
         for batch in batches:
-            ns, copies, vectors = (batch.column(i).to_pylist() for i in range(3))
+            ns, copies, data = (batch.column(i).to_pylist() for i in range(3))
+            vectors = list(map(unpacked, data))
             by_size: dict[int, list[int]] = {}
             for k, v in enumerate(vectors):
-                by_size.setdefault(len(v) // 8, []).append(k)
+                by_size.setdefault(len(v), []).append(k)
             for size, own in by_size.items():
                 for start in range(0, len(own), 512):
                     part = own[start : start + 512]
-                    unit = _units(np.stack([np.frombuffer(vectors[k], "<f8") for k in part]))
+                    unit = _units(np.stack([vectors[k] for k in part]))
                     row, direction = _code(count, size, threshold).decode(unit)
                     direction = direction * 4096 + size % 4096
                     lists = np.split(direction, np.cumsum(np.bincount(row, minlength=len(part)))[:-1])
-                    keys = [a.astype("<i8").tobytes() for a in map(np.sort, lists)]
+                    marks = sketches(unit)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(direction),
-                            pa.array([ns[part[r]] for r in row]),
-                            pa.array([copies[part[r]] for r in row]),
-                            pa.array([vectors[part[r]] for r in row], pa.binary()),
-                            pa.array([keys[r] for r in row], pa.binary()),
+                            pa.array([ns[k] for k in part], pa.int64()),
+                            pa.array([copies[k] for k in part], pa.int64()),
+                            pa.array([data[k] for k in part], pa.binary()),
+                            pa.array([np.sort(x) for x in lists], pa.list_(pa.int64())),
+                            pa.array(marks[:, 0]),
+                            pa.array(marks[:, 1]),
                         ],
-                        names=["direction", "n", "copies", "v", "keys"],
+                        names=["n", "copies", "v", "keys", "s", "t"],
                     )
 
-    coded = distinct.select("n", "copies", "v").mapInArrow(decode, "direction long, n long, copies long, v binary, keys binary")
-    sizes = distinct.select("n", "copies", "v").mapInArrow(decode, "direction long, n long, copies long, v binary, keys binary").groupBy("direction").agg(F.count("*").alias("size")).where(F.col("size") > CHUNK)
-    chunks = materialize(sizes.select("direction", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")))
-    few = chunks.count() <= 100_000  # at most a few MB
-    coded = coded.join(F.broadcast(chunks) if few else chunks, "direction", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    coded = coded.withColumn("own", F.pmod(F.xxhash64("n"), F.col("chunks")).cast("int"))
-    coded = coded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    coded = coded.select("direction", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "n", "copies", "v", "keys")
-
-    def compare(batches):
-        import pyarrow as pa
-
-        def groups():
-            key, held = None, []
+    with Scratch(spark) as scratch:
+        decoded = scratch.table(distinct.select("n", "copies", "v").mapInArrow(decode, "n long, copies long, v binary, keys array<long>, s long, t long"))
+        coded = decoded.select("n", "s", "t", F.explode("keys").alias("direction"))
+        sizes = decoded.select(F.explode("keys").alias("direction")).groupBy("direction").agg(F.count("*").alias("size")).where(F.col("size") > CHUNK)
+        chunks = scratch.table(sizes.select("direction", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")))
+        few = chunks.limit(100_001).count() <= 100_000  # at most a few MB
+        coded = coded.join(F.broadcast(chunks) if few else chunks, "direction", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        coded = coded.withColumn("own", F.pmod(F.xxhash64("n"), F.col("chunks")).cast("int"))
+        coded = coded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        coded = coded.select("direction", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "n", "s", "t")
+        most = sketch_limit(threshold)
+
+        def blocks(batches):
+            """Columns of each block (direction, a, b), which comes sorted."""
+            rest: list = []
             for batch in batches:
-                columns = [batch.column(i).to_pylist() for i in range(8)]
-                for direction, a, b, own, *rest in zip(*columns, strict=True):
-                    if (direction, a, b) != key:
-                        if held:
-                            yield key, held
-                        key, held = (direction, a, b), []
-                    held.append((own, rest))
+                if not batch.num_rows:
+                    continue
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                if rest:
+                    columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+                new = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])) + 1
+                edges = [0, *new.tolist()]
+                for x, y in zip(edges[:-1], edges[1:], strict=True):
+                    yield [c[x:y] for c in columns]
+                rest = [c[edges[-1] :] for c in columns]
+            if rest:
+                yield rest
+
+        def prune(batches):
+            """The rows of a block that have one with a like sketch in it."""
+            import pyarrow as pa
+
+            held, size = [], 0
+            for block in blocks(batches):
+                direction, a, b, own, n, *marks = block
+                if len(n) < 2:
+                    continue
+                words = np.stack(marks, 1).view(np.uint64)
+                left = np.flatnonzero(own == a[0])
+                right = left if a[0] == b[0] else np.flatnonzero(own == b[0])
+                near = np.bitwise_count(words[left, None] ^ words[right]).sum(2, dtype=np.int16) <= most
+                if a[0] == b[0]:
+                    np.fill_diagonal(near, False)
+                kept = np.union1d(left[near.any(1)], right[near.any(0)])
+                if len(kept):
+                    held.append([c[kept] for c in block[:5]])
+                    size += len(kept)
+                if size > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["direction", "a", "b", "own", "n"])
+                    held, size = [], 0
             if held:
-                yield key, held
-
-        out = []
-        for (direction, a, b), held in groups():
-            if len(held) < 2:
-                continue
-            left = [r for own, r in held if own == a]
-            right = None if a == b else [r for own, r in held if own == b]
-            if left and (right is None or right):
-                out += _compare(direction, left, right, threshold)
-            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["direction", "a", "b", "own", "n"])
+
+        def compare(batches):
+            import pyarrow as pa
+
+            out = []
+            for block in blocks(batches):
+                direction, a, b, own = (c[0] for c in block[:4])
+                held = list(zip(block[3].tolist(), zip(*(c.tolist() for c in block[4:]), strict=True), strict=True))
+                left = [r for own, r in held if own == a]
+                right = None if a == b else [r for own, r in held if own == b]
+                if left and (right is None or right):
+                    out += _compare(direction, left, right, threshold)
+                if len(out) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["n", "links", "root"])
+                    out = []
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["n", "links", "root"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["n", "links", "root"])
 
-    dealt = coded.repartition("direction", "a", "b").sortWithinPartitions("direction", "a", "b")
-    found = materialize(dealt.mapInArrow(compare, "n long, links long, root long"))
+        dealt = coded.repartition("direction", "a", "b").sortWithinPartitions("direction", "a", "b")
+        left = scratch.table(dealt.mapInArrow(prune, "direction long, a int, b int, own int, n long"))
+        whole = left.join(decoded.select("n", "copies", "v", "keys"), "n").select("direction", "a", "b", "own", "n", "copies", "v", "keys")
+        whole = whole.repartition("direction", "a", "b").sortWithinPartitions("direction", "a", "b")
+        found = materialize(whole.mapInArrow(compare, "n long, links long, root long"))
     links = found.groupBy("n").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("n").alias("u"), F.col("root").alias("v")))
     named = distinct.select("n", "v", "copies", "low").join(links, "n", "left").join(roots.withColumnRenamed("node", "n"), "n", "left")
@@ -268,3 +337,26 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 def op9_cap_filters(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+#: All pairs; the filters' recall is a little under one, so that tables with links at the threshold itself may differ.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), u AS (
+  SELECT vec_id, e FROM v
+  WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= 0.9
+), r(vec_id, root) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id
+), c AS (
+  SELECT vec_id, min(root) AS component_id FROM r GROUP BY 1
+), n AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
