@@ -460,7 +460,7 @@ def linked(members: DataFrame, items: DataFrame, prepare, alike, scratch: Scratc
     most = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.first("chunks").alias("chunks"))
     most = most.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("m"), F.first("chunks").alias("chunks"))
     left = F.col("m") - F.col("top.c")
-    most = scratch.table(most.where(left > 0).select("key", F.col("top.root").alias("top"), F.least(F.col("chunks"), F.ceil(left * F.col("chunks") / F.col("m")) + 1).cast("int").alias("leaders")))
+    most = scratch.table(most.where(left > 0).select("key", F.col("top.root").alias("top"), F.least(F.col("chunks"), F.ceil(left * F.col("chunks") / F.col("m"))).cast("int").alias("leaders")))
     rows = rows.join(most, "key")
     right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("leaders") - 1)).alias("a"), F.col("own").alias("b"), "n", F.lit(2).alias("side"))
     lead = rows.where("root <> top").select("key", F.pmod(F.xxhash64("n", F.lit(1)), F.col("leaders")).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b"), "n", F.lit(1).alias("side"))
