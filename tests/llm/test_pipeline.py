@@ -342,3 +342,36 @@ def test_wider_parts_for_more_rows_find_the_same(spark, monkeypatch, width):
         rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(edited(own, places, f"e{k}x")))]
     kept = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {i for i, _ in rows} - {2 * k + 1 for k in range(1, 20, 2)}
+
+
+def test_every_two_members_of_a_key_are_compared(spark):
+    """In chunks of 16: groups far from one another, and many members that are like none."""
+    from bandweave.llm.common import Scratch
+    from bandweave.llm.simhash import alike_sets, linked
+
+    rng = np.random.default_rng(13)
+    centres = [rng.integers(0, 1 << 62, 60) for _ in range(4)]
+    sets = []
+    for k in range(150):
+        one = centres[k % 4].copy()
+        one[rng.choice(60, 2 if k % 3 else 40, replace=False)] = rng.integers(0, 1 << 62, 2 if k % 3 else 40)
+        sets.append(np.unique(one.astype(np.uint64)))
+    same = alike_sets(sets, sets, 0.8)
+    want, seen = {}, set()
+    for i in range(150):
+        if i not in seen:
+            group, todo = {i}, [i]
+            while todo:
+                for j in np.flatnonzero(same[todo.pop()]).tolist():
+                    if j not in group:
+                        group.add(j)
+                        todo.append(j)
+            seen |= group
+            want |= {j: i for j in group} if len(group) > 1 else {}
+    members = spark.createDataFrame([(key, i, 1) for key in (1, 2) for i in range(150) if key == 1 or i % 2], "key long, n long, weight long")
+    items = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "n long, hashes binary")
+    with Scratch(spark) as scratch:
+        roots = linked(members, items, lambda h: np.frombuffer(h, np.uint64), lambda a, b: alike_sets(a, b, 0.8), scratch, chunk=16)
+        got = {r["node"]: r["root"] for r in roots.collect()}
+    assert len(set(want.values())) >= 4 and len(want) < 150
+    assert got == want
