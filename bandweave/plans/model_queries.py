@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bandweave.functions import metrics
 from bandweave.operators import covariates, features, prepare, tuning
 from bandweave.operators import relational as rel
-from bandweave.plans.catalog import r6, register, spectra, table
+from bandweave.plans.catalog import r6, register, spectra, sql_round, table
 
 AXIS = [600.0 + 2 * i for i in range(64)]
 _TREES = 20
@@ -107,7 +107,7 @@ def created_dataset(spark, sf_dir):
     scans = spectra(spark, sf_dir).select(F.concat(F.lit("proj_"), F.col("sample_id").cast("string"), F.lit("_S1.0")).alias("Sample_ID"), "label", F.col("x").alias("spectrum"))
     response = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("Sample_ID"), "c_acctbal")
     made = prepare.create_dataset(scans, response, ["c_acctbal"], parse_ids=True, id_format="project_sampleid_scanid")
-    return made.select("Project", "Sample_ID", "label", F.transform("spectrum", lambda v: F.round(v, 6)).alias("spectrum"), "n_replicates", r6("c_acctbal").alias("c_acctbal"))
+    return made.select("Project", "Sample_ID", "label", F.transform("spectrum", lambda v: sql_round(v)).alias("spectrum"), "n_replicates", r6("c_acctbal").alias("c_acctbal"))
 
 
 def _preprocessed(spark, sf_dir, interval: float, baseline: str) -> DataFrame:

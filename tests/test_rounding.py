@@ -52,3 +52,7 @@ def test_preprocessed_library_has_the_bits_of_sql(spark, small):
 
 def test_long_form_has_the_bits_of_sql(spark, small):
     held_against_sql(spark, small, "long_to_arrays", "sample_id")
+
+
+def test_created_dataset_has_the_bits_of_sql(spark, small):
+    held_against_sql(spark, small, "created_dataset", "Sample_ID")
