@@ -110,12 +110,12 @@ def created_dataset(spark, sf_dir):
     return made.select("Project", "Sample_ID", "label", F.transform("spectrum", lambda v: sql_round(v)).alias("spectrum"), "n_replicates", r6("c_acctbal").alias("c_acctbal"))
 
 
-def _preprocessed(spark, sf_dir, interval: float, baseline: str) -> DataFrame:
+def _preprocessed(spark, sf_dir, interval: float, baseline: str, rounded=lambda v: F.round(v, 6)) -> DataFrame:
     from bandweave.operators.kernels import preprocess_spectra
     from bandweave.sources.readers import with_metadata
 
     rows = with_metadata(spectra(spark, sf_dir).withColumnRenamed("x", "spectrum"), wavenumbers=AXIS, spectra_type="NIR")
-    return preprocess_spectra(rows, interval, baseline).select("sample_id", F.transform("spectrum", lambda v: F.round(v, 6)).alias("spectrum"))
+    return preprocess_spectra(rows, interval, baseline).select("sample_id", F.transform("spectrum", rounded).alias("spectrum"))
 
 
 # the lower hull at a band is the lowest chord over it; every second band is a knot of the new axis
@@ -136,7 +136,7 @@ u AS (SELECT *, t * t - avg(t * t) OVER (PARTITION BY sample_id) AS s FROM z), k
 @register("detrended_spectra", f"WITH {_X}{_QUADRATIC}SELECT sample_id, list(round(z - c * t - d * s, 6) ORDER BY b) AS spectrum FROM u JOIN k USING (sample_id) GROUP BY 1")
 def detrended_spectra(spark, sf_dir):
     """The polynomial baseline, on the spectra's own axis."""
-    return _preprocessed(spark, sf_dir, 2.0, "polynomial")
+    return _preprocessed(spark, sf_dir, 2.0, "polynomial", lambda v: sql_round(v))
 
 
 @register("kmeans_clusters")

@@ -56,3 +56,7 @@ def test_long_form_has_the_bits_of_sql(spark, small):
 
 def test_created_dataset_has_the_bits_of_sql(spark, small):
     held_against_sql(spark, small, "created_dataset", "Sample_ID")
+
+
+def test_detrended_spectra_have_the_bits_of_sql(spark, small):
+    held_against_sql(spark, small, "detrended_spectra", "sample_id")
