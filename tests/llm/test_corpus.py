@@ -529,3 +529,28 @@ def test_url_scores_equal_the_definition(spark):
         want = "allow" if r["rule"] == "example.com/en/7" else "block" if r["rule"] else None
         assert r["verdict"] == want or want is None
         assert want is not None or r["verdict"] in ("allow", "block")
+
+
+def test_url_threshold_is_that_of_all_held_out_rows(spark):
+    """More than 2,000 held-out URLs of either verdict, whose scores overlap; and small tables with ties or one class."""
+    import inspect
+    import random
+
+    from bandweave.llm.common import Scratch
+    from bandweave.llm.url_filter import calibrated, calibrated_table, train_table
+
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choice("abcdefgh"[k : k + 7]) for _ in range(4))
+    urls = {f"http://x.com/{word(i % 2)}{i}": i % 2 == 0 for i in range(24_000)}
+    labelled = spark.createDataFrame([(a, u) for u, a in urls.items()], "accepted boolean, u string")
+    found = train_table(labelled)
+    seed = inspect.signature(train_table).parameters["seed"].default
+    held = labelled.where(F.pmod(F.xxhash64("u", F.lit(seed)), F.lit(5)) == 0).collect()
+    assert min(sum(r["accepted"] for r in held), sum(not r["accepted"] for r in held)) > 2000
+    assert found.threshold == calibrated(np.array([found.score(r["u"]) for r in held]), np.array([r["accepted"] for r in held]))
+    for rows in ([(True, 1.0), (False, 1.0), (False, 0.5), (True, 0.75), (True, 0.75), (False, -2.0)], [(True, 1.0)], [(False, 2.0), (True, 1.0)]):
+        with Scratch(spark) as scratch:
+            got = calibrated_table(spark.createDataFrame(rows, "accepted boolean, score double"), scratch)
+        assert got == calibrated(np.array([x for _, x in rows]), np.array([a for a, _ in rows]))
+    with Scratch(spark) as scratch:
+        assert calibrated_table(spark.createDataFrame([], "accepted boolean, score double"), scratch) == 0.0
