@@ -260,6 +260,8 @@ WIDTHS = ((2_000_000, 32, 2), (25_000_000, 40, 3), (300_000_000, 48, 4), (1 << 6
 MARGIN, FEW, SMALL = 5, 64, 1.25
 #: Texts, and shingles, that are compared with as many others at once.
 CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
+#: Members and shingles of an array in which members travel to the blocks that compare them.
+PACK, PACK_SHINGLES = 64, 1 << 16
 
 
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
@@ -379,8 +381,9 @@ def alike_sets(left: list[np.ndarray], right: list[np.ndarray], similarity: floa
 def _compared(dealt: DataFrame, prepare, alike) -> DataFrame:
     """(u, v) that tie each row of a block to the least that it reaches by the links found in the block.
 
-    dealt: key, a, b (the block), side (1 left, 2 right, 3 both), n and the columns that prepare makes an item of; alike
-    gives the matrix of links of two lists of items. A block has at most two chunks of rows.
+    dealt: key, a, b (the block), side (1 left, 2 right, 3 both) and packs of members, as arrays of structs of n and the
+    columns that prepare makes an item of; alike gives the matrix of links of two lists of items. A block has at most two
+    chunks of members.
     """
     from pyspark.sql.types import LongType, StructField, StructType
 
@@ -403,13 +406,15 @@ def _compared(dealt: DataFrame, prepare, alike) -> DataFrame:
             key, ns, sides, items = None, [], [], []
             for batch in batches:
                 columns = [c.to_pylist() for c in batch.columns]
-                for k, a, b, side, n, *rest in zip(*columns, strict=True):
+                for k, a, b, side, pack in zip(*columns, strict=True):
                     if (k, a, b) != key:
                         yield ns, sides, items
                         key, ns, sides, items = (k, a, b), [], [], []
-                    ns.append(n)
-                    sides.append(side)
-                    items.append(prepare(*rest))
+                    for member in pack:
+                        n, *rest = member.values()
+                        ns.append(n)
+                        sides.append(side)
+                        items.append(prepare(*rest))
             yield ns, sides, items
 
         u, v = [], []
@@ -436,13 +441,21 @@ def linked(members: DataFrame, items: DataFrame, prepare, alike, scratch: Scratc
     """
     fields = [c for c in items.columns if c != "n"]
     chunks = F.ceil(F.greatest(F.count("*") / chunk, F.sum("weight") / chunk_weight)).cast("int").alias("chunks")
-    sizes = scratch.table(members.groupBy("key").agg(chunks, F.count("*").alias("m")).where("m > 1"))
+    packs = F.ceil(F.greatest(F.count("*") / PACK, F.sum("weight") / PACK_SHINGLES)).alias("packs")
+    sizes = scratch.table(members.groupBy("key").agg(chunks, packs, F.count("*").alias("m")).where("m > 1"))
     own = F.pmod(F.xxhash64("n"), F.col("chunks")).cast("int")
-    rows = members.join(sizes, "key").select("key", "n", "chunks", own.alias("own"))
+
+    def packed(rows: DataFrame, at: str, *others: str) -> DataFrame:
+        """The rows (key, n, chunks, packs) of each chunk at in a few arrays: what several blocks need is repeated as these."""
+        pack = F.pmod(F.xxhash64("n", F.lit(2)), F.ceil(F.col("packs") / F.col("chunks")).cast("int")).alias("part")
+        full = rows.select("key", at, "chunks", *others, pack, "n").join(items, "n")
+        return full.groupBy("key", at, "chunks", *others, "part").agg(F.collect_list(F.struct("n", *fields)).alias("pack"))
+
+    rows = members.join(sizes, "key").select("key", "n", "chunks", "packs", own.alias("own"))
     b = F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own")))
-    star = rows.select("key", F.lit(0).alias("a"), b.alias("b"), "n", "own")
+    star = packed(rows, "own").select("key", F.lit(0).alias("a"), b.alias("b"), "own", "pack")
     star = star.withColumn("side", F.when(F.col("own") > 0, 2).when(F.col("b") == 0, 3).otherwise(1))
-    deal = lambda x: scratch.table(_compared(x.join(items, "n").select("key", "a", "b", "side", "n", *fields), prepare, alike))
+    deal = lambda x: scratch.table(_compared(x.select("key", "a", "b", "side", "pack"), prepare, alike))
     links = deal(star)
     if links.isEmpty():
         roots = None
@@ -451,7 +464,7 @@ def linked(members: DataFrame, items: DataFrame, prepare, alike, scratch: Scratc
     large = scratch.table(sizes.where("chunks > 1"))
     if large.isEmpty():
         return roots
-    rows = members.join(large, "key").select("key", "n", "chunks", own.alias("own"))
+    rows = members.join(large, "key").select("key", "n", "chunks", "packs", own.alias("own"))
     if roots is not None:
         rows = rows.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     else:
@@ -462,8 +475,9 @@ def linked(members: DataFrame, items: DataFrame, prepare, alike, scratch: Scratc
     left = F.col("m") - F.col("top.c")
     most = scratch.table(most.where(left > 0).select("key", F.col("top.root").alias("top"), F.least(F.col("chunks"), F.ceil(left * F.col("chunks") / F.col("m"))).cast("int").alias("leaders")))
     rows = rows.join(most, "key")
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("leaders") - 1)).alias("a"), F.col("own").alias("b"), "n", F.lit(2).alias("side"))
-    lead = rows.where("root <> top").select("key", F.pmod(F.xxhash64("n", F.lit(1)), F.col("leaders")).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b"), "n", F.lit(1).alias("side"))
+    right = packed(rows, "own", "leaders").select("key", F.explode(F.sequence(F.lit(0), F.col("leaders") - 1)).alias("a"), F.col("own").alias("b"), F.lit(2).alias("side"), "pack")
+    lead = packed(rows.where("root <> top").withColumn("a", F.pmod(F.xxhash64("n", F.lit(1)), F.col("leaders")).cast("int")), "a")
+    lead = lead.select("key", "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b"), F.lit(1).alias("side"), "pack")
     more = deal(right.unionByName(lead))
     if more.isEmpty():
         return roots

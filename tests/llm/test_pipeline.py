@@ -375,3 +375,23 @@ def test_every_two_members_of_a_key_are_compared(spark):
         got = {r["node"]: r["root"] for r in roots.collect()}
     assert len(set(want.values())) >= 4 and len(want) < 150
     assert got == want
+
+
+def test_members_travel_to_their_blocks_in_packs(spark, monkeypatch):
+    """A key of three chunks whose members are like none but one pair: few rows are dealt, and the pair is found."""
+    from bandweave.llm import simhash
+    from bandweave.llm.common import Scratch
+
+    dealt, compared = [], simhash._compared
+
+    def counted(rows, *rest):
+        dealt.append(rows.count())
+        return compared(rows, *rest)
+
+    monkeypatch.setattr(simhash, "_compared", counted)
+    members = spark.range(2600).selectExpr("1L AS key", "id AS n", "1L AS weight")
+    items = spark.range(2600).selectExpr("id AS n", "if(id = 2599, 7, id) AS value")
+    with Scratch(spark) as scratch:
+        roots = simhash.linked(members, items, lambda v: v, lambda a, b: np.equal.outer(np.array(a), np.array(b)), scratch)
+        assert {r["node"]: r["root"] for r in roots.collect()} == {7: 7, 2599: 7}
+    assert len(dealt) == 2 and max(dealt) < 2600 / 8
