@@ -73,32 +73,45 @@ def mean(x: Column | str) -> Column:
 
 
 def sd(x: Column | str) -> Column:
-    """Sample standard deviation of the elements (two passes); NULL under two elements."""
+    """Sample standard deviation of the elements (running mean and squares, in SQL's order); NULL under two elements."""
 
-    def of(v: Column) -> Column:
-        def around(m: Column) -> Column:
-            return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, e: a + (e - m) * (e - m)) / F.nullif(F.size(v) - 1, F.lit(0)))
+    def step(a: Column, e: Column) -> Column:
+        n = a["n"] + 1.0
+        return let(a["m"] + (e - a["m"]) / n, lambda m: F.struct(n.alias("n"), m.alias("m"), (a["q"] + (e - m) * (e - a["m"])).alias("q")))
 
-        return F.when(F.size(v) > 1, let(mean(v), around))
+    def of(v: Column) -> Column:
+        zero = F.struct(*[F.lit(0.0).alias(c) for c in "nmq"])
+        return F.when(F.size(v) > 1, F.sqrt(F.aggregate(v, zero, step, lambda a: a["q"]) / F.nullif(F.size(v) - 1, F.lit(0))))
 
     return let(x, of)
 
 
-def snv(x: Column | str) -> Column:
-    """Standard normal variate over the whole vector; a constant vector gives NULL."""
+def snv(x: Column | str, flat: bool = False) -> Column:
+    """Standard normal variate over the whole vector; a constant vector, or one with a NULL band, gives NULL.
+
+    flat: as SQL has it, NULL bands stay beside the others, and a constant vector's bands are divided by zero.
+    """
 
     def of(v: Column) -> Column:
-        stats = F.struct(mean(v).alias("m"), sd(v).alias("s"))
-        return let(stats, lambda t: F.when(t["s"] > 0, F.transform(v, lambda e: (e - t["m"]) / t["s"])))
+        bands = F.filter(v, lambda e: e.isNotNull()) if flat else v
+        stats = F.struct(mean(bands).alias("m"), sd(bands).alias("s"))
+        if not flat:
+            return let(stats, lambda t: F.when(t["s"] > 0, F.transform(v, lambda e: (e - t["m"]) / t["s"])))
+
+        def scaled(e: Column, t: Column) -> Column:
+            none = F.when(e > t["m"], float("inf")).when(e < t["m"], float("-inf")).when(e.isNotNull(), float("nan"))
+            return F.when(t["s"] == 0, none).otherwise((e - t["m"]) / F.nullif(t["s"], F.lit(0.0)))
+
+        return let(stats, lambda t: F.transform(v, lambda e: scaled(e, t)))
 
     return let(x, of)
 
 
-def process(x: Column | str, preprocessing: str, window: int = 9, scale_derivative: bool = False) -> Column:
-    """Applies one of PREPROCESSING; every result is window - 1 bands shorter than the input."""
+def process(x: Column | str, preprocessing: str, window: int = 9, scale_derivative: bool = False, flat: bool = False) -> Column:
+    """Applies one of PREPROCESSING; every result is window - 1 bands shorter than the input. flat: see snv."""
     if preprocessing not in PREPROCESSING:
         raise ValueError(f"unknown preprocessing {preprocessing!r}; known: {', '.join(PREPROCESSING)}")
-    base = snv(x) if preprocessing.startswith("snv") else _as_column(x)
+    base = snv(x, flat) if preprocessing.startswith("snv") else _as_column(x)
     if preprocessing in ("raw", "snv"):
         return trim(base, window)
     if preprocessing == "sg":

@@ -46,6 +46,23 @@ def test_transforms_have_the_bits_of_sql(spark, small, name):
     held_against_sql(spark, small, name, "sample_id")
 
 
+@pytest.mark.parametrize("name", [*SPECTRAL, "spectral_snv"])
+def test_odd_spectra_equal_sql(spark, tmp_path, name):
+    """Constant, zero, empty and short vectors, null bands and bands that are no numbers; sums whose last bit decides the sign of a zero."""
+    rng = np.random.default_rng(7)
+    ramp = rng.normal(0, 1, 64)
+    odd = [None, [], [1.0], [1.0, 2.0, 4.0], [3.0] * 8, [3.0] * 12, [0.0] * 64, [0.1] * 64, [None] * 64, [None if i == 20 else v for i, v in enumerate(ramp)]]
+    odd += [[x if i == 20 else v for i, v in enumerate(ramp)] for x in (float("nan"), float("inf"), float("-inf"))]
+    odd += [[*np.round(rng.normal(0, 0.1, 30), 2), *rng.normal(0, 1e-7, 34)] for _ in range(2000)]
+    vectors = pa.array([None if x is None else [None if v is None else float(v) for v in x] for x in odd], pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": list(range(len(odd))), "embedding": vectors, "label": pa.array([0] * len(odd), pa.int32())}), f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = dict(con.execute(f"SELECT sample_id, spectrum FROM ({catalog.oracle_sql()[name]})").fetchall())
+    got = {r["sample_id"]: r["spectrum"] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+    assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in want.items()}
+
+
 def test_preprocessed_library_has_the_bits_of_sql(spark, small):
     held_against_sql(spark, small, "library_preprocess", "sample_id")
 
