@@ -262,6 +262,8 @@ MARGIN, FEW, SMALL = 5, 64, 1.25
 CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
 #: Members and shingles of an array in which members travel to the blocks that compare them.
 PACK, PACK_SHINGLES = 64, 1 << 16
+#: Of the candidates' keys one in so many goes first: near copies meet in dozens of keys, of which a few connect most.
+SHARES = 8
 
 
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
@@ -379,11 +381,11 @@ def alike_sets(left: list[np.ndarray], right: list[np.ndarray], similarity: floa
 
 
 def _compared(dealt: DataFrame, prepare, alike) -> DataFrame:
-    """(u, v) that tie each row of a block to the least that it reaches by the links found in the block.
+    """(u, v) that tie each root of a block to the least that it reaches by the links found in the block.
 
-    dealt: key, a, b (the block), side (1 left, 2 right, 3 both) and packs of members, as arrays of structs of n and the
-    columns that prepare makes an item of; alike gives the matrix of links of two lists of items. A block has at most two
-    chunks of members.
+    dealt: key, a, b (the block), side (1 left, 2 right, 3 both) and packs of members, as arrays of structs of n, its root
+    so far, and the columns that prepare makes an item of; alike gives the matrix of links of two lists of items. A block
+    has at most two chunks of members. What is connected before is not tied again.
     """
     from pyspark.sql.types import LongType, StructField, StructType
 
@@ -393,17 +395,17 @@ def _compared(dealt: DataFrame, prepare, alike) -> DataFrame:
         import pyarrow as pa
 
         def links(ns, sides, items):
+            names, own = np.unique(np.array(ns, np.int64), return_inverse=True)
             left, right = (np.array([k for k, side in enumerate(sides) if side & flag]) for flag in (1, 2))
-            if len(ns) < 2 or not len(left) or not len(right):
+            if len(names) < 2 or not len(left) or not len(right):
                 return [], []
             i, j = np.nonzero(alike([items[k] for k in left], [items[k] for k in right]))
-            root = local_roots(len(ns), [(left[i], right[j])])
-            tied = np.flatnonzero(root != np.arange(len(ns)))
-            ns = np.array(ns)
-            return ns[tied].tolist(), ns[root[tied]].tolist()
+            root = local_roots(len(names), [(own[left[i]], own[right[j]])])
+            tied = np.flatnonzero(root != np.arange(len(names)))
+            return names[tied].tolist(), names[root[tied]].tolist()
 
         def blocks():
-            key, ns, sides, items = None, [], [], []
+            key, ns, sides, items = None, [], [], []  # ns: the members' roots
             for batch in batches:
                 columns = [c.to_pylist() for c in batch.columns]
                 for k, a, b, side, pack in zip(*columns, strict=True):
@@ -411,8 +413,8 @@ def _compared(dealt: DataFrame, prepare, alike) -> DataFrame:
                         yield ns, sides, items
                         key, ns, sides, items = (k, a, b), [], [], []
                     for member in pack:
-                        n, *rest = member.values()
-                        ns.append(n)
+                        _, root, *rest = member.values()
+                        ns.append(root)
                         sides.append(side)
                         items.append(prepare(*rest))
             yield ns, sides, items
@@ -432,12 +434,15 @@ def _compared(dealt: DataFrame, prepare, alike) -> DataFrame:
     return together.mapInArrow(run, StructType([StructField("u", LongType()), StructField("v", LongType())]))
 
 
-def linked(members: DataFrame, items: DataFrame, prepare, alike, scratch: Scratch, chunk: int = CHUNK, chunk_weight: int = CHUNK_SHINGLES) -> DataFrame | None:
+def linked(members: DataFrame, items: DataFrame, prepare, alike, scratch: Scratch, chunk: int = CHUNK, chunk_weight: int = CHUNK_SHINGLES, shares: int = 1) -> DataFrame | None:
     """(node, root) of what the links between members (key, n, weight) of one key connect, or None without links.
 
     items (n and columns): what prepare and alike need of a member. A key's members are cut into chunks. Those of the first
     chunk are compared with all; then those that are not yet connected with most of the key's members are compared with
     all of them. So every two members of a key are compared or known to be connected, and no pair is ever a row.
+
+    shares: with more than one, that part of the keys goes first; keys whose members it has all connected are then left
+    out, and of the others only what is not connected yet gives rows. For members that share many keys.
     """
     fields = [c for c in items.columns if c != "n"]
     chunks = F.ceil(F.greatest(F.count("*") / chunk, F.sum("weight") / chunk_weight)).cast("int").alias("chunks")
@@ -448,28 +453,41 @@ def linked(members: DataFrame, items: DataFrame, prepare, alike, scratch: Scratc
     def packed(rows: DataFrame, at: str, *others: str) -> DataFrame:
         """The rows (key, n, chunks, packs) of each chunk at in a few arrays: what several blocks need is repeated as these."""
         pack = F.pmod(F.xxhash64("n", F.lit(2)), F.ceil(F.col("packs") / F.col("chunks")).cast("int")).alias("part")
-        full = rows.select("key", at, "chunks", *others, pack, "n").join(items, "n")
-        return full.groupBy("key", at, "chunks", *others, "part").agg(F.collect_list(F.struct("n", *fields)).alias("pack"))
+        full = rows.select("key", at, "chunks", *others, pack, "n", "root").join(items, "n")
+        return full.groupBy("key", at, "chunks", *others, "part").agg(F.collect_list(F.struct("n", "root", *fields)).alias("pack"))
 
-    rows = members.join(sizes, "key").select("key", "n", "chunks", "packs", own.alias("own"))
-    b = F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own")))
-    star = packed(rows, "own").select("key", F.lit(0).alias("a"), b.alias("b"), "own", "pack")
-    star = star.withColumn("side", F.when(F.col("own") > 0, 2).when(F.col("b") == 0, 3).otherwise(1))
     deal = lambda x: scratch.table(_compared(x.select("key", "a", "b", "side", "pack"), prepare, alike))
-    links = deal(star)
-    if links.isEmpty():
-        roots = None
-    else:
-        roots = connected_components(links, into=scratch)
+
+    def rooted(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """The members of keys, each with its root so far."""
+        rows = members.join(keys, "key").select("key", "n", "chunks", "packs", own.alias("own"))
+        if roots is None:
+            return rows.withColumn("root", F.col("n"))
+        return rows.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+
+    def connected(links: DataFrame, roots: DataFrame | None) -> DataFrame | None:
+        """The roots by links as well."""
+        if links.isEmpty():
+            return roots
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        return connected_components(links, into=scratch)
+
+    b = F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own")))
+    early = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(shares)) == 0
+    roots = None
+    for keys in [sizes] if shares == 1 else [sizes.where(early), sizes.where(~early)]:
+        rows = rooted(keys, roots)
+        if roots is not None:
+            rows = scratch.table(rows)
+            rows = rows.join(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "key")
+        star = packed(rows, "own").select("key", F.lit(0).alias("a"), b.alias("b"), "own", "pack")
+        star = star.withColumn("side", F.when(F.col("own") > 0, 2).when(F.col("b") == 0, 3).otherwise(1))
+        roots = connected(deal(star), roots)
     large = scratch.table(sizes.where("chunks > 1"))
     if large.isEmpty():
         return roots
-    rows = members.join(large, "key").select("key", "n", "chunks", "packs", own.alias("own"))
-    if roots is not None:
-        rows = rows.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
-    else:
-        rows = rows.withColumn("root", F.col("n"))
-    rows = scratch.table(rows)
+    rows = scratch.table(rooted(large, roots))
     most = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.first("chunks").alias("chunks"))
     most = most.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("m"), F.first("chunks").alias("chunks"))
     left = F.col("m") - F.col("top.c")
@@ -478,12 +496,7 @@ def linked(members: DataFrame, items: DataFrame, prepare, alike, scratch: Scratc
     right = packed(rows, "own", "leaders").select("key", F.explode(F.sequence(F.lit(0), F.col("leaders") - 1)).alias("a"), F.col("own").alias("b"), F.lit(2).alias("side"), "pack")
     lead = packed(rows.where("root <> top").withColumn("a", F.pmod(F.xxhash64("n", F.lit(1)), F.col("leaders")).cast("int")), "a")
     lead = lead.select("key", "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b"), F.lit(1).alias("side"), "pack")
-    more = deal(right.unionByName(lead))
-    if more.isEmpty():
-        return roots
-    if roots is not None:
-        more = more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    return connected_components(more, into=scratch)
+    return connected(deal(right.unionByName(lead)), roots)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, broadcast_limit: int = 64 << 20) -> DataFrame:
@@ -534,7 +547,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         mark = members.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("lo"), F.bit_xor(F.xxhash64("n")).alias("x"), F.sum(F.pmod(F.xxhash64("n", F.lit(1)), F.lit(1 << 40))).alias("s"))
         mark = scratch.table(mark.where("m > 1").groupBy("m", "lo", "x", "s").agg(F.min("key").alias("key")).select("key"))  # one of equal keys
         members = scratch.table(members.join(mark, "key").withColumn("weight", F.lit(1)))
-        roots = linked(members, prints.select("n", "size", "wide"), lambda size, wide: (size, wide), lambda x, y: alike_prints(x, y, similarity, 64 * words), scratch)
+        roots = linked(members, prints.select("n", "size", "wide"), lambda size, wide: (size, wide), lambda x, y: alike_prints(x, y, similarity, 64 * words), scratch, shares=SHARES)
 
         # in the groups that this leaves: the sets themselves
         if roots is not None:

@@ -395,3 +395,30 @@ def test_members_travel_to_their_blocks_in_packs(spark, monkeypatch):
         roots = simhash.linked(members, items, lambda v: v, lambda a, b: np.equal.outer(np.array(a), np.array(b)), scratch)
         assert {r["node"]: r["root"] for r in roots.collect()} == {7: 7, 2599: 7}
     assert len(dealt) == 2 and max(dealt) < 2600 / 8
+
+
+def test_members_of_many_keys_are_tied_a_few_times(spark, monkeypatch):
+    """200 copies that meet in 40 keys, with strangers and bridges: rows of ties stay near the members, and all links are found."""
+    from bandweave.llm import simhash
+    from bandweave.llm.common import Scratch
+
+    made, compared = [], simhash._compared
+
+    def counted(*given):
+        out = compared(*given)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "_compared", counted)
+    # n below 200 have the value 0; 200 to 239 are alone in the key of their number with copies, 240 to 279 like these
+    rows = [(k, n) for k in range(40) for n in [*range(200), 200 + k, 240 + (k + 1) % 40]]
+    rows += [(100 + k, n) for k in range(40) for n in (200 + k, 240 + k)]
+    members = spark.createDataFrame(rows, "key long, n long").selectExpr("key", "n", "1L AS weight")
+    items = spark.range(280).selectExpr("id AS n", "if(id < 200, 0, if(id < 240, id, id - 40)) AS value")
+    want = {n: 0 for n in range(200)} | {n + d: n for n in range(200, 240) for d in (0, 40)}
+    for shares in (1, simhash.SHARES):
+        made.clear()
+        with Scratch(spark) as scratch:
+            roots = simhash.linked(members, items, lambda v: v, lambda a, b: np.equal.outer(np.array(a), np.array(b)), scratch, shares=shares)
+            assert {r["node"]: r["root"] for r in roots.collect()} == want
+    assert sum(made) < 40 * 200 / 3
