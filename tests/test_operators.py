@@ -348,3 +348,20 @@ def test_the_prune_rule_of_the_search_is_that_of_tables(spark):
         grid = spark.createDataFrame([(c, float(100 * y.std(ddof=1) / y.mean() * 0.35)) for c, _ in best], "config_id string, rrmse double")
         want = {r["config_id"]: r["pruned"] for r in relational.prune_flags(grid, float(y.mean()), float(y.std(ddof=1)), threshold).collect()}
         assert {c: s == "pruned" for c, s in best} == want
+
+
+def test_importance_by_level_is_that_of_grown_trees(spark):
+    """All columns at each split: gains as grow has them; and trees as tasks give what one process gives."""
+    from bandweave.operators import models
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6))
+    y = 2 * x[:, 1] + x[:, 4] ** 2 + rng.normal(0, 0.1, 300)
+    bins, centred = models.Binner(x).apply(x), y - y.mean()
+    for least, depth in ((8, 20), (20, 3)):
+        own, want = np.random.default_rng(5), np.zeros(6)
+        rows = own.integers(0, 300, 300)
+        models.grow(bins[rows], centred[rows], 33, depth, least, 6, own, importance=want)
+        assert models.tree_importance(bins, centred, 33, depth, least, 6, np.random.default_rng(5)) == pytest.approx(want)
+    one, many = (models.forest_importance(x, y, 12, 3, np.random.default_rng(7), s) for s in (None, spark))
+    assert many == pytest.approx(one) and set(np.argsort(one)[-2:]) == {1, 4}
