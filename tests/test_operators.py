@@ -365,3 +365,29 @@ def test_importance_by_level_is_that_of_grown_trees(spark):
         assert models.tree_importance(bins, centred, 33, depth, least, 6, np.random.default_rng(5)) == pytest.approx(want)
     one, many = (models.forest_importance(x, y, 12, 3, np.random.default_rng(7), s) for s in (None, spark))
     assert many == pytest.approx(one) and set(np.argsort(one)[-2:]) == {1, 4}
+
+
+def test_splines_take_the_hinges_that_lower_the_error_most():
+    """A step of one pair of hinges against least squares over all of them, also where hinges depend on the basis."""
+    rng = np.random.default_rng(0)
+    for n in (60, 200):
+        x = rng.normal(0, 1, (n, 4))
+        for y in (np.abs(x[:, 0] - 1) + rng.normal(0, 0.1, n), 3 * np.maximum(x[:, 1] - 0.2, 0) + rng.normal(0, 0.3, n), x[:, 2] + np.sin(3 * x[:, 0])):
+            terms, left = [()], None
+            while len(terms) < 9:  # as mars adds them, by brute force
+                tried = []
+                for term in terms:
+                    for j in range(4):
+                        for knot in np.unique(np.quantile(x[:, j], np.linspace(0.05, 0.95, 10))) if not term else ():
+                            pair = models._basis(x, [*terms, ((j, knot, 1),), ((j, knot, -1),)])
+                            w = np.linalg.lstsq(pair, y, rcond=1e-10)[0]
+                            tried.append((((y - pair @ w) ** 2).sum(), j, knot))
+                error, j, knot = min(tried)
+                if left is not None and left - error < 1e-9 * (y @ y):
+                    break
+                left = error
+                terms += [((j, knot, 1),), ((j, knot, -1),)]
+            found = models.mars(x, y, 1, 4)  # nine terms before any is dropped
+            assert set(found.terms) <= set(terms)
+            many = models.mars(x, y, 1, 20)
+            assert ((many.predict(x) - y) ** 2).sum() <= 1.5 * left + 1e-9
