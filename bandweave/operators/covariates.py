@@ -70,12 +70,12 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     ks = np.unique(labels)
     if len(ks) < 2:
         return -1.0
-    out = []
+    member = (labels[:, None] == ks).astype(float)
+    sizes, out = member.sum(0), []
     for start in range(0, len(x), 512):
         block = x[start : start + 512]
         d = np.sqrt(np.maximum((block**2).sum(1)[:, None] + (x**2).sum(1) - 2 * block @ x.T, 0))
-        sums = np.stack([d[:, labels == k].sum(1) for k in ks], 1)
-        sizes = np.array([(labels == k).sum() for k in ks])
+        sums = d @ member
         own = np.searchsorted(ks, labels[start : start + 512])
         rows = np.arange(len(block))
         a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
@@ -91,7 +91,7 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, starts: int = 25, ro
     for _ in range(starts):
         centers = x[rng.choice(len(x), k, replace=False)]
         for _ in range(rounds):
-            labels = ((x[:, None] - centers[None]) ** 2).sum(2).argmin(1) if x.size * k < 2e7 else np.array([((r - centers) ** 2).sum(1).argmin() for r in x])
+            labels = ((centers**2).sum(1) - 2 * (x @ centers.T)).argmin(1)
             new = np.stack([x[labels == c].mean(0) if (labels == c).any() else centers[c] for c in range(k)])
             if np.allclose(new, centers):
                 break

@@ -391,3 +391,13 @@ def test_splines_take_the_hinges_that_lower_the_error_most():
             assert set(found.terms) <= set(terms)
             many = models.mars(x, y, 1, 20)
             assert ((many.predict(x) - y) ** 2).sum() <= 1.5 * left + 1e-9
+
+
+def test_clusters_and_silhouette_equal_their_definitions():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(m, 0.3, (30, 5)) for m in (0, 2, 4)])
+    labels, centers = covariates.kmeans(x, 3, np.random.default_rng(0), starts=5)
+    assert (labels == ((x[:, None] - centers) ** 2).sum(2).argmin(1)).all()
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    own = [(d[i, labels == labels[i]].sum() / 29, min(d[i, labels == k].mean() for k in range(3) if k != labels[i])) for i in range(90)]
+    assert covariates.silhouette(x, labels) == pytest.approx(np.mean([(b - a) / max(a, b) for a, b in own]))
