@@ -147,20 +147,20 @@ def _signed(mask: int) -> int:
 
 
 def _dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
-    """fp and weight once for each mask, with the bits under it."""
-    return rows.select("fp", "weight", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    """The rows once for each mask, with the bits of fp under it."""
+    return rows.select("*", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
 
 
 def _trie_tasks(distinct: DataFrame, task, schema: str, budget: int, bucket: int, always: int) -> DataFrame:
-    """What task makes of the fingerprints (fp, weight) of a table that share a block of bits.
+    """What task makes of the fingerprints (fp and other columns of numbers) of a table that share a block of bits.
 
     Any two within budget bits of one another (and equal in the bits of always) meet in some task. A block value of more
     than bucket fingerprints is dealt on by the bits that are still free. task gets, for each mask, the sorted distinct
-    fingerprints turned so that the mask's bits come first, their weights, the number of those bits, and the mask; it
-    gives columns of numbers.
+    fingerprints turned so that the mask's bits come first, a list of their other columns, the number of those bits, and
+    the mask; it gives columns of numbers.
     """
     bounded_batches(distinct.sparkSession)
-    parts, done = [], []
+    parts, done, columns = [], [], distinct.columns
     free = lambda mask: [b for b in range(63, -1, -1) if not mask >> b & 1]
     waiting = _dealt(distinct, [always | m for m in _blocks(free(always), budget + 1)])
     while True:  # what is dealt first is not kept, as distinct is a table; of what is dealt on, the crowded rows are
@@ -172,32 +172,32 @@ def _trie_tasks(distinct: DataFrame, task, schema: str, budget: int, bucket: int
             break
         crowded = crowded.where(F.col("mask").isin([_signed(m) for m in masks])).drop("n")
         done.append(waiting.join(crowded, ["mask", "value"], "left_anti"))
-        again = materialize(waiting.join(crowded, ["mask", "value"], "left_semi").select("fp", "weight", "mask"))
+        again = materialize(waiting.join(crowded, ["mask", "value"], "left_semi").select(*columns, "mask"))
         finer = [(_signed(m), [_signed(m | x) for x in _blocks(free(m), budget + 1)]) for m in masks]
         finer = F.broadcast(distinct.sparkSession.createDataFrame(finer, "mask long, finer array<long>"))
-        waiting = again.join(finer, "mask").select("fp", "weight", F.explode("finer").alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        waiting = again.join(finer, "mask").select(*columns, F.explode("finer").alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
 
     names = [x.split()[0] for x in schema.split(", ")]
 
     def join(batches):
         import pyarrow as pa
 
-        held = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches if b.num_rows]
+        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if not held:
             return
-        fps, masks, weights = (np.concatenate([h[x] for h in held]) for x in range(3))
+        fps, masks, *others = (np.concatenate(x) for x in zip(*held, strict=True))
         fps, masks = fps.view(np.uint64), masks.view(np.uint64)
         for mask in np.unique(masks):
             here = masks == mask
             own, first = np.unique(fps[here], return_index=True)
             turned = _rotated(own, np.array([mask]))
             order = np.argsort(turned)
-            columns = task(own[order].view(np.int64), turned[order], weights[here][first][order], int(mask).bit_count(), int(mask))
+            columns = task(own[order].view(np.int64), turned[order], [x[here][first][order] for x in others], int(mask).bit_count(), int(mask))
             if len(columns[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     for rows in done:
-        parts.append(rows.repartition("mask", "value").select("fp", "mask", "weight").mapInArrow(join, schema))
+        parts.append(rows.repartition("mask", F.col("fp").bitwiseAND(F.col("mask"))).select("fp", "mask", *[c for c in columns if c != "fp"]).mapInArrow(join, schema))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
@@ -211,7 +211,7 @@ def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET)
     so that there are at most budget + 1 edges for each fingerprint at each round of dealing.
     """
 
-    def tie(values, turned, weights, fixed, mask):
+    def tie(values, turned, others, fixed, mask):
         root = local_roots(len(turned), trie_pairs(turned, fixed, budget))
         tied = np.flatnonzero(root != np.arange(len(root)))
         return values[tied], values[root[tied]]
@@ -220,17 +220,19 @@ def near_edges(distinct: DataFrame, budget: int = BUDGET, bucket: int = BUCKET)
 
 
 def near_keys(distinct: DataFrame, budget: int, always: int, bucket: int = BUCKET) -> DataFrame:
-    """(key, fp): fingerprints (fp, weight: how often) with the same key reach one another within a task by steps of at
-    most budget bits. Any two that are that near share a key; a key stands for two at least, by weight."""
+    """(key, fp): fingerprints (fp, weight: how often, low: the least that has it) that reach one another within a task by
+    steps of at most budget bits, under the least low among them. Any two that are that near share a key; what is under a
+    key in a task stands for two at least, by weight."""
 
-    def name(values, turned, weights, fixed, mask):
+    def name(values, turned, others, fixed, mask):
+        weights, lows = others
         root = local_roots(len(turned), trie_pairs(turned, fixed, budget))
         shared = np.flatnonzero(np.bincount(root, weights, len(root))[root] > 1)
-        key = values[root[shared]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        key = (key ^ (key >> np.uint64(31)) ^ np.uint64(mask)) * np.uint64(0xBF58476D1CE4E5B9)
-        return key.view(np.int64), values[shared]
+        least = lows.copy()
+        np.minimum.at(least, root, lows)
+        return least[root[shared]], values[shared]
 
-    return _trie_tasks(distinct, name, "key long, fp long", budget, bucket, always)
+    return _trie_tasks(distinct.select("fp", "weight", "low"), name, "key long, fp long", budget, bucket, always)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
@@ -262,6 +264,8 @@ MARGIN, FEW, SMALL = 5, 64, 1.25
 CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
 #: Members and shingles of an array in which members travel to the blocks that compare them.
 PACK, PACK_SHINGLES = 64, 1 << 16
+#: Members of a key up to which keys are put together whatever their pairs.
+HUB = 64
 #: Of the candidates' keys one in so many goes first: near copies meet in dozens of keys, of which a few connect most.
 SHARES = 8
 
@@ -499,6 +503,22 @@ def linked(members: DataFrame, items: DataFrame, prepare, alike, scratch: Scratc
     return connected(deal(right.unionByName(lead)), roots)
 
 
+def fewer_keys(members: DataFrame, scratch: Scratch, small: int = HUB) -> DataFrame:
+    """(key, n) in fewer rows, for a table of distinct (key, n) with keys among the n: two members of a key still share one.
+
+    Near copies meet in many keys with much the same members. The key of n goes into the least key that has n as a member,
+    with all its members, where that makes no more pairs than the keys had, or at most small members.
+    """
+    tops = scratch.table(members.groupBy(F.col("n").alias("hub")).agg(F.min("key").alias("top")))
+    m = F.count("*").cast("double")
+    work = members.groupBy("key").agg(m.alias("m")).join(tops, F.col("key") == F.col("hub")).groupBy("top").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
+    rows = scratch.table(members.join(tops, F.col("key") == F.col("hub")).groupBy("top", "n").agg(F.collect_set("key").alias("keys")))
+    whole = rows.groupBy("top").agg(m.alias("m")).join(work, "top")
+    whole = scratch.table(whole.where((F.col("m") <= small) | (F.col("m") * F.col("m") <= F.col("work"))).select("top", F.lit(True).alias("whole")))
+    keys = F.when(F.col("whole"), F.array("top")).otherwise(F.col("keys"))
+    return rows.join(whole, "top", "left").select(F.explode(keys).alias("key"), "n").distinct()
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, broadcast_limit: int = 64 << 20) -> DataFrame:
     """docs with one row of each group of near copies, that of the smallest id; its columns stay as they are.
 
@@ -540,13 +560,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         # candidates: near in a part of the fingerprint, or one shingle in common in the prefixes of small sets
         values = prints.select("n", F.explode("parts").alias("fp"))
-        distinct = scratch.table(values.groupBy("fp").agg(F.count("*").alias("weight")))
+        distinct = scratch.table(values.groupBy("fp").agg(F.count("*").alias("weight"), F.min("n").alias("low")))
         near = near_keys(distinct.where("fp >= 0"), budget, ((1 << 64) - (1 << bits)))
-        keys = scratch.table(near.unionByName(distinct.where("fp < 0 AND weight > 1").select(F.xxhash64("fp").alias("key"), "fp")))
-        members = scratch.table(values.join(keys, "fp").select("key", "n"))
-        mark = members.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("lo"), F.bit_xor(F.xxhash64("n")).alias("x"), F.sum(F.pmod(F.xxhash64("n", F.lit(1)), F.lit(1 << 40))).alias("s"))
-        mark = scratch.table(mark.where("m > 1").groupBy("m", "lo", "x", "s").agg(F.min("key").alias("key")).select("key"))  # one of equal keys
-        members = scratch.table(members.join(mark, "key").withColumn("weight", F.lit(1)))
+        keys = scratch.table(near.unionByName(distinct.where("fp < 0 AND weight > 1").select(F.col("low").alias("key"), "fp")).distinct())
+        members = scratch.table(values.join(keys, "fp").select("key", "n").distinct())
+        members = scratch.table(fewer_keys(members, scratch).withColumn("weight", F.lit(1)))
         roots = linked(members, prints.select("n", "size", "wide"), lambda size, wide: (size, wide), lambda x, y: alike_prints(x, y, similarity, 64 * words), scratch, shares=SHARES)
 
         # in the groups that this leaves: the sets themselves

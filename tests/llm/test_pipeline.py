@@ -422,3 +422,45 @@ def test_members_of_many_keys_are_tied_a_few_times(spark, monkeypatch):
             roots = simhash.linked(members, items, lambda v: v, lambda a, b: np.equal.outer(np.array(a), np.array(b)), scratch, shares=shares)
             assert {r["node"]: r["root"] for r in roots.collect()} == want
     assert sum(made) < 40 * 200 / 3
+
+
+def test_near_copies_are_compared_in_few_keys(spark, monkeypatch):
+    """A group of 150 near copies, which meet in most parts, with strangers: rows to compare stay near the members."""
+    from bandweave.llm import simhash
+
+    rng, rows, linked = np.random.default_rng(17), [], simhash.linked
+    source = [f"w{i}" for i in rng.integers(0, 3000, 300)]
+    texts = [" ".join(source), *(" ".join(varied(rng, source, 0.9)) for _ in range(149)), *(" ".join(f"s{i}x{j}" for j in range(300)) for i in range(20))]
+
+    def counted(members, *rest, **more):
+        rows.append(members.count())
+        return linked(members, *rest, **more)
+
+    monkeypatch.setattr(simhash, "linked", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()} == {0, *range(150, 170)}
+    assert rows[0] < 5 * 150
+
+
+@pytest.mark.parametrize("small", [0, 64])
+def test_fewer_keys_keep_every_pair(spark, small):
+    """Any two members of a key share one afterwards; beyond small members there are no more pairs than before."""
+    from bandweave.llm.common import Scratch
+    from bandweave.llm.simhash import fewer_keys
+
+    rng = np.random.default_rng(19)
+    sets = {}
+    for k in range(300):
+        members = rng.choice(60 if k % 3 else 3000, rng.integers(2, 50 if k % 3 else 6), replace=False) + (0 if k % 3 else 100)
+        sets.setdefault(int(min(members)), set()).update(members.tolist())
+    sets |= {5000 + k: {5000 + k, *range(6000 + 90 * k, 6090 + 90 * k)} for k in range(1, 4)} | {5000: {5000, 5001, 5002, 5003}}
+    given = spark.createDataFrame([(k, int(n)) for k, v in sets.items() for n in v], "key long, n long")
+    with Scratch(spark) as scratch:
+        got = [(r["key"], r["n"]) for r in fewer_keys(scratch.table(given), scratch, small).collect()]
+    found = {}
+    for k, n in got:
+        found.setdefault(k, set()).add(n)
+    assert len(got) == len(set(got)) <= sum(map(len, sets.values()))
+    assert all(any(v <= w for w in found.values()) for v in sets.values())
+    assert len(found) < len(sets) and {5001, 5002, 5003} <= set(found)
+    assert small or sum(len(v) ** 2 for v in found.values()) <= sum(len(v) ** 2 for v in sets.values())
