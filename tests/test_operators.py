@@ -401,3 +401,32 @@ def test_clusters_and_silhouette_equal_their_definitions():
     d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
     own = [(d[i, labels == labels[i]].sum() / 29, min(d[i, labels == k].mean() for k in range(3) if k != labels[i])) for i in range(90)]
     assert covariates.silhouette(x, labels) == pytest.approx(np.mean([(b - a) / max(a, b) for a, b in own]))
+
+
+def test_large_kernels_and_neighbours_are_worked_out_in_parts(monkeypatch):
+    """With little memory the SVM and cubist's neighbours give what they give with all of it."""
+    from bandweave.operators import models
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 6))
+    y = np.sin(x[:, 0]) + x[:, 1] + rng.normal(0, 0.1, 150)
+    settings = {"cost": 2.0, "rbf_sigma": 0.05}
+    whole = models.fit("svm_rbf", x, y, settings).predict(x)
+    made, rbf = [], models.rbf
+    monkeypatch.setattr(models, "WHOLE_KERNEL", 1000)
+    monkeypatch.setattr(models, "PART_OF_KERNEL", 1000)
+    monkeypatch.setattr(models, "rbf", lambda a, b, sigma: made.append(len(a) * len(b)) or rbf(a, b, sigma))
+    assert models.fit("svm_rbf", x, y, settings).predict(x) == pytest.approx(whole, abs=1e-6)
+    assert max(made) <= 1000
+    places, distances = models.nearest(x[:40], x, 4)
+    far = np.abs(x[:40, None] - x).sum(2)
+    assert (places == np.argsort(far, 1)[:, :4]).all() and distances == pytest.approx(np.sort(far, 1)[:, :4])
+
+
+def test_held_out_predictions_are_the_models():
+    from bandweave.operators import models
+
+    rng = np.random.default_rng(8)
+    x, ask = rng.normal(size=(60, 5)), rng.normal(size=(9, 5))
+    for name in ("random_forest", "xgboost", "lightgbm", "cubist"):
+        assert models.held_out(name, x, x[:, 0], ask, trees=7) == pytest.approx(models.fit(name, x, x[:, 0], trees=7).predict(ask))
