@@ -430,3 +430,27 @@ def test_held_out_predictions_are_the_models():
     x, ask = rng.normal(size=(60, 5)), rng.normal(size=(9, 5))
     for name in ("random_forest", "xgboost", "lightgbm", "cubist"):
         assert models.held_out(name, x, x[:, 0], ask, trees=7) == pytest.approx(models.fit(name, x, x[:, 0], trees=7).predict(ask))
+
+
+def test_model_search_leaves_the_settings_to_the_operators(monkeypatch):
+    """Ten folds, grids of ten, fifteen rounds of search and 500 trees, as the operators have them."""
+    from bandweave.plans import model_queries
+
+    given = []
+    monkeypatch.setattr(model_queries, "_dataset", lambda spark, sf_dir: "rows")
+    monkeypatch.setattr(model_queries, "_configs", lambda spark, models: models)
+    monkeypatch.setattr(model_queries.tuning, "collect_problem", lambda *a, **b: given.append((a, b)) or "problem")
+
+    class Stop(Exception):
+        pass
+
+    def spy(*a, **b):
+        given.append((a, b))
+        raise Stop
+
+    monkeypatch.setattr(model_queries.tuning, "evaluate_configurations", spy)
+    with pytest.raises(Stop):
+        model_queries.model_search(None, None)
+    from bandweave.schema import MODELS
+
+    assert given == [(("rows", "Response"), {"preprocessing": ("snv_deriv1",)}), ((None, MODELS, "problem"), {})]
