@@ -65,41 +65,67 @@ def processed_training_data(library: dict[str, DataFrame], properties: list[str]
     return features.project(rows, "x", projection), projection
 
 
+def _silhouettes(x: np.ndarray, labelings: list[np.ndarray], start: int, end: int) -> np.ndarray:
+    """By labeling, the silhouette widths of the rows from start to end added up; distances are made once for all."""
+    kinds = [np.unique(v, return_inverse=True) for v in labelings]
+    member = np.concatenate([(at[:, None] == np.arange(len(ks))).astype(float) for ks, at in kinds], 1)
+    sizes, square, out = member.sum(0), (x**2).sum(1), np.zeros(len(labelings))
+    edges = np.cumsum([0, *(len(ks) for ks, _ in kinds)])
+    step = max(1, (1 << 21) // len(x))
+    for first in range(start, end, step):
+        block = x[first : min(end, first + step)]
+        d = (-2 * block) @ x.T
+        d += square[first : first + len(block), None]
+        d += square
+        np.maximum(d, 0, out=d)
+        sums, rows = np.sqrt(d, out=d) @ member, np.arange(len(block))
+        for i, (_, at) in enumerate(kinds):
+            part, size, own = sums[:, edges[i] : edges[i + 1]], sizes[edges[i] : edges[i + 1]], at[first : first + len(block)]
+            a = part[rows, own] / np.maximum(size[own] - 1, 1)
+            other = part / size
+            other[rows, own] = np.inf
+            b = other.min(1)
+            out[i] += np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).sum()
+    return out
+
+
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     """Mean silhouette width by Euclidean distance, block by block."""
-    ks = np.unique(labels)
-    if len(ks) < 2:
-        return -1.0
-    member = (labels[:, None] == ks).astype(float)
-    sizes, out = member.sum(0), []
-    for start in range(0, len(x), 512):
-        block = x[start : start + 512]
-        d = np.sqrt(np.maximum((block**2).sum(1)[:, None] + (x**2).sum(1) - 2 * block @ x.T, 0))
-        sums = d @ member
-        own = np.searchsorted(ks, labels[start : start + 512])
-        rows = np.arange(len(block))
-        a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
-        other = sums / sizes
-        other[rows, own] = np.inf
-        b = other.min(1)
-        out.append(np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0))
-    return float(np.concatenate(out).mean())
+    return -1.0 if len(np.unique(labels)) < 2 else float(_silhouettes(x, [labels], 0, len(x))[0] / len(x))
+
+
+def _assigned(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The nearest center of each row, the first of equal ones."""
+    d = (-2 * centers) @ x.T
+    d += (centers**2).sum(1)[:, None]
+    best, labels = d[0].copy(), np.zeros(len(x), np.int32)
+    for c in range(1, len(d)):
+        nearer = d[c] < best
+        labels[nearer] = c
+        np.minimum(best, d[c], out=best)
+    return labels
+
+
+def _from_start(x: np.ndarray, centers: np.ndarray, rounds: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(sum of squares within, centers that rows were last given to, centers) of k-means from given centers."""
+    for _ in range(rounds):
+        at, labels = centers, _assigned(x, centers)
+        member = (labels == np.arange(len(centers))[:, None]).astype(float)
+        size = member.sum(1)
+        new = np.where(size[:, None] > 0, member @ x / np.maximum(size, 1)[:, None], centers)
+        if np.allclose(new, centers):
+            break
+        centers = new
+    return float(((x - centers[labels]) ** 2).sum()), at, centers
+
+
+def _starts(n: int, k: int, rng: np.random.Generator, starts: int = 25) -> list[np.ndarray]:
+    return [rng.choice(n, k, replace=False) for _ in range(starts)]
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, starts: int = 25, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    best = None
-    for _ in range(starts):
-        centers = x[rng.choice(len(x), k, replace=False)]
-        for _ in range(rounds):
-            labels = ((centers**2).sum(1) - 2 * (x @ centers.T)).argmin(1)
-            new = np.stack([x[labels == c].mean(0) if (labels == c).any() else centers[c] for c in range(k)])
-            if np.allclose(new, centers):
-                break
-            centers = new
-        within = ((x - centers[labels]) ** 2).sum()
-        if best is None or within < best[0]:
-            best = (within, labels, centers)
-    return best[1], best[2]
+    _, at, centers = min((_from_start(x, x[rows], rounds) for rows in _starts(len(x), k, rng, starts)), key=lambda found: found[0])
+    return _assigned(x, at), centers
 
 
 def ward(x: np.ndarray, k: int) -> np.ndarray:
@@ -130,15 +156,32 @@ def ward(x: np.ndarray, k: int) -> np.ndarray:
     return np.unique(root, return_inverse=True)[1]
 
 
-def cluster_scores(x: np.ndarray, max_clusters: int = 10, method: str = "kmeans", seed: int = 307) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, centers) of the number of clusters with the widest mean silhouette; too few rows make one cluster."""
-    top, best = min(max_clusters, len(x) // 3), None
-    for k in range(2, top + 1):
-        labels = ward(x, k) if method == "ward" else kmeans(x, k, np.random.default_rng([seed, k]))[0]
-        width = silhouette(x, labels)
-        if best is None or width > best[0]:
-            best = (width, labels)
-    labels = np.zeros(len(x), int) if best is None else best[1]
+def cluster_scores(x: np.ndarray, max_clusters: int = 10, method: str = "kmeans", seed: int = 307, spark: SparkSession | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, centers) of the number of clusters with the widest mean silhouette; too few rows make one cluster. With spark
+    each start of k-means and each part of the silhouettes is a task."""
+    ks = range(2, min(max_clusters, len(x) // 3) + 1)
+    labels = np.zeros(len(x), int)
+    if spark is None or not ks:
+        tried = [ward(x, k) if method == "ward" else kmeans(x, k, np.random.default_rng([seed, k]))[0] for k in ks]
+        widths = [silhouette(x, v) for v in tried]
+    else:
+        shared = spark.sparkContext.broadcast(x)
+        if method == "ward":
+            tried = [ward(x, k) for k in ks]
+        else:
+            todo = [(k, rows) for k in reversed(ks) for rows in _starts(len(x), k, np.random.default_rng([seed, k]))]
+            ends = tuning.in_tasks(spark, todo, lambda task: _from_start(shared.value, shared.value[task[1]], 100)[:2])
+            own = {k: min((end for (size, _), end in zip(todo, ends, strict=True) if size == k), key=lambda found: found[0]) for k in ks}
+            tried = [_assigned(x, own[k][1]) for k in ks]
+        several = [i for i, v in enumerate(tried) if len(np.unique(v)) > 1]
+        given = spark.sparkContext.broadcast([tried[i].astype(np.int32) for i in several])
+        step = max(1, -(-len(x) // (8 * spark.sparkContext.defaultParallelism)))
+        parts = tuning.in_tasks(spark, list(range(0, len(x), step)), lambda start: _silhouettes(shared.value, given.value, start, min(len(shared.value), start + step))) if several else []
+        widths = [-1.0] * len(tried)
+        for i, width in zip(several, np.sum(parts, 0) if several else (), strict=True):
+            widths[i] = float(width / len(x))
+    if widths:
+        labels = tried[int(np.argmax(widths))]
     return labels, np.stack([x[labels == c].mean(0) for c in range(labels.max() + 1)])
 
 
@@ -195,75 +238,128 @@ def whitening(x: np.ndarray) -> np.ndarray:
 FIT_SCHEMA = "property string, cluster int, part string, id string, truth double, pred double"
 
 
-def fit_local_cubist(x: np.ndarray, y: np.ndarray, grid: int = 10, bayes_iter: int = 10, folds: int = 10, seed: int = 307):
-    """Tuned model of one pool: committees 5-15, neighbours 0-5, rules 25-75, by cross-validated RMSE."""
-    space = {"committees": models.Param(5, 15, True), "neighbors": models.Param(0, 5, True), "max_rules": models.Param(25, 75, True)}
-    rng = np.random.default_rng(seed)
-    part = np.empty(len(y), int)
-    part[np.lexsort((rng.random(len(y)), np.searchsorted(np.quantile(y, [0.25, 0.5, 0.75]), y)))] = np.arange(len(y)) % min(folds, len(y) // 3)
+CUBIST_SPACE = {"committees": models.Param(5, 15, True), "neighbors": models.Param(0, 5, True), "max_rules": models.Param(25, 75, True)}
 
-    def error(params):
-        total = 0.0
-        for k in range(part.max() + 1):
-            model = models.fit("cubist", x[part != k], y[part != k], params, seed)
-            total += ((model.predict(x[part == k]) - y[part == k]) ** 2).sum()
-        return math.sqrt(total / len(y))
 
-    tried = [(p, error(p)) for p in tuning.candidates(space, grid, seed)]
-    params, value, _ = tuning.bayes_search(space, error, tried, bayes_iter, 10, seed)
-    return models.fit("cubist", x, y, params, seed), params, value
+def local_folds(y: np.ndarray, folds: int, seed: int) -> np.ndarray:
+    part = np.empty(len(y), int)
+    part[np.lexsort((np.random.default_rng(seed).random(len(y)), np.searchsorted(np.quantile(y, [0.25, 0.5, 0.75]), y)))] = np.arange(len(y)) % min(folds, len(y) // 3)
+    return part
 
 
-def predict_soil_covariates(spark: SparkSession, samples: DataFrame, library: dict[str, DataFrame], properties: list[str], key: str = "Sample_ID", prop: float = 0.85, variance: float = 0.985, percentile: float = 0.6, coverage: float = 0.8, max_clusters: int = 10, method: str = "kmeans", grid: int = 10, bayes_iter: int = 10, folds: int = 10, seed: int = 307, limit: int = 100_000) -> dict:
+def fit_local_cubists(spark: SparkSession, x: np.ndarray, pools: list[tuple[np.ndarray, np.ndarray, np.ndarray]], asked: np.ndarray, grid: int = 10, bayes_iter: int = 10, folds: int = 10, seed: int = 307, piece: int = 4000) -> list[np.ndarray | None]:
+    """Predictions for the asked rows of each pool (rows of x, their values, asked rows) by its tuned model; None where
+    there can be none. Committees 5-15, neighbours 0-5 and rules 25-75 go by the cross-validated RMSE. The pools are tuned
+    together: every fold of every point is a task, and neighbours of a fold's rows are found once.
+    """
+    shared = spark.sparkContext.broadcast((x, pools, asked))
+    parts = [local_folds(y, folds, seed) if len(y) >= 3 else None for _, y, _ in pools]
+    usable = [i for i, part in enumerate(parts) if part is not None]
+
+    def fold_of(i, k):
+        whole, own, _ = shared.value
+        rows, y, _ = own[i]
+        inside = local_folds(y, folds, seed) != k
+        return whole[rows[inside]], y[inside], whole[rows[~inside]], y[~inside]
+
+    def neighbours(task):
+        a, y, b, _ = fold_of(*task)
+        scaler = models.Scaler(a, y)
+        places, distances = models.nearest(scaler.x(b), scaler.x(a), int(CUBIST_SPACE["neighbors"].high))
+        return task, (places.astype(np.int32), distances)
+
+    near = spark.sparkContext.broadcast(dict(tuning.in_tasks(spark, [(i, k) for k in range(folds) for i in usable if k <= parts[i].max()], neighbours)))
+
+    def squares(task):
+        j, i, k, params = task
+        try:
+            a, y, b, t = fold_of(i, k)
+            return j, float(((models.fit("cubist", a, y, params, seed).predict(b, near.value[i, k]) - t) ** 2).sum())
+        except (ValueError, np.linalg.LinAlgError) as error:
+            return j, f"{type(error).__name__}: {error}"
+
+    def errors(points: list[tuple[int, dict]]) -> list:
+        found: list[list] = [[] for _ in points]
+        for j, value in tuning.in_tasks(spark, [(j, i, k, params) for k in range(folds) for j, (i, params) in enumerate(points) if k <= parts[i].max()], squares):
+            found[j].append(value)
+        wrong = [next((v for v in own if isinstance(v, str)), None) for own in found]
+        return [ValueError(w) if w else math.sqrt(sum(own) / len(pools[i][1])) for w, own, (i, _) in zip(wrong, found, points, strict=True)]
+
+    points = [(i, params) for i in usable for params in tuning.candidates(CUBIST_SPACE, grid, seed)]
+    tried: dict[int, list] = {i: [] for i in usable}
+    for (i, params), value in zip(points, errors(points), strict=True):
+        tried[i].append((params, value))
+    searches = {i: tuning.proposals(CUBIST_SPACE, own, bayes_iter, 10, seed) for i, own in tried.items() if not any(isinstance(v, Exception) for _, v in own)}
+    ends = tuning.search_together(searches, lambda given: dict(zip(given, errors(list(given.items())), strict=True)))
+    best = {i: end[0] for i, end in ends.items() if not isinstance(end, Exception)}
+
+    def answer(task):
+        i, start = task
+        whole, own, others = shared.value
+        rows, y, ask = own[i]
+        try:
+            return models.fit("cubist", whole[rows], y, best[i], seed).predict(others[ask[start : start + piece]])
+        except (ValueError, np.linalg.LinAlgError):
+            return np.full(len(ask[start : start + piece]), np.nan)
+
+    todo = [(i, start) for i in best for start in range(0, len(pools[i][2]), piece)]
+    out: list = [None] * len(pools)
+    for (i, _), guess in zip(todo, tuning.in_tasks(spark, todo, answer), strict=True):
+        out[i] = guess if out[i] is None else np.concatenate([out[i], guess])
+    return out
+
+
+def _matrix(table, column: str = "scores") -> np.ndarray:
+    return np.asarray(table[column].combine_chunks().flatten()).reshape(table.num_rows, -1)
+
+
+def predict_soil_covariates(spark: SparkSession, samples: DataFrame, library: dict[str, DataFrame], properties: list[str], key: str = "Sample_ID", prop: float = 0.85, variance: float = 0.985, percentile: float = 0.6, coverage: float = 0.8, max_clusters: int = 10, method: str = "kmeans", grid: int = 10, bayes_iter: int = 10, folds: int = 10, seed: int = 307) -> dict:
     """Soil properties of samples (key, spectrum with an axis) from local models of the library.
 
     The samples' scores are clustered; each cluster takes its pool of near library rows, of which the nearest share is
-    kept, split by quartiles and fitted, a task for each property and cluster. A pool under 30 rows has no model and its
+    kept, split by quartiles and fitted, in tasks by property, cluster and fold. A pool under 30 rows has no model and its
     samples get NULL. Returns predictions (key, one column per property) and metrics (pooled validation by property).
     """
+    import pyarrow as pa
+
     validate_properties(properties)
     rows, projection = processed_training_data(library, properties, variance)
-    rows = rows.select("id", *properties, "scores").where("scores IS NOT NULL")
+    rows = settled(rows.select("id", *properties, "scores").where("scores IS NOT NULL"))
     axis = samples.schema["spectrum"].metadata["wavenumbers"]
     own = samples.select(F.col(key).alias("id"), kernels.library_preprocess("spectrum").alias("x"))
     own = features.project(own, "x", projection, "scores", axis[4:-4]).select("id", "scores").where("scores IS NOT NULL")
-    if own.count() > limit:
-        raise ValueError("too many samples to cluster at once")
-    pdf = own.orderBy("id").toPandas()
-    x = np.stack(pdf["scores"].to_numpy())
-    labels, centers = cluster_scores(x, max_clusters, method, seed)
+    found = own.orderBy("id").withColumn("id", F.col("id").cast("string")).toArrow()
+    x, ids = _matrix(found), np.asarray(found["id"].to_pylist(), object)
+    labels, centers = cluster_scores(x, max_clusters, method, seed, spark)
     table = [(c, centers[c].tolist(), whitening(x[labels == c]).tolist()) for c in range(len(centers))]
     places = spark.createDataFrame(table, "cluster int, center array<double>, whiten array<array<double>>")
     pool = relational.coverage_filter(library_pool(rows, own, places, percentile), coverage)
-    joined = pool.join(rows, "id").unpivot(["id", "cluster", "scores"], properties, "property", "value")
+    joined = pool.join(rows.select("id", *properties), "id").unpivot(["id", "cluster"], properties, "property", "value")
     split = relational.stratified_split(joined, "value", "id", prop, seed, ["property", "cluster"])
-    unknown = spark.createDataFrame([(str(i), int(c), v.tolist()) for i, c, v in zip(pdf["id"], labels, x, strict=True)], "id string, cluster int, scores array<double>")
-    names = spark.createDataFrame([(p,) for p in properties], "property string")
-    todo = unknown.crossJoin(F.broadcast(names)).select("property", "cluster", "id", "scores", F.lit(None).cast("double").alias("value"), F.lit("unknown").alias("split"))
-    both = split.select("property", "cluster", F.col("id").cast("string").alias("id"), "scores", "value", "split").unionByName(todo)
-
-    def run(pdf):
-        import pandas as pd
-
-        parts = {k: v for k, v in pdf.groupby("split")}
-        train, ask = parts.get("train"), pdf[pdf["split"] != "train"]
-        guess = np.full(len(ask), np.nan)
-        if train is not None and len(pdf[pdf["split"] != "unknown"]) >= 30:
-            try:
-                train = train.sort_values("id")
-                model, _, _ = fit_local_cubist(np.stack(train["scores"].to_numpy()), train["value"].to_numpy(float), grid, bayes_iter, folds, seed)
-                if len(ask):
-                    guess = model.predict(np.stack(ask["scores"].to_numpy()))
-            except (ValueError, np.linalg.LinAlgError):
-                pass
-        return pd.DataFrame({"property": ask["property"], "cluster": ask["cluster"], "part": ask["split"], "id": ask["id"], "truth": ask["value"], "pred": guess})
-
-    found = settled(both.groupBy("property", "cluster").applyInPandas(run, FIT_SCHEMA))
-    clean = found.withColumn("pred", F.when(~F.isnan("pred"), F.col("pred")))
+    dealt = split.select("property", "cluster", F.col("id").cast("string").alias("id"), F.col("value").cast("double").alias("value"), (F.col("split") == "train").alias("train")).toArrow().to_pandas()
+    kept = rows.select(F.col("id").cast("string").alias("id"), "scores").toArrow()
+    scores, place = _matrix(kept), {v: i for i, v in enumerate(kept["id"].to_pylist())}
+    dealt["at"] = dealt["id"].map(place)
+    pieces, asks, pools, groups = [], [], [], {g: v.sort_values("id") for g, v in dealt.groupby(["property", "cluster"])}
+    for name in properties:
+        for c in range(len(centers)):
+            group, mine = groups.get((name, c), dealt[:0]), np.flatnonzero(labels == c)
+            train, test = group[group["train"]], group[~group["train"]]
+            usable = len(train) and len(group) >= 30
+            pools.append((train["at"].to_numpy(int), train["value"].to_numpy(float), np.concatenate([test["at"].to_numpy(int), len(scores) + mine])) if usable else (np.zeros(0, int), np.zeros(0), np.zeros(0, int)))
+            asks.append((name, c, test, mine))
+    for (name, c, test, mine), guess in zip(asks, fit_local_cubists(spark, scores, pools, np.concatenate([scores, x]), grid, bayes_iter, folds, seed), strict=True):
+        n = len(test) + len(mine)
+        guess = np.full(n, np.nan) if guess is None else guess
+        truth = np.concatenate([test["value"].to_numpy(float), np.full(len(mine), np.nan)])
+        columns = [pa.array([name] * n), pa.array(np.full(n, c, np.int32)), pa.array(["test"] * len(test) + ["unknown"] * len(mine)), pa.array([*test["id"], *ids[mine]], pa.string()), pa.array(truth, mask=np.isnan(truth)), pa.array(guess)]
+        pieces.append(pa.table(columns, names=["property", "cluster", "part", "id", "truth", "pred"]))
+    fitted = settled(spark.createDataFrame(pa.concat_tables(pieces), FIT_SCHEMA))
+    clean = fitted.withColumn("pred", F.when(~F.isnan("pred"), F.col("pred")))
     return {
         "predictions": clean.where("part = 'unknown'").groupBy(F.col("id").alias(key)).pivot("property", properties).agg(F.first("pred")),
         "metrics": metrics.metrics_wide(clean.where("part = 'test'"), "truth", "pred", ["property"]),
-        "clusters": spark.createDataFrame([(str(i), int(c)) for i, c in zip(pdf["id"], labels, strict=True)], f"`{key}` string, cluster int"),
+        "clusters": spark.createDataFrame(pa.table([pa.array(ids, pa.string()), pa.array(labels.astype(np.int32))], names=[key, "cluster"]), f"`{key}` string, cluster int"),
     }
 
 

@@ -454,3 +454,29 @@ def test_model_search_leaves_the_settings_to_the_operators(monkeypatch):
     from bandweave.schema import MODELS
 
     assert given == [(("rows", "Response"), {"preprocessing": ("snv_deriv1",)}), ((None, MODELS, "problem"), {})]
+
+
+def test_soil_covariates_take_any_number_of_samples(spark):
+    """No limit on samples; clusters and local fits by tasks are what one process finds."""
+    import inspect
+
+    from bandweave.operators import models
+
+    assert "limit" not in inspect.signature(covariates.predict_soil_covariates).parameters
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(m, 0.3, (40, 4)) for m in (0, 3, 5)])
+    for method in ("kmeans", "ward"):
+        one, many = covariates.cluster_scores(x, 5, method), covariates.cluster_scores(x, 5, method, spark=spark)
+        assert (one[0] == many[0]).all() and many[1] == pytest.approx(one[1])
+    rows, ask = np.arange(90), np.arange(90, 120)
+    y = x[rows, 0] + 0.1 * rng.normal(size=90)
+    got = covariates.fit_local_cubists(spark, x, [(rows, y, ask), (rows[:0], y[:0], ask)], x, 3, 2, 4, piece=7)
+    part = covariates.local_folds(y, 4, 307)
+
+    def error(params):
+        total = sum(((models.fit("cubist", x[rows[part != k]], y[part != k], params).predict(x[rows[part == k]]) - y[part == k]) ** 2).sum() for k in range(4))
+        return math.sqrt(total / len(y))
+
+    space = covariates.CUBIST_SPACE
+    params, _, _ = tuning.bayes_search(space, error, [(p, error(p)) for p in tuning.candidates(space, 3)], 2, 10)
+    assert got[0] == pytest.approx(models.fit("cubist", x[rows], y, params).predict(x[ask])) and got[1] is None
