@@ -480,3 +480,22 @@ def test_soil_covariates_take_any_number_of_samples(spark):
     space = covariates.CUBIST_SPACE
     params, _, _ = tuning.bayes_search(space, error, [(p, error(p)) for p in tuning.candidates(space, 3)], 2, 10)
     assert got[0] == pytest.approx(models.fit("cubist", x[rows], y, params).predict(x[ask])) and got[1] is None
+
+
+def test_boruta_ends_as_soon_as_no_run_can_change_it(monkeypatch):
+    """The columns of all 25 runs from fewer: hits so far keep a column, whatever comes."""
+    from bandweave.operators import models
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20, 6))
+    done = []
+
+    def importance(base, y, trees, mtry, rng, spark):
+        done.append(base.shape[1])
+        half = base.shape[1] // 2
+        return np.r_[2.0, 2.0, np.zeros(half - 2), np.ones(half)]  # the first two beat the shadows in each run
+
+    monkeypatch.setattr(models, "forest_importance", importance)
+    kept = features.select_boruta(x, x[:, 0], np.random.default_rng(0))
+    assert kept.tolist() == [0, 1] and len(done) == 10  # no hit in ten runs rejects one of six columns
+    assert features._binomial_tail(10, 0) < 0.01 / 6 <= min(features._binomial_tail(9, 0), features._binomial_tail(25, 10))
