@@ -499,3 +499,20 @@ def test_boruta_ends_as_soon_as_no_run_can_change_it(monkeypatch):
     kept = features.select_boruta(x, x[:, 0], np.random.default_rng(0))
     assert kept.tolist() == [0, 1] and len(done) == 10  # no hit in ten runs rejects one of six columns
     assert features._binomial_tail(10, 0) < 0.01 / 6 <= min(features._binomial_tail(9, 0), features._binomial_tail(25, 10))
+
+
+def test_trees_without_a_limit_do_not_hold_the_sums_of_waiting_nodes():
+    """Sums by difference give the trees that sums of rows give, and are held only where few nodes wait."""
+    import tracemalloc
+
+    from bandweave.operators import models
+
+    rng = np.random.default_rng(9)
+    bins, y = rng.integers(0, 33, (3000, 20)).astype(np.int16), rng.normal(size=3000)
+    limited, free = (models.grow(bins, y, 33, 20, 5, 20, rng, limit=limit) for limit in (5000, None))
+    assert sorted(limited.predict(bins)) == pytest.approx(sorted(free.predict(bins)))
+    tracemalloc.start()
+    models.grow(bins, y, 33, 20, 1, 20, rng)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6  # the waiting nodes' sums alone would be over that
